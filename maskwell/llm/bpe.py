@@ -111,6 +111,16 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+_CODERS: dict[tuple[str, str], ByteBPE] = {}
+
+
+def coder_of(vocabulary: str, pattern: str) -> ByteBPE:
+    """One per worker process, kept over its tasks."""
+    if (vocabulary, pattern) not in _CODERS:
+        _CODERS[vocabulary, pattern] = ByteBPE(read_ranks(vocabulary), pattern)
+    return _CODERS[vocabulary, pattern]
+
+
 def encoded_schema(docs: DataFrame, keep: list[str], ids: bool, text: str) -> T.StructType:
     extra = [T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else []
     return T.StructType(
@@ -131,7 +141,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "t
     schema = encoded_schema(docs, list(keep), ids, decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(read_ranks(vocabulary), pattern)
+        bpe = coder_of(vocabulary, pattern)
         names = [str(i) for i in range(len(bpe.tokens))]
         for b in slices(batches):
             n, a, d, every, back = [], [], [], [], []

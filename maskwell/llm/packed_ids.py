@@ -32,7 +32,8 @@ HEAD = struct.Struct("<4sIIIQQ")
 NULL_ID = -(1 << 63)
 BLOCK = 4096
 FRAME_IDS = 1 << 20
-CACHE = 300_000
+#: Runs remembered by each worker.
+CACHE = 500_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -124,7 +125,7 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -132,13 +133,34 @@ class WordEncoder:
         if any(c in text for c in self.ODD):
             return self._ask([text])[0]
         words, known = text.split(), self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.cache_size:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, self._ask(new), strict=True))
-        return b"".join(map(known.__getitem__, words))
+        if new := [w for w in set(words) if w not in known]:
+            self._learn(new)
+        out = b"".join(map(known.__getitem__, words))
+        if len(known) > self.cache_size:  # the words met first, the frequent ones among them, stay
+            for w in list(known)[self.cache_size // 2 :]:
+                del known[w]
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Letters and the marks that follow them are separate pre-tokens, so they are asked for once each."""
+        known, cut = self.known, {}
+        for w in words:
+            core = w.rstrip(".,;:!?")
+            cut[w] = (core.lower() if core.isascii() else core, w[len(core) :]) if core.isalpha() else (w, "")
+        ask = [p for p in {p for pair in cut.values() for p in pair} if p and p not in known]
+        known.update(zip(ask, self._ask(ask), strict=True))
+        for w, (core, marks) in cut.items():
+            known[w] = known[core] + known[marks] if marks else known[core]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One per worker process, kept over its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, text: str = "text", frame_ids: int = FRAME_IDS, block: int = BLOCK, frames_per_file: int = 8) -> None:
@@ -146,7 +168,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, text:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         bits, end = bits_for(max(encoder.size, end_id + 1)), np.array([end_id], "<u4").tobytes()
         held: list[tuple[int, np.ndarray]] = []
         n = 0

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from maskwell.llm import bpe, packed_ids
+from maskwell.llm import bpe, language, packed_ids, pivots, raking, toxicity
 
-MODULES = (bpe, packed_ids)
+MODULES = (bpe, language, packed_ids, pivots, raking, toxicity)
 
 
 def queries() -> dict:
