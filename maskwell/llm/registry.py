@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from maskwell.llm import bpe, language, packed_ids, pivots, raking, toxicity
+from maskwell.llm import bpe, fingerprints, language, packed_ids, pivots, pseudo_likelihood, raking, toxicity
 
-MODULES = (bpe, language, packed_ids, pivots, raking, toxicity)
+MODULES = (bpe, fingerprints, language, packed_ids, pivots, pseudo_likelihood, raking, toxicity)
 
 
 def queries() -> dict:
