@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from maskwell.llm import bpe, fingerprints, jaccard, language, packed_ids, pivots, pseudo_likelihood, raking, toxicity
+from maskwell.llm import bpe, fingerprints, jaccard, language, packed_ids, passages, pivots, pseudo_likelihood, raking, toxicity
 
-MODULES = (bpe, fingerprints, jaccard, language, packed_ids, pivots, pseudo_likelihood, raking, toxicity)
+MODULES = (bpe, fingerprints, jaccard, language, packed_ids, passages, pivots, pseudo_likelihood, raking, toxicity)
 
 
 def queries() -> dict:

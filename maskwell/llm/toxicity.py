@@ -29,7 +29,7 @@ TRAIN_ROWS = 20_000
 MODEL_WORDS = 20_000
 PRIOR_MASS = 2_000.0
 DRIFT = 0.5
-ERRORS = 4.0
+ERRORS = 3.0
 WORD = re.compile(r"[^\W\d_]+")
 
 
