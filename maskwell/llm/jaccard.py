@@ -8,9 +8,11 @@ so that partners share a signature. Groups are as many as an eighth of the size
 that partners can have.
 
 Equal sets are one node. Every bucket of a signature is first spanned by a star, within each task before the shuffle and
-then over tasks; its pairs are verified on the texts, and components found. A bucket is done if its star lies in one
-component. The other buckets' pairs between components are then verified too, so that no link between different
-components is missed, and no pairs within one are enumerated. Links join components exactly as all pairs would.
+then over tasks; its pairs are measured, and components found. A bucket is done if its star lies in one
+component. In the other buckets all are measured against one member, and then the pairs between components are verified
+that sizes and the triangle inequality of Jaccard distances leave, so that no link between different components is missed,
+and no pairs within one are enumerated. Links join components exactly as all pairs would. Before texts are fetched for a
+pair, bitmaps of its sets, of 8 to 16 bits a shingle, bound its overlap from above; only pairs that may link go on.
 
 Null, empty and blank texts have no shingles, link with nothing and are their own component; texts with fewer than five
 words have one shingle. A null doc_id takes no part and has a null component. Rows that repeat an id count each.
@@ -42,8 +44,26 @@ def set_id(s: np.ndarray, seed: int) -> tuple[int, int]:
     return int(np.uint64(a).astype(np.int64)), int(np.uint64(b).astype(np.int64))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bitmap of the set, of 8 to 16 bits for each member: a power of two, so that halves fold."""
+    m = max(128, 1 << (8 * max(len(s), 1) - 1).bit_length())
+    bits = np.zeros(m, np.uint8)
+    bits[(mix(s ^ np.uint64(0x5DEECE66D)) & np.uint64(m - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
+    """An upper bound of the overlap of two sets of nx and ny members from their bitmaps: bits in common, and members beyond one a bit."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    both, px, py = (int(np.bitwise_count(b).sum()) for b in (x & y, x, y))
+    return min(both + min(nx - px, ny - py), nx, ny)
+
+
 def sets(docs: DataFrame, text: str, seed: int) -> DataFrame:
-    """kind 0: a document (id, n, d1, d2). kind 1: a token (id) that n documents of a task have, if it is frequent there."""
+    """kind 0: a document (id, n, d1, d2, sketch). kind 1: a token (id) that n documents of a task have, if it is frequent there."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,26 +73,26 @@ def sets(docs: DataFrame, text: str, seed: int) -> DataFrame:
             t, c = np.unique(np.concatenate(held), return_counts=True)
             few = c >= max(LEAST, FREQUENT * len(held))
             k = int(few.sum())
-            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(t[few].view(np.int64)), pa.array(c[few]), pa.array([0] * k, pa.int64()), pa.array([0] * k, pa.int64())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(t[few].view(np.int64)), pa.array(c[few]), pa.array([0] * k, pa.int64()), pa.array([0] * k, pa.int64()), pa.nulls(k, pa.binary())], names=names)
 
-        names = ["kind", "id", "n", "d1", "d2"]
+        names = ["kind", "id", "n", "d1", "d2", "sketch"]
         for b in slices(batches):
             rows = []
             for t in binary_texts(b.column(1)):
                 s = shingle_set(t)
-                rows.append((len(s), *set_id(s, seed)))
+                rows.append((len(s), *set_id(s, seed), sketch(s) if len(s) > 2 else None))
                 if len(s) and rows[-1][1] not in seen:
                     seen.add(rows[-1][1])
                     held.append(s)
                     n += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), b.column(0).cast(pa.int64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), b.column(0).cast(pa.int64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], pa.binary())], names=names)
             if n >= 2 * FLUSH:
                 yield frequent()
                 held, n, seen = [], 0, set()
         if held:
             yield frequent()
 
-    return docs.select("doc_id", text).mapInArrow(run, "kind int, id long, n long, d1 long, d2 long")
+    return docs.select("doc_id", text).mapInArrow(run, "kind int, id long, n long, d1 long, d2 long, sketch binary")
 
 
 def _groups(n: int) -> int:
@@ -191,14 +211,21 @@ def stars(rows: DataFrame) -> DataFrame:
     return own.unionByName(over).where("a <> b").select("sig", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Pairs (a, b) of nodes whose sets link."""
+def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Of pairs (a, b) of nodes: those that link, with their distance d (a table), and all whose sizes allow it, with a lower bound `low` (a table)."""
     import pyarrow as pa
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2000):
+            na, nb = b.column(4).to_pylist(), b.column(5).to_pylist()
+            x, y = (b.column(i).to_pylist() for i in (6, 7))
+            shared = [most_shared(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8), m, n) for p, q, m, n in zip(x, y, na, nb, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(shared, pa.int64())], names=["a", "b", "ra", "rb", "na", "nb", "shared"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for b in slices(batches, 200):
-            keep = []
+            keep, far = [], []
             for x, y, p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), binary_texts(b.column(2)), binary_texts(b.column(3)), strict=True):
                 if len(known) > 64:
                     known.clear()
@@ -206,28 +233,36 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -
                     if k not in known:
                         known[k] = shingle_set(t)
                 both = len(np.intersect1d(known[x], known[y], assume_unique=True))
-                keep.append(100 * both >= 75 * (len(known[x]) + len(known[y]) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    c = classes.select(F.col("node"), F.col("rep"), F.col("n"))
-    near = pairs.join(c.toDF("a", "ra", "na"), "a").join(c.toDF("b", "rb", "nb"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    near = materialize(near.select("a", "b", "ra", "rb"), "pairs")
-    full = with_texts(near, docs, "ra", "rb", text)
-    return full.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
+                union = len(known[x]) + len(known[y]) - both
+                keep.append(100 * both >= 75 * union and both > 0)
+                far.append(1 - both / max(union, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(far, pa.float64()), pa.array(keep, pa.bool_())], names=["a", "b", "d", "link"])
+
+    c = nodes.select("node", "rep", "n", "sketch")
+    near = pairs.join(c.toDF("a", "ra", "na", "x"), "a").join(c.toDF("b", "rb", "nb", "y"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    near = near.select("a", "b", "ra", "rb", "na", "nb", "x", "y").mapInArrow(bound, "a long, b long, ra long, rb long, na long, nb long, shared long")
+    near = materialize(near, "bounds")
+    may = materialize(near.where("100 * shared >= 75 * (na + nb - shared)").select("a", "b", "ra", "rb"), "pairs")
+    full = with_texts(may, docs, "ra", "rb", text)
+    exact = materialize(full.select("a", "b", "a_text", "b_text").mapInArrow(verify, "a long, b long, d double, link boolean"), "distances")
+    low = near.select("a", "b", (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("low"))
+    return exact.where("link").select("a", "b", "d"), low
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach."""
     for seed in range(8):
         rows = materialize(sets(docs, text, seed), "sets")
-        nodes = rows.where("kind = 0 AND n > 0 AND id IS NOT NULL").groupBy(F.col("d1").alias("node")).agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("d2").alias("x"), F.max("d2").alias("y"), F.min("n").alias("m"))
+        nodes = rows.where("kind = 0 AND n > 0 AND id IS NOT NULL").groupBy(F.col("d1").alias("node")).agg(
+            F.min("id").alias("rep"), F.max("n").alias("n"), F.min("d2").alias("x"), F.max("d2").alias("y"), F.min("n").alias("m"), F.first("sketch").alias("sketch")
+        )
         nodes = materialize(nodes, "nodes")
         if nodes.where("x <> y OR m <> n").isEmpty():  # else two sets share a digest: take another
             break
     frequent = frequent_tokens(rows)
     star = materialize(stars(signature_rows(docs, text, seed, frequent)), "stars")
     pairs = materialize(star.select("a", "b").distinct(), "star-pairs")
-    links = materialize(verified(pairs, nodes, docs, text), "links")
+    links, low = measured(pairs, nodes, docs, text)
     labels = components(links)
     # buckets whose star isn't in one component yet
     la, lb = labels.toDF("a", "ca"), labels.toDF("b", "cb")
@@ -235,14 +270,25 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     mixed = star.join(materialize(apart, "apart"), ["a", "b"]).select("sig").distinct()
     bits = signature_bitmap(mixed)
     more = materialize(signature_rows(docs, text, seed, frequent, bits).select("sig", "node").distinct(), "mixed")
-    more = more.join(nodes.select("node", "n"), "node").join(labels, "node", "left").select("sig", "node", "n", F.coalesce("label", "node").alias("c"))
-    more = materialize(more, "mixed")
-    x, y = more.toDF("sig", "a", "na", "ca"), more.toDF("sig", "b", "nb", "cb")
-    across = x.hint("merge").join(y, "sig").where("ca < cb AND 4 * least(na, nb) >= 3 * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = across.join(pairs, ["a", "b"], "left_anti")  # those have been verified
-    links2 = materialize(verified(materialize(across, "across"), nodes, docs, text), "links")
-    if not links2.isEmpty():
-        labels = components(links.unionByName(links2))
+    # one member that all of a bucket are measured against: new links, and distances for the triangle inequality
+    center = materialize(more.groupBy("sig").agg(F.min("node").alias("o")), "centers")
+    more = materialize(more.join(center, "sig").join(nodes.select("node", "n"), "node").select("sig", "node", "n", "o", F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")), "mixed")
+    spokes = materialize(more.where("a <> b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "spokes")
+    links2, low2 = measured(spokes, nodes, docs, text)
+    links = materialize(links.unionByName(links2), "links")
+    labels = components(links)
+    far = low.unionByName(low2).join(links, ["a", "b"], "left").select("a", "b", F.coalesce("d", "low").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
+    own = more.join(nodes.select(F.col("node").alias("o"), F.col("n").alias("no")), "o").join(materialize(far, "far"), ["a", "b"], "left").join(labels, "node", "left")
+    least = 1 - F.least("n", "no") / F.greatest("n", "no")
+    own = own.select("sig", "node", "n", F.coalesce("label", "node").alias("c"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.greatest(least, F.coalesce("low", F.lit(0.0)))).alias("low"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"))
+    own = materialize(own, "mixed")
+    x, y = own.toDF("sig", "a", "na", "ca", "la", "ha"), own.toDF("sig", "b", "nb", "cb", "lb", "hb")
+    close = "ca < cb AND 4 * least(na, nb) >= 3 * greatest(na, nb) AND la - hb <= 0.250001 AND lb - ha <= 0.250001"
+    across = x.hint("merge").join(y, "sig").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = across.join(pairs.unionByName(spokes), ["a", "b"], "left_anti")  # those have been measured
+    links3, _ = measured(materialize(across, "across"), nodes, docs, text)
+    if not links3.isEmpty():
+        labels = components(links.unionByName(links3))
     whole = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("c"))
     whole = materialize(whole, "labelled")
     least = materialize(whole.groupBy("c").agg(F.min("rep").alias("component_id")), "least")
