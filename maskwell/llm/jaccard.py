@@ -249,6 +249,63 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) ->
     return exact.where("link").select("a", "b", "d"), low
 
 
+def close_pairs(n: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, bits: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Pairs (i, j) of places in `left` and `right` of different components that sizes, distances to the centre and bitmaps let link."""
+    out, by = [], {}
+    for k in right:
+        by.setdefault(len(bits[k]), []).append(k)
+    stacks = {}
+    for size, ks in by.items():
+        m, ks = np.stack([bits[k] for k in ks]), np.array(ks)
+        stacks.setdefault(size, []).append((ks, m))
+        stacks.setdefault(size // 2, []).append((ks, m[:, : size // 2] | m[:, size // 2 :]))
+    for i in left:
+        x = bits[i]
+        todo = [(x, *e) for e in stacks.get(len(x), [])]
+        half = x[: len(x) // 2] | x[len(x) // 2 :]
+        todo += [(half, ks, m) for ks, m in stacks.get(len(half), []) if len(bits[ks[0]]) == len(half)]
+        for v, ks, m in todo:
+            ok = (c[ks] != c[i]) & (4 * np.minimum(n[ks], n[i]) >= 3 * np.maximum(n[ks], n[i])) & (low[ks] - high[i] <= 0.250001) & (low[i] - high[ks] <= 0.250001)
+            if same:
+                ok &= ks > i
+            ks, m = ks[ok], m[ok]
+            if not len(ks):
+                continue
+            both = np.bitwise_count(m & v).sum(axis=1, dtype=np.int64)
+            more = np.minimum(n[i] - int(np.bitwise_count(v).sum()), n[ks] - np.bitwise_count(m).sum(axis=1, dtype=np.int64))
+            shared = np.minimum(both + more, np.minimum(n[ks], n[i]))
+            out += [(int(i), int(k)) for k in ks[100 * shared >= 75 * (n[ks] + n[i] - shared)]]
+    return out
+
+
+CELL = 256
+
+
+def across_components(own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of one centre and different components that may link.
+
+    A centre's nodes are dealt to blocks of about CELL, and every two blocks are one group, where pairs are tried with whole
+    arrays; only those that may link come out.
+    """
+    import pandas as pd
+
+    cells = materialize(own.groupBy("o").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("o", F.ceil(F.col("m") / CELL).cast("int").alias("k")), "cells")
+    rows = own.join(cells, "o").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.join(nodes.select("node", "sketch"), "node").where("sketch IS NOT NULL")
+    rows = rows.select("o", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "node", "n", "c", "low", "high", "sketch")
+
+    def cell(g: pd.DataFrame) -> pd.DataFrame:
+        arrays = [g[x].to_numpy() for x in ("n", "c", "low", "high")]
+        bits = [np.frombuffer(x, np.uint8) for x in g["sketch"]]
+        p, q = g["p"].iloc[0], g["q"].iloc[0]
+        block, node = g["i"].to_numpy(), g["node"].to_numpy()
+        found = close_pairs(*arrays, bits, np.flatnonzero(block == p), np.flatnonzero(block == q), p == q)
+        x = np.array(found, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": np.minimum(node[x[:, 0]], node[x[:, 1]]), "b": np.maximum(node[x[:, 0]], node[x[:, 1]])})
+
+    return rows.groupBy("o", "p", "q").applyInPandas(cell, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach."""
     for seed in range(8):
@@ -280,11 +337,9 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     far = low.unionByName(low2).join(links, ["a", "b"], "left").select("a", "b", F.coalesce("d", "low").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
     own = more.join(nodes.select(F.col("node").alias("o"), F.col("n").alias("no")), "o").join(materialize(far, "far"), ["a", "b"], "left").join(labels, "node", "left")
     least = 1 - F.least("n", "no") / F.greatest("n", "no")
-    own = own.select("sig", "node", "n", F.coalesce("label", "node").alias("c"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.greatest(least, F.coalesce("low", F.lit(0.0)))).alias("low"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"))
-    own = materialize(own, "mixed")
-    x, y = own.toDF("sig", "a", "na", "ca", "la", "ha"), own.toDF("sig", "b", "nb", "cb", "lb", "hb")
-    close = "ca < cb AND 4 * least(na, nb) >= 3 * greatest(na, nb) AND la - hb <= 0.250001 AND lb - ha <= 0.250001"
-    across = x.hint("merge").join(y, "sig").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own = own.select("o", "node", "n", F.coalesce("label", "node").alias("c"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.greatest(least, F.coalesce("low", F.lit(0.0)))).alias("low"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"))
+    own = materialize(own.dropDuplicates(["o", "node"]), "mixed")
+    across = across_components(own, nodes)
     across = across.join(pairs.unionByName(spokes), ["a", "b"], "left_anti")  # those have been measured
     links3, _ = measured(materialize(across, "across"), nodes, docs, text)
     if not links3.isEmpty():
