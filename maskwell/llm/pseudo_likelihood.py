@@ -29,7 +29,7 @@ WORDS, HASHED, HIDDEN, CLASSES = 3584, 511, 16, 64
 PAD = WORDS + HASHED
 IDS = PAD + 1
 PLACES = (-2, -1, 1, 2)
-STRIDE, BATCH, RATE = 8, 2048, 0.15
+STRIDE, STEP, BATCH, RATE = 8, 256, 2048, 0.15
 FLUSH = 400_000
 CHUNKS = 8
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -147,8 +147,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str) -> np.ndarray:
                 waiting += len(at)
                 if waiting >= BATCH:
                     x, y = np.concatenate(held), np.concatenate(targets)
-                    for a in range(0, len(x), BATCH):
-                        net.learn(x[a : a + BATCH], y[a : a + BATCH])
+                    for a in range(0, len(x), STEP):
+                        net.learn(x[a : a + STEP], y[a : a + STEP])
                     n += len(x)
                     held, targets, waiting = [], [], 0
         if waiting:
