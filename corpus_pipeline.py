@@ -40,7 +40,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn with probabilities raked to tempered source, language and topic shares."""
-    return raking.mix(docs, raking.own_targets(docs, MIX_POWER), MIX_SHARE).select(*docs.columns)
+    sums = raking.cell_sums(docs)
+    return raking.mix(docs, raking.own_targets(sums, MIX_POWER), MIX_SHARE, sums=sums).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import table
+from maskwell.llm.common import materialize, table
 
 OTHER = "(other)"
 SHARE = 0.6
@@ -85,35 +85,52 @@ def tempered(sums: dict[str, float], power: float) -> dict[str, float]:
     return {k: v / total for k, v in raised.items()}
 
 
-def mix(docs: DataFrame, targets: tuple[dict[str, float], dict[str, float], dict[str, float]], share: float = SHARE, seed: int = 7, text: str = "text") -> DataFrame:
-    """The rows of docs that are drawn, with __topic, __tokens and __probability added."""
-    axes = (F.col("source"), F.col("lang"), topic_of(F.col(text)))
-    cats = [F.when(a.isin(list(t)), a).otherwise(OTHER) if t else F.lit(OTHER) for a, t in zip(axes, targets, strict=True)]
-    rows = docs.withColumns({"__s": cats[0], "__l": cats[1], "__topic": cats[2], "__tokens": n_words(F.col(text))})
-    got = rows.groupBy("__s", "__l", "__topic").agg(F.sum("__tokens").alias("n"), F.count("*").alias("d")).collect()  # bounded by the targets
-    cells = {(r["__s"], r["__l"], r["__topic"]): float(max(r.n or 0, 1)) for r in got}
+def cell_sums(docs: DataFrame, text: str = "text") -> DataFrame:
+    """source, lang, topic, n: token sums from one pass over the texts, as a table."""
+    rows = docs.select("source", "lang", topic_of(F.col(text)).alias("topic"), n_words(F.col(text)).alias("w"))
+    return materialize(rows.groupBy("source", "lang", "topic").agg(F.sum("w").alias("n")), "cells")
+
+
+def mix(docs: DataFrame, targets: tuple[dict[str, float], dict[str, float], dict[str, float]], share: float = SHARE, seed: int = 7, text: str = "text", sums: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that are drawn, with __topic, __tokens and __probability added. sums: cell_sums(docs), if at hand."""
+
+    def named(axes) -> list[Column]:
+        return [F.when(a.isin(list(t)), a).otherwise(OTHER) if t else F.lit(OTHER) for a, t in zip(axes, targets, strict=True)]
+
+    sums = cell_sums(docs, text) if sums is None else sums
+    s, l, t = named((F.col("source"), F.col("lang"), F.col("topic")))
+    got = sums.groupBy(s.alias("s"), l.alias("l"), t.alias("t")).agg(F.sum("n").alias("n")).collect()  # bounded by the targets
+    cells = {(r.s, r.l, r.t): float(max(r.n or 0, 1)) for r in got}
     # what no target names keeps its share
     full = []
-    for axis, t in enumerate(targets):
-        rest = sum(v for k, v in cells.items() if k[axis] not in t) / max(sum(cells.values()), 1.0)
-        scale = (1 - rest) / (sum(t.values()) or 1.0)
-        full.append({k: v * scale for k, v in t.items()} | ({OTHER: rest} if rest else {}))
+    for axis, target in enumerate(targets):
+        rest = sum(v for k, v in cells.items() if k[axis] not in target) / max(sum(cells.values()), 1.0)
+        scale = (1 - rest) / (sum(target.values()) or 1.0)
+        full.append({k: v * scale for k, v in target.items()} | ({OTHER: rest} if rest else {}))
     p = probabilities(cells, rake(cells, full), share) if cells else {}
-    table_of = docs.sparkSession.createDataFrame([(*k, v) for k, v in p.items()], "__s string, __l string, __topic string, __probability double")
+    table_of = docs.sparkSession.createDataFrame([(*k, v) for k, v in p.items()], "__s string, __l string, __t string, __probability double")
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    return rows.join(F.broadcast(table_of), ["__s", "__l", "__topic"]).where(drawn < F.col("__probability")).drop("__s", "__l")
+    rows = docs.withColumn("__topic", topic_of(F.col(text)))
+    s, l, t = named((F.col("source"), F.col("lang"), F.col("__topic")))
+    rows = rows.withColumns({"__s": s, "__l": l, "__t": t}).join(F.broadcast(table_of), ["__s", "__l", "__t"]).where(drawn < F.col("__probability"))
+    return rows.withColumn("__tokens", n_words(F.col(text))).drop("__s", "__l", "__t")
+
+
+def own_targets(sums: DataFrame, power: float, max_sources: int = 10_000) -> tuple[dict, dict, dict]:
+    """Targets tempered from the corpus itself, whose cell_sums() are given: the max_sources largest sources are named, the others stay together."""
 
+    def of(c: str) -> dict[str, float]:
+        total = sums.where(F.col(c).isNotNull()).groupBy(c).agg(F.sum("n").alias("n"))
+        return tempered({r[0]: float(r[1] or 0) for r in total.orderBy(F.desc("n"), c).limit(max_sources).collect()}, power)
 
-def own_targets(docs: DataFrame, power: float, max_sources: int = 10_000, text: str = "text") -> tuple[dict, dict, dict]:
-    """Targets tempered from the corpus itself: the max_sources largest sources are named, the others stay together."""
-    sums = lambda c: {r[0]: float(r[1] or 0) for r in docs.groupBy(c.alias("k")).agg(F.sum(n_words(F.col(text))).alias("n")).where("k IS NOT NULL").orderBy(F.desc("n"), "k").limit(max_sources).collect()}
-    return tempered(sums(F.col("source")), power), tempered(sums(F.col("lang")), power), tempered(sums(topic_of(F.col(text))), power)
+    return of("source"), of("lang"), of("topic")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn when source, language and topic shares are lifted to the power 0.5."""
     docs = table(spark, sf_dir, "documents")
-    out = mix(docs, own_targets(docs, 0.5))
+    sums = cell_sums(docs)
+    out = mix(docs, own_targets(sums, 0.5), sums=sums)
     return out.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__probability").alias("probability"))
 
 

@@ -220,9 +220,9 @@ def test_raking_meets_targets(docs, empty):
             assert sum(x for c, x in w.items() if c[axis] == k) == pytest.approx(v, abs=1e-6)
     p = raking.probabilities(cells, w, 0.4)
     assert sum(p[k] * v for k, v in cells.items()) == pytest.approx(0.4 * sum(cells.values()), rel=1e-6) and max(p.values()) <= 1
-    out = raking.mix(docs, raking.own_targets(docs, 0.5), 0.6)
+    out = raking.mix(docs, raking.own_targets(raking.cell_sums(docs), 0.5), 0.6)
     assert set(docs.columns) < set(out.columns) and 0 < out.count() < docs.count()
-    assert raking.mix(empty, raking.own_targets(empty, 0.5)).count() == 0
+    assert raking.mix(empty, raking.own_targets(raking.cell_sums(empty), 0.5)).count() == 0
 
 
 def test_pseudo_likelihood_prefers_order(spark):
