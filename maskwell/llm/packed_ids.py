@@ -19,7 +19,8 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
+from unicodedata import normalize
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -112,6 +113,10 @@ class WordEncoder:
     """
 
     ODD = "\x1c\x1d\x1e\x1f"
+    #: Marks that end a word without changing how its letters are split; an apostrophe would.
+    MARKS = ".,;:!?#$%&*+-=/|\\~^@_`\"()[]{}"
+    #: Letter runs asked for in one string, and characters of texts whose new runs are asked for together.
+    JOINED, GROUP = 256, 1 << 20
 
     def __init__(self, path: str, cache: int = CACHE):
         import os
@@ -121,35 +126,69 @@ class WordEncoder:
 
         self.tok, self.cache_size = Tokenizer.from_file(path), cache
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        if suffix:
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(c in text for c in self.ODD):
-            return self._ask([text])[0]
-        words, known = text.split(), self.known
-        if new := [w for w in set(words) if w not in known]:
-            self._learn(new)
-        out = b"".join(map(known.__getitem__, words))
-        if len(known) > self.cache_size:  # the words met first, the frequent ones among them, stay
-            for w in list(known)[self.cache_size // 2 :]:
-                del known[w]
+    def _ask_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of runs of letters, many in one string. Each gives one pre-token at least, whose last id is of a word's end, so
+        that as many ends as words mean one for each; else they are asked for one by one."""
+        out = []
+        for at in range(0, len(words), self.JOINED):
+            some = words[at : at + self.JOINED]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            out += [raw[x:y] for x, y in zip([0, *cut], cut)] if len(cut) == len(some) and cut[-1] == len(raw) else self._ask(some)  # noqa: B905
         return out
 
-    def _learn(self, words: list[str]) -> None:
+    def encode(self, text: str | None) -> bytes:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text as little-endian 32-bit integers; new runs of about GROUP characters of texts are learnt together."""
+        at = 0
+        while at < len(texts):
+            to, n = at, 0
+            while to < len(texts) and (to == at or n < self.GROUP):
+                n += len(texts[to] or "")
+                to += 1
+            split = [None if t and any(c in t for c in self.ODD) else (t or "").split() for t in texts[at:to]]
+            if new := set().union(*(w for w in split if w)).difference(self.known):
+                self._learn(new)
+            of = self.known.__getitem__
+            for t, words in zip(texts[at:to], split, strict=True):
+                yield self._ask([t])[0] if words is None else b"".join(map(of, words))
+            if len(self.known) > self.cache_size:  # the words met first, the frequent ones among them, stay
+                self.known = dict(islice(self.known.items(), self.cache_size // 2))
+            at = to
+
+    def _learn(self, words: set[str]) -> None:
         """Letters and the marks that follow them are separate pre-tokens, so they are asked for once each."""
-        known, cut = self.known, {}
+        known, cut, letters, rest = self.known, [], set(), set()
         for w in words:
-            core = w.rstrip(".,;:!?")
-            cut[w] = (core.lower() if core.isascii() else core, w[len(core) :]) if core.isalpha() else (w, "")
-        ask = [p for p in {p for pair in cut.values() for p in pair} if p and p not in known]
+            core = w.rstrip(self.MARKS)
+            if not core.isalpha() or not (core.isascii() or normalize("NFC", core).lower().isalpha()):  # a combining mark would join the marks
+                rest.add(w)
+                continue
+            marks = w[len(core) :]
+            core = core.lower() if core.isascii() else core
+            letters.add(core)
+            if marks:
+                rest.add(marks)
+            cut.append((w, core, marks))
+        ask = list(letters.difference(known))
+        known.update(zip(ask, self._ask_letters(ask), strict=True))
+        ask = list(rest.difference(known))
         known.update(zip(ask, self._ask(ask), strict=True))
-        for w, (core, marks) in cut.items():
+        for w, core, marks in cut:
             known[w] = known[core] + known[marks] if marks else known[core]
 
 
@@ -177,8 +216,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, text:
             return pa.RecordBatch.from_arrays([pa.array([frame(held, bits, block)], pa.binary())], names=["frame"])
 
         for b in slices(batches):
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encoder.encode(t) + end, "<u4")
+            for d, raw in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist()), strict=True):
+                ids = np.frombuffer(raw + end, "<u4")
                 if held and n + len(ids) > frame_ids:
                     yield flush()
                     held, n = [], 0
