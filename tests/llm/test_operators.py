@@ -71,6 +71,15 @@ def test_packing_round_trip(bits):
     assert (f.document(1) == ids[77:]).all() and (f.read(100, 300) == ids[100:400]).all()
 
 
+def test_word_encoder_equals_the_library():
+    e = packed_ids.WordEncoder(P.path("word_bpe_49k.json"), cache=40)
+    e.GROUP = 60
+    texts = ["\u0130stanbul \u0130. \u0131 Stra\u00dfe \u01c5 \ufb01 e\u0301a x\u0301, don't 's it's. x's!", "\u0958, \u0958 a\u0338\u2260 foo\u2260 \x1cq r", "<|endoftext|> hi", "a\u200bb c\xa0d\x85f 12ab3 ###. (b)", "\u039f\u0394\u039f\u03a3. \u039f\u0394\u039f\u03a3\u0391 \u65e5\u672c\u8a9e\u3001", None, "", "  "]
+    want = [e.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(3):  # the second time from memory, with evictions
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(texts)] == want
+
+
 def test_packed_files(spark, docs, rows, tmp_path):
     from tokenizers import Tokenizer
 
