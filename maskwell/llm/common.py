@@ -156,6 +156,47 @@ def shingle_set(data: bytes | None, k: int = 5) -> np.ndarray:
     return np.unique(shingles(word_hashes(data), k)) if data else np.empty(0, np.uint64)
 
 
+def _few_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(t or b"") for t in texts])
+    words, start, _ = word_hashes(b"\n".join(t or b"" for t in texts), spans=True)
+    edge = np.append(np.searchsorted(start, np.cumsum(size + 1) - size - 1), len(words))
+    n = np.diff(edge)
+    place = np.arange(len(words))
+    keep = place + k <= np.repeat(edge[1:], n)
+    out = np.zeros(len(words), np.uint64)
+    if len(words) >= k:
+        out[: len(words) - k + 1] = shingles(words, k)
+    for d in np.flatnonzero((n > 0) & (n < k)):
+        out[edge[d]], keep[edge[d]] = shingles(words[edge[d] : edge[d + 1]], k)[0], True
+    out, ends = out[keep], np.concatenate(([0], np.cumsum(np.where(n >= k, n - k + 1, n > 0))))
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[ends[:-1][np.diff(ends) > 0]] = True
+    return out[new], np.concatenate(([0], np.cumsum(new)))[ends]
+
+
+def shingle_sets(texts: list[bytes | None], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_set() of each text, one after the other, and their len(texts) + 1 ends: texts are hashed together, a segment's worth at a time."""
+    values, ends, group, size = [], [np.zeros(1, np.int64)], [], 0
+
+    def flush():
+        v, e = _few_sets(group, k)
+        values.append(v)
+        ends.append(e[1:] + ends[-1][-1])
+
+    for t in texts:
+        group.append(t)
+        size += len(t or b"")
+        if size >= SEGMENT >> 1:
+            flush()
+            group, size = [], 0
+    if group:
+        flush()
+    return (np.concatenate(values) if values else np.empty(0, np.uint64)), np.concatenate(ends).astype(np.int64)
+
+
 def binary_texts(column) -> list[bytes | None]:
     """An Arrow string column as UTF-8 bytes, without decoding."""
     import pyarrow as pa

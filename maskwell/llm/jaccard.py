@@ -27,8 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import binary_texts, materialize, mix, shingle_set, slices, table
-from maskwell.llm.pairs import components, star_batches, with_texts
+from maskwell.llm.common import binary_texts, materialize, mix, shingle_sets, slices, table
+from maskwell.llm.pairs import components, runs, star_batches, with_texts
 
 #: A token is frequent if it is in FREQUENT of a task's documents, and in LEAST at least.
 FREQUENT, LEAST = 0.002, 24
@@ -36,12 +36,14 @@ FLUSH = 2_000_000
 SIG_BITS = 1 << 23
 
 
-def set_id(s: np.ndarray, seed: int) -> tuple[int, int]:
-    """Two 64-bit digests of a set, whatever its order."""
+def set_ids(values: np.ndarray, ends: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set, whatever its order."""
+    out = []
     with np.errstate(over="ignore"):
-        a = int(mix(s + np.uint64(2 * seed + 1)).sum(dtype=np.uint64))
-        b = int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
-    return int(np.uint64(a).astype(np.int64)), int(np.uint64(b).astype(np.int64))
+        for x in (values + np.uint64(2 * seed + 1), values ^ np.uint64(0xA5A5A5A5A5A5A5A5)):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(x), dtype=np.uint64)))
+            out.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
+    return out[0], out[1]
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -77,15 +79,17 @@ def sets(docs: DataFrame, text: str, seed: int) -> DataFrame:
 
         names = ["kind", "id", "n", "d1", "d2", "sketch"]
         for b in slices(batches):
-            rows = []
-            for t in binary_texts(b.column(1)):
-                s = shingle_set(t)
-                rows.append((len(s), *set_id(s, seed), sketch(s) if len(s) > 2 else None))
-                if len(s) and rows[-1][1] not in seen:
-                    seen.add(rows[-1][1])
-                    held.append(s)
-                    n += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), b.column(0).cast(pa.int64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], pa.binary())], names=names)
+            values, ends = shingle_sets(binary_texts(b.column(1)))
+            d1, d2 = set_ids(values, ends, seed)
+            maps = []
+            for d, at, to in zip(d1.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                s = values[at:to]
+                maps.append(sketch(s) if to - at > 2 else None)
+                if to > at and d not in seen:
+                    seen.add(d)
+                    held.append(s.copy())
+                    n += to - at
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d1), np.int32)), b.column(0).cast(pa.int64()), pa.array(np.diff(ends)), pa.array(d1), pa.array(d2), pa.array(maps, pa.binary())], names=names)
             if n >= 2 * FLUSH:
                 yield frequent()
                 held, n, seen = [], 0, set()
@@ -100,52 +104,55 @@ def _groups(n: int) -> int:
     return max(1, 1 << max(0, n.bit_length() - 4))
 
 
-def signatures(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """common: sorted frequent tokens, rank: their places in the order. s: a sorted set."""
-    n = len(s)
-    if n < 3:  # partners of so few tokens are equal
-        return s[:0]
-    missing = n - (3 * n + 3) // 4
-    if len(common):
-        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        often = common[at] == s
-    else:
-        often = np.zeros(n, bool)
-    rare = s[~often]
-    rare = rare[np.argsort(mix(rare), kind="stable")]  # an order of its own, apart from the hash's order in the set
-    if len(rare) > missing:
-        return rare[: missing + 1]
-    rest = s[often][np.argsort(rank[at[often]], kind="stable")]
-    out = [rare]
+def signatures(values: np.ndarray, ends: np.ndarray, common: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
+    """The signatures of each set. common: sorted frequent tokens, rank: their places in the order."""
+    at = np.minimum(np.searchsorted(common, values), len(common) - 1) if len(common) else np.zeros(len(values), np.int64)
+    often = common[at] == values if len(common) else np.zeros(len(values), bool)
+    mixed = mix(values)  # the order of rare tokens, apart from the hash's order in the set; it stands for them
+    out = []
+    for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        n = j - i
+        if n < 3:  # partners of so few tokens are equal
+            out.append(values[:0])
+            continue
+        missing = n - (3 * n + 3) // 4
+        rare = np.sort(mixed[i:j][~often[i:j]])
+        if len(rare) > missing:
+            out.append(rare[: missing + 1])
+        else:
+            own = often[i:j]
+            rest = values[i:j][own][np.argsort(rank[at[i:j][own]], kind="stable")]
+            out.append(np.concatenate([rare, *_combined(n, missing + 1 - len(rare), rest)]))
+    return out
+
+
+def _combined(n: int, need: int, rest: np.ndarray) -> list[np.ndarray]:
+    """Pairs of frequent tokens, in the global order, that a set of n tokens indexes beside all its rare ones."""
+    out = []
     for g in sorted({_groups(m) for m in ((3 * n + 3) // 4, n, 4 * n // 3)}):
         group = (mix(rest + np.uint64(g)) % np.uint64(g)).astype(np.int64)
         order = np.argsort(group, kind="stable")  # stays in the global order within a group
         place = np.arange(len(rest)) - np.searchsorted(group[order], group[order])
         held = np.empty(len(rest), np.int64)
         held[order] = place  # tokens of its group before it
-        more = np.cumsum(held > 0)
-        end = int(np.searchsorted(more, missing + 1 - len(rare))) + 1
-        prefix = np.flatnonzero(np.arange(len(rest)) < end)
-        by = {}
-        for i in prefix:
-            by.setdefault(int(group[i]), []).append(int(rest[i]))
+        end = int(np.searchsorted(np.cumsum(held > 0), need)) + 1
+        inside = order < end
+        x, before = rest[order[inside]], place[inside]
+        later = np.repeat(np.arange(len(x)), before)  # each token with all those of its group before it
+        first = later - np.repeat(before, before) + np.arange(len(later)) - np.repeat(np.cumsum(before) - before, before)
+        lo, hi = np.minimum(x[first], x[later]), np.maximum(x[first], x[later])
         with np.errstate(over="ignore"):
-            for t in by.values():
-                if len(t) > 1:
-                    x = np.array(t, np.uint64)
-                    i, j = np.triu_indices(len(x), 1)
-                    lo, hi = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
-                    out.append(mix(mix(lo + np.uint64(g)) + hi * np.uint64(0x9E3779B97F4A7C15)))
-    return np.concatenate(out)
+            out.append(mix(mix(lo + np.uint64(g)) + hi * np.uint64(0x9E3779B97F4A7C15)))
+    return out
 
 
-def signature_rows(docs: DataFrame, text: str, seed: int, frequent: tuple[np.ndarray, np.ndarray], only: np.ndarray | None = None) -> DataFrame:
+def signature_rows(docs: DataFrame, text: str, seed: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """sig, node and the node that a task has for it already (null: none). Each task passes a signature on once per FLUSH rows;
-    the other nodes it met with it come with that first one. With `only`, a bitmap of signatures, all rows of these.
+    the other nodes it met with it come with that first one.
     """
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, only))  # bounded: see frequent_tokens(); the bitmap is of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # bounded: see frequent_tokens()
 
     def out(sig, node):
         with np.errstate(over="ignore"):
@@ -154,29 +161,21 @@ def signature_rows(docs: DataFrame, text: str, seed: int, frequent: tuple[np.nda
         sig, node = sig[order], node[order]
         new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
         sig, node = sig[new], node[new]
-        if only is None:
-            from maskwell.llm.pairs import runs
-
-            first = runs(sig)
-            center = pa.array(node[first], pa.int64(), mask=first == np.arange(len(first)))
-        else:
-            center = pa.nulls(len(sig), pa.int64())
+        first = runs(sig)
+        center = pa.array(node[first], pa.int64(), mask=first == np.arange(len(first)))
         for at in range(0, len(sig), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + 100_000]), pa.array(node[at : at + 100_000]), center.slice(at, 100_000)], names=["sig", "node", "center"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (common, rank), bits = shared.value
+        common, rank = shared.value
         sig, node, n, seen = [], [], 0, set()
         for b in slices(batches):
-            for t in binary_texts(b.column(0)):
-                s = shingle_set(t)
-                if len(s) < 3 or (k := set_id(s, seed)[0]) in seen:
+            values, ends = shingle_sets(binary_texts(b.column(0)))
+            ids = set_ids(values, ends, seed)[0].tolist()
+            for k, x in zip(ids, signatures(values, ends, common, rank), strict=True):
+                if not len(x) or k in seen:
                     continue
                 seen.add(k)
-                x = signatures(s, common, rank)
-                if bits is not None:
-                    h = mix(x) % np.uint64(8 * len(bits))
-                    x = x[bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1 > 0]
                 sig.append(x)
                 node.append(np.full(len(x), k, np.int64))
                 n += len(x)
@@ -189,6 +188,25 @@ def signature_rows(docs: DataFrame, text: str, seed: int, frequent: tuple[np.nda
     return docs.where(F.col("doc_id").isNotNull()).select(text).mapInArrow(run, "sig long, node long, center long")
 
 
+def bucket_members(star: DataFrame, bits: np.ndarray) -> DataFrame:
+    """sig, node of the buckets whose signatures a bitmap has: a bucket's stars name all its nodes."""
+    import pyarrow as pa
+
+    shared = star.sparkSession.sparkContext.broadcast(bits)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for b in batches:
+            h = mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(8 * len(held))
+            keep = pa.array((held[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1) > 0)
+            b = b.filter(keep)
+            if b.num_rows:
+                for i in (1, 2):
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(i)], names=["sig", "node"])
+
+    return star.select("sig", "a", "b").mapInArrow(run, "sig long, node long").distinct()
+
+
 def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of kind 1 by token, and their places in the order of counts. A task names a token only if FREQUENT of its documents
     have it, so that they number at most the mean set size over FREQUENT, whatever the number of documents.
@@ -223,15 +241,13 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) ->
             yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(shared, pa.int64())], names=["a", "b", "ra", "rb", "na", "nb", "shared"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
         for b in slices(batches, 200):
             keep, far = [], []
-            for x, y, p, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), binary_texts(b.column(2)), binary_texts(b.column(3)), strict=True):
-                if len(known) > 64:
-                    known.clear()
-                for k, t in ((x, p), (y, q)):
-                    if k not in known:
-                        known[k] = shingle_set(t)
+            a_ids, b_ids = b.column(0).to_pylist(), b.column(1).to_pylist()
+            texts = dict(zip(a_ids, binary_texts(b.column(2)), strict=True)) | dict(zip(b_ids, binary_texts(b.column(3)), strict=True))
+            values, ends = shingle_sets(list(texts.values()))
+            known = {k: values[i:j] for k, i, j in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+            for x, y in zip(a_ids, b_ids, strict=True):
                 both = len(np.intersect1d(known[x], known[y], assume_unique=True))
                 union = len(known[x]) + len(known[y]) - both
                 keep.append(100 * both >= 75 * union and both > 0)
@@ -326,7 +342,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     apart = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     mixed = star.join(materialize(apart, "apart"), ["a", "b"]).select("sig").distinct()
     bits = signature_bitmap(mixed)
-    more = materialize(signature_rows(docs, text, seed, frequent, bits).select("sig", "node").distinct(), "mixed")
+    more = materialize(bucket_members(star, bits), "members")
     # one member that all of a bucket are measured against: new links, and distances for the triangle inequality
     center = materialize(more.groupBy("sig").agg(F.min("node").alias("o")), "centers")
     more = materialize(more.join(center, "sig").join(nodes.select("node", "n"), "node").select("sig", "node", "n", "o", F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")), "mixed")
