@@ -267,6 +267,15 @@ def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) ->
 
 def close_pairs(n: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, bits: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> list[tuple[int, int]]:
     """Pairs (i, j) of places in `left` and `right` of different components that sizes, distances to the centre and bitmaps let link."""
+    x, y = left[:, None], right[None, :]
+    may = (c[x] != c[y]) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])) & (low[y] - high[x] <= 0.250001) & (low[x] - high[y] <= 0.250001)
+    if same:
+        may &= y > x
+    x, y = np.nonzero(may)
+    if len(x) <= 64:
+        few = ((int(left[i]), int(right[k])) for i, k in zip(x, y, strict=True))
+        return [(i, k) for i, k in few if 100 * (m := most_shared(bits[i], bits[k], int(n[i]), int(n[k]))) >= 75 * (n[i] + n[k] - m)]
+    left, right = left[may.any(axis=1)], right[may.any(axis=0)]
     out, by = [], {}
     for k in right:
         by.setdefault(len(bits[k]), []).append(k)
@@ -303,23 +312,47 @@ def across_components(own: DataFrame, nodes: DataFrame) -> DataFrame:
     A centre's nodes are dealt to blocks of about CELL, and every two blocks are one group, where pairs are tried with whole
     arrays; only those that may link come out.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     cells = materialize(own.groupBy("o").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("o", F.ceil(F.col("m") / CELL).cast("int").alias("k")), "cells")
     rows = own.join(cells, "o").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.join(nodes.select("node", "sketch"), "node").where("sketch IS NOT NULL")
-    rows = rows.select("o", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "node", "n", "c", "low", "high", "sketch")
-
-    def cell(g: pd.DataFrame) -> pd.DataFrame:
-        arrays = [g[x].to_numpy() for x in ("n", "c", "low", "high")]
-        bits = [np.frombuffer(x, np.uint8) for x in g["sketch"]]
-        p, q = g["p"].iloc[0], g["q"].iloc[0]
-        block, node = g["i"].to_numpy(), g["node"].to_numpy()
-        found = close_pairs(*arrays, bits, np.flatnonzero(block == p), np.flatnonzero(block == q), p == q)
-        x = np.array(found, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": np.minimum(node[x[:, 0]], node[x[:, 1]]), "b": np.maximum(node[x[:, 0]], node[x[:, 1]])})
-
-    return rows.groupBy("o", "p", "q").applyInPandas(cell, "a long, b long").distinct()
+    rows = rows.withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")})
+
+    names = ["o", "p", "q", "i", "node", "n", "c", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols, bits = [], []  # rows of the last group seen, which may go on
+
+        def found(whole: int):
+            cut = np.flatnonzero(_changes(cols[:3])[:whole])
+            for at, to in zip(cut.tolist(), [*cut[1:].tolist(), whole], strict=True):
+                o, p, q, i, node, *rest = (x[at:to] for x in cols)
+                left, right = np.flatnonzero(i == p[0]), np.flatnonzero(i == q[0])
+                x = np.array(close_pairs(*rest, [np.frombuffer(v, np.uint8) for v in bits[at:to]], left, right, p[0] == q[0]), np.int64).reshape(-1, 2)
+                if len(x):
+                    x = np.sort(node[x], axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+        for b in slices(batches, 2000):
+            new = [b.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))]
+            cols = [np.concatenate(x) for x in zip(cols, new, strict=True)] if cols else new
+            bits += b.column(len(names)).to_pylist()
+            last = int(np.flatnonzero(_changes(cols[:3]))[-1])
+            yield from found(last)
+            cols, bits = [x[last:] for x in cols], bits[last:]
+        if bits:
+            yield from found(len(bits))
+
+    rows = rows.select(*names, "sketch").repartition("o", "p", "q").sortWithinPartitions("o", "p", "q")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _changes(keys: list[np.ndarray]) -> np.ndarray:
+    """True for each row whose keys differ from those of the row before; the first does."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
