@@ -11,6 +11,7 @@ from maskwell.functions.validators import VALIDATORS
 from maskwell.operators.analyzer import Analyzer, Registry, exploded
 from maskwell.operators.anonymizer import Anonymizer, OperatorConfig
 from maskwell.operators.catalog import PATTERNS
+from maskwell.operators.nlp import decode_bio, tokens
 from maskwell.operators.phone import PhoneRecognizer
 from maskwell.operators.recognizers import Pattern, PatternRecognizer, predefined
 
@@ -219,6 +220,28 @@ def phone_numbers(spark, sf_dir):
     return exploded(a.analyze(docs(spark, sf_dir), lang="lang")).select("doc_id", "start", "end", "match", "score")
 
 
+# ---------------------------------------------------------------- tokens and labels
+
+@query("tokens", """
+SELECT doc_id, w AS text, lower(w) AS lemma, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+')) AS w FROM documents) GROUP BY doc_id, w""")
+def token_counts(spark, sf_dir):
+    t = docs(spark, sf_dir).select("doc_id", F.explode(tokens(F.col("text"))).alias("t"))
+    return t.groupBy("doc_id", "t.text", "t.lemma").agg(F.count("*").alias("n"))
+
+
+@query("decode_labels", """
+SELECT o_orderkey, entity_type, "start", "end", score FROM (
+  SELECT o_orderkey, 'PER' AS entity_type, CAST(0 AS BIGINT) AS "start", CAST(CASE WHEN o_orderkey % 2 = 0 THEN 9 ELSE 4 END AS BIGINT) AS "end", CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0.625 ELSE 0.5 END AS DOUBLE) AS score FROM orders
+  UNION ALL SELECT o_orderkey, 'LOC', 5, 9, CAST(0.75 AS DOUBLE) FROM orders WHERE o_orderkey % 2 <> 0)""")
+def decode_labels(spark, sf_dir):
+    """Orders as two labelled tokens; an even key's second one goes on with the first's entity."""
+    label = F.when(F.col("o_orderkey") % 2 == 0, "I-PER").otherwise("I-LOC")
+    token = lambda s, e, x, p: F.struct(F.lit(s).alias("start"), F.lit(e).alias("end"), x.alias("label"), F.lit(p).alias("score"), F.lit(False).alias("is_special"))
+    found = decode_bio(F.array(token(0, 4, F.lit("B-PER"), 0.5), token(5, 9, label, 0.75)))
+    return docs(spark, sf_dir, "orders").select("o_orderkey", F.explode(found).alias("e")).select("o_orderkey", "e.entity_type", F.col("e.start").cast("long").alias("start"), F.col("e.end").cast("long").alias("end"), "e.score")
+
+
 # ---------------------------------------------------------------- reports
 
 _MAIN = ("EMAIL_ADDRESS", "IP_ADDRESS", "CREDIT_CARD")

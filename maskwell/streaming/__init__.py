@@ -1 +1,25 @@
-"""PII detection and de-identification on Spark DataFrames."""
+"""Detection and de-identification of streams: stateless, so that the expressions of a batch run on them as they are."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from maskwell.operators.analyzer import Analyzer
+from maskwell.operators.anonymizer import Anonymizer, OperatorConfig
+
+
+def deidentify(stream: DataFrame, analyzer: Analyzer, operators: dict[str, OperatorConfig] | None = None, text: str = "text", **options) -> DataFrame:
+    """A stream (or table) with the column text de-identified and the number of items in n_items (a null text stays null, with 0); other columns pass."""
+    from pyspark.sql import functions as F
+
+    found = analyzer.analyze(stream.withColumnRenamed(text, "text"), **options)
+    done = Anonymizer().anonymize(found, operators or {"DEFAULT": OperatorConfig("replace")})
+    done = done.withColumn("text", F.col("anonymized.text")).withColumn("n_items", F.coalesce(F.size("anonymized.items"), F.lit(0))).drop("anonymized", "spans")
+    return done.withColumnRenamed("text", text)
+
+
+def write(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Parquet, each input row exactly once over restarts; with `once`, what is there now and then the end."""
+    w = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (w.trigger(availableNow=True) if once else w).start()
