@@ -157,6 +157,19 @@ def test_passages_are_found_and_cut(docs, rows, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_passages_whose_halves_earlier_documents_hold_apart(spark):
+    rng = np.random.default_rng(8)
+    fresh = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 1 << 40, n))
+    rows, want = [], {}
+    for k in range(0, 240, 4):
+        a, b = fresh(28), fresh(28)
+        rows += [(k, f"{fresh(30)} {a} {fresh(30)}"), (k + 1, f"{fresh(30)} {b} {fresh(30)}"), (k + 2, f"{fresh(20)} {a} {b} {fresh(20)}"), (k + 3, f"{fresh(9)} {a} {b} {fresh(40)}")]
+        want[k + 3] = (k + 2, 9, 65)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.first_doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(df).collect()}
+    assert got == want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     v = rng.integers(-40, 40, (300, 8)).astype(float)
