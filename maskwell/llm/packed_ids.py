@@ -125,7 +125,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok, self.cache_size = Tokenizer.from_file(path), cache
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the tokenizer cuts out of a text; runs that hold one are asked for whole.
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -175,7 +176,7 @@ class WordEncoder:
         known, cut, letters, rest = self.known, [], set(), set()
         for w in words:
             core = w.rstrip(self.MARKS)
-            if not core.isalpha() or not (core.isascii() or normalize("NFC", core).lower().isalpha()):  # a combining mark would join the marks
+            if any(a in w for a in self.added) or not core.isalpha() or not (core.isascii() or normalize("NFC", core).lower().isalpha()):  # a combining mark would join the marks
                 rest.add(w)
                 continue
             marks = w[len(core) :]

@@ -80,6 +80,15 @@ def test_word_encoder_equals_the_library():
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(texts)] == want
 
 
+def test_word_encoder_takes_added_tokens_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    e, tok = packed_ids.WordEncoder(path), Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y, <|endoftext|>.", "<|ENDOFTEXT|> <|endoftext |>", "<|endoftext|><|endoftext|>it's"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packed_files(spark, docs, rows, tmp_path):
     from tokenizers import Tokenizer
 
