@@ -39,9 +39,10 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn with probabilities raked to tempered source, language and topic shares."""
+    """Documents are drawn to tempered source, language and topic shares; one drawn more than once is repeated as rows."""
     sums = raking.cell_sums(docs)
-    return raking.mix(docs, raking.own_targets(sums, MIX_POWER), MIX_SHARE, sums=sums).select(*docs.columns)
+    rows = raking.mix(docs, raking.own_targets(sums, MIX_POWER), MIX_SHARE, sums=sums)
+    return rows.withColumn("__copy", F.explode(F.expr("sequence(1L, __repeats)"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Token counts are summed by source, language and topic. Raking scales the cells until their weights have the target
-marginals of all three; a document is kept with a probability proportional to its cell's weight per token, and drawn by
+marginals of all three; a document is drawn a number of times whose mean is proportional to its cell's weight per token, by
 a hash of its id, so that a run repeated keeps the same rows. Targets name the categories; all others, and nulls, are
 one category "(other)" of each margin, so that the contingency table has at most (S+1)(L+1)(T+1) cells whatever the
 number of documents: it is summed in the cluster, raked on the driver, and joined back by broadcast.
 
-Each cell's probability is at most 1; the common factor is set so that the expected tokens are `share` of all. A margin
+The expected tokens, with repeats, are `share` of all. A cell that needs more than its tokens has its documents repeated
+(__repeats), so that the drawn tokens have the target marginals however skewed the corpus is. A margin
 whose target can't be met (no rows) gives its weight to the others in proportion. Null texts have no tokens and are
 drawn with their cell's probability; a null id counts as the id 'null' in the draw; repeated rows fall alike. An empty
 table gives no rows.
@@ -78,6 +79,12 @@ def probabilities(cells: dict[tuple, float], weight: dict[tuple, float], share:
     return {k: min(1.0, high * ratio.get(k, 0.0)) for k in cells}
 
 
+def multiples(cells: dict[tuple, float], weight: dict[tuple, float], share: float) -> dict[tuple, float]:
+    """How often each cell's documents are drawn in the mean, so that the expected tokens have the weights and are `share` of all."""
+    total = sum(cells.values())
+    return {k: share * total * weight.get(k, 0.0) / v if v > 0 else 0.0 for k, v in cells.items()}
+
+
 def tempered(sums: dict[str, float], power: float) -> dict[str, float]:
     """Shares in proportion to the token counts to a power below 1, which lifts the small ones."""
     raised = {k: v**power for k, v in sums.items() if v > 0}
@@ -92,7 +99,7 @@ def cell_sums(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def mix(docs: DataFrame, targets: tuple[dict[str, float], dict[str, float], dict[str, float]], share: float = SHARE, seed: int = 7, text: str = "text", sums: DataFrame | None = None) -> DataFrame:
-    """The rows of docs that are drawn, with __topic, __tokens and __probability added. sums: cell_sums(docs), if at hand."""
+    """The rows of docs that are drawn, with __topic, __tokens, __probability and __repeats (1 at least) added. sums: cell_sums(docs), if at hand."""
 
     def named(axes) -> list[Column]:
         return [F.when(a.isin(list(t)), a).otherwise(OTHER) if t else F.lit(OTHER) for a, t in zip(axes, targets, strict=True)]
@@ -107,13 +114,15 @@ def mix(docs: DataFrame, targets: tuple[dict[str, float], dict[str, float], dict
         rest = sum(v for k, v in cells.items() if k[axis] not in target) / max(sum(cells.values()), 1.0)
         scale = (1 - rest) / (sum(target.values()) or 1.0)
         full.append({k: v * scale for k, v in target.items()} | ({OTHER: rest} if rest else {}))
-    p = probabilities(cells, rake(cells, full), share) if cells else {}
-    table_of = docs.sparkSession.createDataFrame([(*k, v) for k, v in p.items()], "__s string, __l string, __t string, __probability double")
+    p = multiples(cells, rake(cells, full), share) if cells else {}
+    table_of = docs.sparkSession.createDataFrame([(*k, v) for k, v in p.items()], "__s string, __l string, __t string, __multiple double")
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     rows = docs.withColumn("__topic", topic_of(F.col(text)))
     s, l, t = named((F.col("source"), F.col("lang"), F.col("__topic")))
-    rows = rows.withColumns({"__s": s, "__l": l, "__t": t}).join(F.broadcast(table_of), ["__s", "__l", "__t"]).where(drawn < F.col("__probability"))
-    return rows.withColumn("__tokens", n_words(F.col(text))).drop("__s", "__l", "__t")
+    rows = rows.withColumns({"__s": s, "__l": l, "__t": t}).join(F.broadcast(table_of), ["__s", "__l", "__t"])
+    whole = F.floor("__multiple")
+    rows = rows.withColumns({"__probability": F.least("__multiple", F.lit(1.0)), "__repeats": (whole + (drawn < F.col("__multiple") - whole).cast("int")).cast("long")}).where("__repeats > 0")
+    return rows.withColumn("__tokens", n_words(F.col(text))).drop("__s", "__l", "__t", "__multiple")
 
 
 def own_targets(sums: DataFrame, power: float, max_sources: int = 10_000) -> tuple[dict, dict, dict]:
@@ -131,7 +140,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sums = cell_sums(docs)
     out = mix(docs, own_targets(sums, 0.5), sums=sums)
-    return out.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__probability").alias("probability"))
+    return out.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__probability").alias("probability"), F.col("__repeats").alias("n_repeats"))
 
 
 QUERIES = {"op5_mix_sources": op5_mix_sources}

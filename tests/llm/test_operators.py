@@ -256,6 +256,20 @@ def test_raking_meets_targets(docs, empty):
     assert raking.mix(empty, raking.own_targets(raking.cell_sums(empty), 0.5)).count() == 0
 
 
+def test_drawn_tokens_have_the_targets_when_cells_need_repeats(spark):
+    rng = np.random.default_rng(9)
+    skewed = [(i, words(rng, 10), "en" if i % 3 else "fr", "big" if i % 40 else "small") for i in range(8000)]
+    df = spark.createDataFrame(skewed, "doc_id long, text string, lang string, source string")
+    source, lang, topic = raking.own_targets(raking.cell_sums(df), 0.5)
+    out = raking.mix(df, (source, lang, topic), 0.6)
+    got = out.selectExpr("source", "lang", "__tokens * __repeats AS n").collect()
+    total = sum(r.n for r in got)
+    assert total == pytest.approx(0.6 * 80_000, rel=0.05) and source["small"] > 0.1
+    for axis, target in (("source", source), ("lang", lang)):
+        for k, v in target.items():
+            assert sum(r.n for r in got if r[axis] == k) / total == pytest.approx(v, rel=0.08)
+
+
 def test_pseudo_likelihood_prefers_order(spark):
     rng = np.random.default_rng(7)
     chain = [f"t{i}" for i in range(30)]
