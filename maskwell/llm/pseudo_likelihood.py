@@ -1,7 +1,7 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
 Tokens are words and runs of other marks, lower-cased. The most frequent WORDS of the whole corpus have ids of their own,
-the others share hashed ones. For each position the vectors of the two tokens on either side, by place, are added and
+the others share hashed ones, whose mass their words have in equal parts. For each position the vectors of the two tokens on either side, by place, are added and
 squashed; a softmax gives the class of the masked token, and its share of the class's count the token in it. The sum of
 the conditional log-probabilities over all positions scores the document.
 
@@ -64,7 +64,7 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 class Vocabulary:
     """Ids, classes and log-shares of tokens within their class."""
 
-    def __init__(self, top: list[tuple[str, int]], total: int):
+    def __init__(self, top: list[tuple[str, int]], total: int, distinct: int | None = None):
         self.ids = {w: i for i, (w, _) in enumerate(top)}
         count = np.full(IDS, 0.5)
         count[: len(top)] += [n for _, n in top]
@@ -75,7 +75,9 @@ class Vocabulary:
         self.classes = np.zeros(IDS, np.int64)
         self.classes[order] = np.minimum((mass / mass[-1] * CLASSES).astype(np.int64), CLASSES - 1)
         sums = np.bincount(self.classes[:PAD], count[:PAD], CLASSES)
-        self.share = np.log(count / np.maximum(sums[self.classes], 0.5)).astype(np.float32)
+        words = np.ones(IDS)  # that an id stands for
+        words[WORDS:PAD] = max(((distinct or 0) - len(top)) / HASHED, 1.0)
+        self.share = np.log(count / words / np.maximum(sums[self.classes], 0.5)).astype(np.float32)
 
     def encode(self, words: list[str]) -> np.ndarray:
         get = self.ids.get
@@ -208,9 +210,9 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndarray]:
     from maskwell.llm.common import materialize
 
     counts = materialize(word_counts(docs, text), "word-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     top = [(r.w, r.n) for r in counts.orderBy(F.desc("n"), "w").limit(WORDS).collect()]
-    v = Vocabulary(top, total)
+    v = Vocabulary(top, total or 0, distinct)
     return v, train(docs, v, text)
 
 

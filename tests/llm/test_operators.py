@@ -283,6 +283,13 @@ def test_pseudo_likelihood_prefers_order(spark):
     assert got[9].pseudo_log_likelihood == got[10].pseudo_log_likelihood == 0 and got[9].n_tokens == 0
 
 
+def test_unlisted_words_share_the_mass_of_their_bucket():
+    top = [(f"w{i}", 200) for i in range(pseudo_likelihood.WORDS)]
+    v = pseudo_likelihood.Vocabulary(top, 200 * len(top) + 280_000, len(top) + 280_000)  # the others occur once each
+    mass = np.exp(v.share.astype(float)) * np.bincount(v.classes[: pseudo_likelihood.PAD], minlength=pseudo_likelihood.CLASSES)[v.classes]
+    assert mass[pseudo_likelihood.WORDS] < mass[: pseudo_likelihood.WORDS].min() / 20
+
+
 def test_language_evidence(spark):
     train = spark.createDataFrame([("the cat and the dog were there with them", "en"), ("le chat et la souris dans une maison", "fr")] * 20, "text string, lang string")
     names, logs = language.fit(train)
