@@ -5,8 +5,7 @@ the others share hashed ones, whose mass their words have in equal parts. For ea
 squashed; a softmax gives the class of the masked token, and its share of the class's count the token in it. The sum of
 the conditional log-probabilities over all positions scores the document.
 
-Counts cover all tokens of all documents. Every partition trains its own copy on every STRIDE-th position of each of its
-documents, from one start, and the copies are averaged by the number of positions, chunk by chunk, in two steps of
+Counts cover all tokens of all documents. Every partition trains its own copy on every position of each of its documents, from one start, and the copies are averaged by the number of positions, chunk by chunk, in two steps of
 streamed sums; so what is gathered grows with the input, and no task or driver holds more than a few models.
 Null, empty and blank texts have no tokens and score 0. Repeated rows score alike; an empty table gives no rows.
 """
@@ -29,7 +28,7 @@ WORDS, HASHED, HIDDEN, CLASSES = 3584, 511, 16, 64
 PAD = WORDS + HASHED
 IDS = PAD + 1
 PLACES = (-2, -1, 1, 2)
-STRIDE, STEP, BATCH, RATE = 8, 256, 2048, 0.15
+STEP, BATCH, RATE = 256, 2048, 0.15
 FLUSH = 400_000
 CHUNKS = 8
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -132,6 +131,11 @@ def _padded(ids: np.ndarray) -> np.ndarray:
     return np.concatenate(([PAD, PAD], ids, [PAD, PAD])).astype(np.int32)
 
 
+def targets_at(ids: np.ndarray) -> np.ndarray:
+    """The positions of padded ids that a network learns from: all tokens."""
+    return np.arange(2, len(ids) - 2)
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, text: str) -> np.ndarray:
     import pyarrow as pa
 
@@ -143,7 +147,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str) -> np.ndarray:
         for b in slices(batches):
             for t in b.column(0).to_pylist():
                 ids = _padded(v.encode(tokens_of(t)))
-                at = np.arange(2 + len(ids) % STRIDE, len(ids) - 2, STRIDE)
+                at = targets_at(ids)
                 held.append(_contexts(ids, at))
                 targets.append(v.classes[ids[at]])
                 waiting += len(at)

@@ -290,6 +290,12 @@ def test_unlisted_words_share_the_mass_of_their_bucket():
     assert mass[pseudo_likelihood.WORDS] < mass[: pseudo_likelihood.WORDS].min() / 20
 
 
+def test_every_token_is_a_target():
+    for n in (0, 1, 5, 8, 100):
+        ids = pseudo_likelihood._padded(np.arange(n, dtype=np.int32))
+        assert ids[pseudo_likelihood.targets_at(ids)].tolist() == list(range(n))
+
+
 def test_language_evidence(spark):
     train = spark.createDataFrame([("the cat and the dog were there with them", "en"), ("le chat et la souris dans une maison", "fr")] * 20, "text string, lang string")
     names, logs = language.fit(train)
