@@ -20,11 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, in local mode only."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = os.environ.setdefault("MASKWELL_LOCAL_SHARED", tempfile.mkdtemp(prefix="maskwell-"))
-        path = f"file://{path}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"file://{os.environ.setdefault('MASKWELL_LOCAL_SHARED', tempfile.mkdtemp(prefix='maskwell-'))}"
     return path.rstrip("/")
 
 
@@ -32,24 +33,90 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Lets go of a query's shuffle files as soon as its result is written, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """df as Parquet; its shuffle files go when it is done."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, what: str = "stage") -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared folder; its size then is known to the planner."""
+    """Cuts the lineage with a Parquet table in the shared folder; its size then is known to the planner. free() deletes it."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    write_table(df, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables of materialize(), on whatever file system they are. Nothing that is still to run may read them."""
+    for t in tables:
+        spark, path = t.sparkSession, t._table_path
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+# ---------------------------------------------------------------- Python workers
+
+#: What a worker process keeps over its tasks: one operator's objects at a time.
+_KEPT: dict[str, object] = {}
+
+
+def kept(owner: str, make):
+    """make() of this owner, kept over the tasks of a worker process until another owner's work comes to it."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = make()
+    return _KEPT[owner]
+
+
+def drop_others(owner: str | None) -> None:
+    for other in [k for k in _KEPT if k != owner]:
+        del _KEPT[other]
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, so that idle workers stay small."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run, schema, owner: str | None = None) -> DataFrame:
+    """df.mapInArrow(run, schema) whose workers drop what other owners keep, and give memory back at a task's end."""
 
+    def task(batches: Iterator) -> Iterator:
+        drop_others(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table written by materialize() or fresh_path(), on whatever file system it is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return df.mapInArrow(task, schema)
 
 
-def path_of(df: DataFrame) -> str:
-    """The folder that a table of materialize() lies in."""
-    return df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""
+def free_name(taken, base: str) -> str:
+    """A column name that none of `taken` clashes with, whatever the case."""
+    low = {c.lower() for c in taken}
+    while base.lower() in low:
+        base += "_"
+    return base
 
 
 def in_train_fold(doc_id: str = "doc_id"):

@@ -1,18 +1,23 @@
 """N-gram Jaccard join on sets of five-word shingles, by token-combination prefixes.
 
-Tokens, here shingles, are in one global order: rare ones by hash, then frequent ones by count and hash. A document indexes
+Tokens, here shingles, are in one global order: those that tasks met seldom by hash, then those they met oftener by hash (a bitmap of
+bounded size tells which), then frequent ones by count and hash. A document indexes
 a prefix of its tokens: single tokens of the rare class, pairs of tokens of the same group of the frequent class. With o the
 least overlap that a partner needs (o >= 0.75 n), the prefix goes on until sum over groups max(0, held - k + 1) exceeds
 n - o, where k is 1 for rare tokens and 2 for frequent groups; fewer than that many tokens can be missing from a partner,
 so that partners share a signature. Groups are as many as an eighth of the size class; a document uses the size classes
 that partners can have.
 
-Equal sets are one node. Every bucket of a signature is first spanned by a star, within each task before the shuffle and
-then over tasks; its pairs are measured, and components found. A bucket is done if its star lies in one
-component. In the other buckets all are measured against one member, and then the pairs between components are verified
-that sizes and the triangle inequality of Jaccard distances leave, so that no link between different components is missed,
-and no pairs within one are enumerated. Links join components exactly as all pairs would. Before texts are fetched for a
-pair, bitmaps of its sets, of 8 to 16 bits a shingle, bound its overlap from above; only pairs that may link go on.
+Equal sets are one node. In a bucket of at most SMALL nodes every pair whose sizes allow a link is a candidate: at most SMALL / 2 for
+each of its rows. A larger bucket is spanned by a star, within each task before the shuffle and then over tasks. Before texts are
+fetched for a candidate, bitmaps of its sets, of 8 to 16 bits a shingle, bound its overlap from above; the rest are verified,
+and components found. A large bucket is done if its star lies in one component. The nodes of the others are dealt to cells of about
+CELL shingles, and every two cells of a bucket are compared with whole arrays that count the shingles in common exactly; only links
+between different components come out. Links join components exactly as all pairs would.
+
+At last each component is dealt to cells in the same way and its links are counted, those inside a component of thousands of near
+copies too, without a row for each: n_links is the number of other documents that a document links to, copies included.
+That work grows with the square of a component's distinct texts, spread over tasks; copies of one text count as one.
 
 Null, empty and blank texts have no shingles, link with nothing and are their own component; texts with fewer than five
 words have one shingle. A null doc_id takes no part and has a null component. Rows that repeat an id count each.
@@ -27,13 +32,20 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import binary_texts, materialize, mix, shingle_sets, slices, table
-from maskwell.llm.pairs import components, runs, star_batches, with_texts
+from maskwell.llm.common import binary_texts, free, map_arrow, materialize, mix, shingle_sets, slices, table
+from maskwell.llm.pairs import bitmap, components, may_hold, runs, with_texts
 
-#: A token is frequent if it is in FREQUENT of a task's documents, and in LEAST at least.
-FREQUENT, LEAST = 0.002, 24
-FLUSH = 2_000_000
-SIG_BITS = 1 << 23
+#: A token is frequent if it is in FREQUENT of the distinct sets, and in LEAST at least, not counting windows of a task where less than SOME have it.
+FREQUENT, LEAST, SOME = 0.002, 24, 2
+#: The map of tokens that were met MET times or more so: bits for each, and bits at least and at most (32 MB to broadcast). Where it fills
+#: up at size, more tokens count as met often, in the end all, and their order is by hash alone.
+MET, BITS_EACH, BITS = 4, 8, (1 << 20, 1 << 28)
+#: Signatures that a task holds, and tokens whose counts it holds.
+FLUSH, WINDOW = 1_000_000, 4_000_000
+#: Buckets of up to so many nodes give all their pairs as candidates; larger ones give a star.
+SMALL = 16
+#: Shingles in a cell, about; shingles of so many nodes of a cell are counted by products of dense columns.
+CELL, DENSE, COLUMNS = 400_000, 16, 2048
 
 
 def set_ids(values: np.ndarray, ends: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +77,7 @@ def most_shared(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
 
 
 def sets(docs: DataFrame, text: str, seed: int) -> DataFrame:
-    """kind 0: a document (id, n, d1, d2, sketch). kind 1: a token (id) that n documents of a task have, if it is frequent there."""
+    """kind 0: a document (id, n, d1, d2, sketch). kind 1: a token (id) that n sets of a task's window have, if SOME have it."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +85,7 @@ def sets(docs: DataFrame, text: str, seed: int) -> DataFrame:
 
         def frequent():
             t, c = np.unique(np.concatenate(held), return_counts=True)
-            few = c >= max(LEAST, FREQUENT * len(held))
+            few = c >= SOME
             k = int(few.sum())
             return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(t[few].view(np.int64)), pa.array(c[few]), pa.array([0] * k, pa.int64()), pa.array([0] * k, pa.int64()), pa.nulls(k, pa.binary())], names=names)
 
@@ -90,13 +102,13 @@ def sets(docs: DataFrame, text: str, seed: int) -> DataFrame:
                     held.append(s.copy())
                     n += to - at
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d1), np.int32)), b.column(0).cast(pa.int64()), pa.array(np.diff(ends)), pa.array(d1), pa.array(d2), pa.array(maps, pa.binary())], names=names)
-            if n >= 2 * FLUSH:
+            if n >= WINDOW:
                 yield frequent()
                 held, n, seen = [], 0, set()
         if held:
             yield frequent()
 
-    return docs.select("doc_id", text).mapInArrow(run, "kind int, id long, n long, d1 long, d2 long, sketch binary")
+    return map_arrow(docs.select("doc_id", text), run, "kind int, id long, n long, d1 long, d2 long, sketch binary")
 
 
 def _groups(n: int) -> int:
@@ -104,11 +116,13 @@ def _groups(n: int) -> int:
     return max(1, 1 << max(0, n.bit_length() - 4))
 
 
-def signatures(values: np.ndarray, ends: np.ndarray, common: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
-    """The signatures of each set. common: sorted frequent tokens, rank: their places in the order."""
+def signatures(values: np.ndarray, ends: np.ndarray, common: np.ndarray, rank: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+    """The signatures of each set. common: sorted frequent tokens, rank: their places in the order; bits: see token_bitmap()."""
     at = np.minimum(np.searchsorted(common, values), len(common) - 1) if len(common) else np.zeros(len(values), np.int64)
     often = common[at] == values if len(common) else np.zeros(len(values), bool)
     mixed = mix(values)  # the order of rare tokens, apart from the hash's order in the set; it stands for them
+    h = mixed & np.uint64(len(bits) * 64 - 1)
+    mixed = mixed >> np.uint64(1) | (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)) << np.uint64(63)
     out = []
     for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         n = j - i
@@ -146,206 +160,282 @@ def _combined(n: int, need: int, rest: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def signature_rows(docs: DataFrame, text: str, seed: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """sig, node and the node that a task has for it already (null: none). Each task passes a signature on once per FLUSH rows;
-    the other nodes it met with it come with that first one.
+def signature_rows(docs: DataFrame, text: str, seed: int, order: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """sig, node, its set's size n, big, and the node that the task has for the signature already (null: none).
+
+    Of a signature that a task meets with more than SMALL nodes the first row is marked big, and the others come with its node: they
+    need no shuffle.
     """
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # bounded: see frequent_tokens()
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # bounded: see token_order()
 
-    def out(sig, node):
+    def out(sig, node, n):
         with np.errstate(over="ignore"):
-            sig, node = np.concatenate(sig).view(np.int64), np.concatenate(node)
+            sig = np.concatenate(sig).view(np.int64)
+        node, n = np.concatenate(node), np.concatenate(n)
         order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
+        sig, node, n = sig[order], node[order], n[order]
         new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
-        sig, node = sig[new], node[new]
+        sig, node, n = sig[new], node[new], n[new]
         first = runs(sig)
-        center = pa.array(node[first], pa.int64(), mask=first == np.arange(len(first)))
+        big = np.bincount(first, minlength=len(first))[first] > SMALL
+        center = pa.array(node[first], pa.int64(), mask=~big | (first == np.arange(len(first))))
         for at in range(0, len(sig), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + 100_000]), pa.array(node[at : at + 100_000]), center.slice(at, 100_000)], names=["sig", "node", "center"])
+            s = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[s]), pa.array(node[s]), pa.array(n[s]), pa.array(big[s]), center.slice(at, 100_000)], names=["sig", "node", "n", "big", "center"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = shared.value
-        sig, node, n, seen = [], [], 0, set()
+        common, rank, bits = shared.value
+        sig, node, size, n, seen = [], [], [], 0, set()
         for b in slices(batches):
             values, ends = shingle_sets(binary_texts(b.column(0)))
             ids = set_ids(values, ends, seed)[0].tolist()
-            for k, x in zip(ids, signatures(values, ends, common, rank), strict=True):
+            for k, x, m in zip(ids, signatures(values, ends, common, rank, bits), np.diff(ends).tolist(), strict=True):
                 if not len(x) or k in seen:
                     continue
                 seen.add(k)
                 sig.append(x)
                 node.append(np.full(len(x), k, np.int64))
+                size.append(np.full(len(x), m, np.int32))
                 n += len(x)
             if n >= FLUSH:
-                yield from out(sig, node)
-                sig, node, n, seen = [], [], 0, set()
+                yield from out(sig, node, size)
+                sig, node, size, n, seen = [], [], [], 0, set()
         if n:
-            yield from out(sig, node)
+            yield from out(sig, node, size)
+
+    return map_arrow(docs.where(F.col("doc_id").isNotNull()).select(text), run, "sig long, node long, n int, big boolean, center long")
 
-    return docs.where(F.col("doc_id").isNotNull()).select(text).mapInArrow(run, "sig long, node long, center long")
 
+def _pairs(sig: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a signature's nodes whose sizes allow a link, each once."""
+    out = []
+    for d in range(1, SMALL):
+        same = np.flatnonzero(sig[d:] == sig[:-d])
+        if not len(same):
+            break
+        x, y = same, same + d
+        ok = (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])) & (node[x] != node[y])
+        out.append(np.stack([np.minimum(node[x], node[y])[ok], np.maximum(node[x], node[y])[ok]]))
+    both = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+    both = both[:, np.lexsort(both[::-1])]
+    new = np.ones(both.shape[1], bool)
+    new[1:] = (both[:, 1:] != both[:, :-1]).any(axis=0)
+    return both[0][new], both[1][new]
 
-def bucket_members(star: DataFrame, bits: np.ndarray) -> DataFrame:
-    """sig, node of the buckets whose signatures a bitmap has: a bucket's stars name all its nodes."""
+
+def bucket_pairs(batches: Iterator) -> Iterator:
+    """From rows (sig, node, n, big) in order of sig, big ones first: pairs (a, b) of small buckets with a null sig, stars of large ones with theirs.
+
+    A bucket's rows may go on over batches: of a large one only the first is remembered, of a small one at most SMALL.
+    """
     import pyarrow as pa
 
-    shared = star.sparkSession.sparkContext.broadcast(bits)  # of fixed size
+    def arrays(cols, last: bool):
+        """The rows to keep for the next call, and a batch."""
+        sig, node, n, big = cols
+        first = runs(sig)
+        size = np.bincount(first, minlength=len(sig))[first]
+        large = (size > SMALL) | big[first]
+        end = len(sig) if last else int(first[-1])  # the last bucket may go on
+        small = np.flatnonzero(~large[:end])
+        a, b = _pairs(sig[small], node[small], n[small])
+        star = np.flatnonzero(large & (node != node[first]))  # those of the last bucket too, if it is large already
+        x, y = node[first[star]], node[star]
+        sigs = pa.array(np.concatenate([np.zeros(len(a), np.int64), sig[star]]), mask=np.arange(len(a) + len(star)) < len(a))
+        batch = pa.RecordBatch.from_arrays([sigs, pa.array(np.concatenate([a, np.minimum(x, y)])), pa.array(np.concatenate([b, np.maximum(x, y)]))], names=["sig", "a", "b"])
+        held = [c[end:] for c in cols]
+        if len(held[0]) and large[-1]:
+            held = [c[:1].copy() for c in held]
+            held[3][:] = True
+        return held, batch
+
+    held: list[np.ndarray] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        held, batch = arrays([np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols, False)
+        if batch.num_rows:
+            yield batch
+    if held and len(held[0]):
+        yield arrays(held, True)[1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        for b in batches:
-            h = mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(8 * len(held))
-            keep = pa.array((held[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1) > 0)
-            b = b.filter(keep)
-            if b.num_rows:
-                for i in (1, 2):
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(i)], names=["sig", "node"])
 
-    return star.select("sig", "a", "b").mapInArrow(run, "sig long, node long").distinct()
+def candidates(rows: DataFrame) -> DataFrame:
+    """signature_rows() as a table of bucket_pairs(), with the tasks' own stars."""
+    dealt = rows.where("center IS NULL").select("sig", "node", "n", "big").repartition("sig").sortWithinPartitions("sig", F.desc("big"), "node")
+    over = map_arrow(dealt, bucket_pairs, "sig long, a long, b long")
+    own = rows.where("center IS NOT NULL").select("sig", F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
+    return over.unionByName(own)
+
 
+def token_order(rows: DataFrame, n_sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The frequent tokens by token and their places in the order of counts, and a bitmap of all tokens of kind 1.
 
-def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of kind 1 by token, and their places in the order of counts. A task names a token only if FREQUENT of its documents
-    have it, so that they number at most the mean set size over FREQUENT, whatever the number of documents.
+    Frequent ones have counts of FREQUENT * n_sets over all tasks, so that they number at most the mean set size over FREQUENT,
+    whatever the number of documents and sources.
     """
-    got = rows.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    sums = materialize(rows.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")), "tokens")
+    got = sums.where(F.col("n") >= max(LEAST, FREQUENT * n_sets)).collect()
     t = np.array([r.id for r in got], np.int64).view(np.uint64)
     n = np.array([r.n for r in got], np.int64)
     by = np.argsort(t)
     t, n = t[by], n[by]
     rank = np.empty(len(t), np.int64)
     rank[np.lexsort((mix(t), n))] = np.arange(len(t))
-    return t, rank
+    bits = token_bitmap(sums.where(F.col("n") >= MET))
+    free(sums)
+    return t, rank, bits
+
+
+def token_bitmap(tokens: DataFrame) -> np.ndarray:
+    """A bitmap, as 64-bit words, with the tokens `id`."""
+    import pyarrow as pa
+
+    size = min(max(1 << (BITS_EACH * tokens.count()).bit_length(), BITS[0]), BITS[1])
 
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = np.sort(mix(b.column(0).to_numpy().view(np.uint64)) & np.uint64(size - 1))
+            if len(h):
+                w = (h >> np.uint64(6)).astype(np.int64)
+                at = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), at).view(np.int64))], names=["w", "bits"])
 
-def stars(rows: DataFrame) -> DataFrame:
-    """sig, a, b: each bucket's nodes linked to its least one; the task's own stars as they are."""
-    sorted_rows = rows.where("center IS NULL").select("sig", "node").repartition("sig").sortWithinPartitions("sig", "node")
-    over = sorted_rows.mapInArrow(lambda it: star_batches(it, ["sig", "b", "a"], 2), "sig long, b long, a long")
-    own = rows.where("center IS NOT NULL").select("sig", F.col("node").alias("b"), F.col("center").alias("a"))
-    return own.unionByName(over).where("a <> b").select("sig", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    out = np.zeros(size // 64, np.int64)
+    got = map_arrow(tokens.select("id"), words, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most size / 64 rows
+    out[got.column("w").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint64)
 
 
-def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """Of pairs (a, b) of nodes: those that link, with their distance d (a table), and all whose sizes allow it, with a lower bound `low` (a table)."""
+def measured(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Of candidates (a, b) those that link, as a table."""
     import pyarrow as pa
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2000):
             na, nb = b.column(4).to_pylist(), b.column(5).to_pylist()
             x, y = (b.column(i).to_pylist() for i in (6, 7))
-            shared = [most_shared(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8), m, n) for p, q, m, n in zip(x, y, na, nb, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(shared, pa.int64())], names=["a", "b", "ra", "rb", "na", "nb", "shared"])
+            keep = []
+            for p, q, m, n in zip(x, y, na, nb, strict=True):
+                shared = most_shared(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8), m, n)
+                keep.append(100 * shared >= 75 * (m + n - shared))
+            yield b.select(["a", "b", "ra", "rb"]).filter(pa.array(keep, pa.bool_()))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 200):
-            keep, far = [], []
             a_ids, b_ids = b.column(0).to_pylist(), b.column(1).to_pylist()
             texts = dict(zip(a_ids, binary_texts(b.column(2)), strict=True)) | dict(zip(b_ids, binary_texts(b.column(3)), strict=True))
             values, ends = shingle_sets(list(texts.values()))
             known = {k: values[i:j] for k, i, j in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+            keep = []
             for x, y in zip(a_ids, b_ids, strict=True):
                 both = len(np.intersect1d(known[x], known[y], assume_unique=True))
-                union = len(known[x]) + len(known[y]) - both
-                keep.append(100 * both >= 75 * union and both > 0)
-                far.append(1 - both / max(union, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(far, pa.float64()), pa.array(keep, pa.bool_())], names=["a", "b", "d", "link"])
+                keep.append(100 * both >= 75 * (len(known[x]) + len(known[y]) - both) and both > 0)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     c = nodes.select("node", "rep", "n", "sketch")
     near = pairs.join(c.toDF("a", "ra", "na", "x"), "a").join(c.toDF("b", "rb", "nb", "y"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    near = near.select("a", "b", "ra", "rb", "na", "nb", "x", "y").mapInArrow(bound, "a long, b long, ra long, rb long, na long, nb long, shared long")
-    near = materialize(near, "bounds")
-    may = materialize(near.where("100 * shared >= 75 * (na + nb - shared)").select("a", "b", "ra", "rb"), "pairs")
+    near = map_arrow(near.select("a", "b", "ra", "rb", "na", "nb", "x", "y"), bound, "a long, b long, ra long, rb long")
+    may = materialize(near, "may-link")
     full = with_texts(may, docs, "ra", "rb", text)
-    exact = materialize(full.select("a", "b", "a_text", "b_text").mapInArrow(verify, "a long, b long, d double, link boolean"), "distances")
-    low = near.select("a", "b", (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("low"))
-    return exact.where("link").select("a", "b", "d"), low
-
-
-def close_pairs(n: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, bits: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Pairs (i, j) of places in `left` and `right` of different components that sizes, distances to the centre and bitmaps let link."""
-    x, y = left[:, None], right[None, :]
-    may = (c[x] != c[y]) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])) & (low[y] - high[x] <= 0.250001) & (low[x] - high[y] <= 0.250001)
-    if same:
-        may &= y > x
-    x, y = np.nonzero(may)
-    if len(x) <= 64:
-        few = ((int(left[i]), int(right[k])) for i, k in zip(x, y, strict=True))
-        return [(i, k) for i, k in few if 100 * (m := most_shared(bits[i], bits[k], int(n[i]), int(n[k]))) >= 75 * (n[i] + n[k] - m)]
-    left, right = left[may.any(axis=1)], right[may.any(axis=0)]
-    out, by = [], {}
-    for k in right:
-        by.setdefault(len(bits[k]), []).append(k)
-    stacks = {}
-    for size, ks in by.items():
-        m, ks = np.stack([bits[k] for k in ks]), np.array(ks)
-        stacks.setdefault(size, []).append((ks, m))
-        stacks.setdefault(size // 2, []).append((ks, m[:, : size // 2] | m[:, size // 2 :]))
-    for i in left:
-        x = bits[i]
-        todo = [(x, *e) for e in stacks.get(len(x), [])]
-        half = x[: len(x) // 2] | x[len(x) // 2 :]
-        todo += [(half, ks, m) for ks, m in stacks.get(len(half), []) if len(bits[ks[0]]) == len(half)]
-        for v, ks, m in todo:
-            ok = (c[ks] != c[i]) & (4 * np.minimum(n[ks], n[i]) >= 3 * np.maximum(n[ks], n[i])) & (low[ks] - high[i] <= 0.250001) & (low[i] - high[ks] <= 0.250001)
-            if same:
-                ok &= ks > i
-            ks, m = ks[ok], m[ok]
-            if not len(ks):
-                continue
-            both = np.bitwise_count(m & v).sum(axis=1, dtype=np.int64)
-            more = np.minimum(n[i] - int(np.bitwise_count(v).sum()), n[ks] - np.bitwise_count(m).sum(axis=1, dtype=np.int64))
-            shared = np.minimum(both + more, np.minimum(n[ks], n[i]))
-            out += [(int(i), int(k)) for k in ks[100 * shared >= 75 * (n[ks] + n[i] - shared)]]
+    out = materialize(map_arrow(full.select("a", "b", "a_text", "b_text"), verify, "a long, b long").distinct(), "links")
+    free(may)
     return out
 
 
-CELL = 256
-
-
-def across_components(own: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of one centre and different components that may link.
-
-    A centre's nodes are dealt to blocks of about CELL, and every two blocks are one group, where pairs are tried with whole
-    arrays; only those that may link come out.
+# ---------------------------------------------------------------- cells
+
+
+def overlaps(values: np.ndarray, ends: np.ndarray, left: int) -> np.ndarray:
+    """Sizes of the intersections of the first `left` sets with the others, or, if there are no others, with each other."""
+    g = len(ends) - 1
+    same = left == g
+    out = np.zeros((left, left if same else g - left), np.int32)
+    owner = np.repeat(np.arange(g, dtype=np.int32), np.diff(ends))
+    order = np.argsort(values, kind="stable")
+    v, o = values[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.empty(0, np.int64)
+    count = np.diff(np.append(first, len(v)))
+    # shingles that few sets have: their pairs, at most DENSE / 2 for each place
+    few = np.repeat((count > 1) & (count < DENSE), count)
+    fv, fo = v[few], o[few]
+    for d in range(1, DENSE - 1):
+        at = np.flatnonzero(fv[d:] == fv[:-d])
+        if not len(at):
+            break
+        x, y = fo[at], fo[at + d]  # ascending, as the sort is stable
+        if not same:
+            across = (x < left) & (y >= left)
+            x, y = x[across], y[across] - left
+        np.add.at(out, (x, y), 1)
+    # shingles that many have: products of dense columns
+    many = np.flatnonzero(count >= DENSE)
+    for at in range(0, len(many), COLUMNS):
+        some = many[at : at + COLUMNS]
+        n = count[some]
+        places = np.repeat(first[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        column = np.zeros((g, len(some)), np.float32)
+        column[o[places], np.repeat(np.arange(len(some)), n)] = 1
+        out += ((np.triu(column @ column.T, 1)) if same else column[:left] @ column[left:].T).astype(np.int32)
+    return out + out.T if same else out
+
+
+def linked(values: np.ndarray, ends: np.ndarray, left: int) -> np.ndarray:
+    """Which of the first `left` sets link with which of the others, or of themselves."""
+    n = np.diff(ends)
+    x, y = n[:left, None], (n if left == len(n) else n[left:])[None, :]
+    both = overlaps(values, ends, left)
+    return (both > 0) & (100 * both.astype(np.int64) >= 75 * (x + y - both))
+
+
+def in_cells(rows: DataFrame, docs: DataFrame, text: str, emit, schema: str) -> DataFrame:
+    """rows: g, node, rep, n, c, copies. Every two cells of a group g go through emit(node, c, copies, values, ends, left), as arrays,
+    with the nodes of the one cell before those of the other; it gives Arrow columns of `schema`.
     """
     import pyarrow as pa
 
-    cells = materialize(own.groupBy("o").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("o", F.ceil(F.col("m") / CELL).cast("int").alias("k")), "cells")
-    rows = own.join(cells, "o").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.join(nodes.select("node", "sketch"), "node").where("sketch IS NOT NULL")
-    rows = rows.withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")})
-
-    names = ["o", "p", "q", "i", "node", "n", "c", "low", "high"]
+    sizes = rows.groupBy("g").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("k"))
+    ids = rows.select("rep").distinct()
+    held = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("rep"), F.col(text).alias("t")).where(may_hold(bitmap(ids, "rep"), "rep"))
+    dealt = rows.join(sizes, "g").join(held.hint("merge"), "rep").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j")})
+    names = ["g", "p", "q", "i", "node", "c", "copies"]
+    out_names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols, bits = [], []  # rows of the last group seen, which may go on
-
-        def found(whole: int):
-            cut = np.flatnonzero(_changes(cols[:3])[:whole])
-            for at, to in zip(cut.tolist(), [*cut[1:].tolist(), whole], strict=True):
-                o, p, q, i, node, *rest = (x[at:to] for x in cols)
-                left, right = np.flatnonzero(i == p[0]), np.flatnonzero(i == q[0])
-                x = np.array(close_pairs(*rest, [np.frombuffer(v, np.uint8) for v in bits[at:to]], left, right, p[0] == q[0]), np.int64).reshape(-1, 2)
-                if len(x):
-                    x = np.sort(node[x], axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+        cols, texts = [], []  # rows of the last group seen, which may go on
+
+        def done(whole: int):
+            """The groups that end at row `whole`; none if that is 0."""
+            cut = np.flatnonzero(_changes(cols[:3])[:whole]).tolist()
+            for at, to in zip(cut, [*cut[1:], whole][: len(cut)], strict=True):
+                g, p, q, i, node, c, copies = (x[at:to] for x in cols)
+                _, one = np.unique(np.stack([i, node]), axis=1, return_index=True)  # repeated ids may have brought a text twice
+                one = one[np.argsort(i[one] != p[0], kind="stable")]
+                left = int((i[one] == p[0]).sum())
+                if p[0] != q[0] and left in (0, len(one)):  # one of the two cells is empty
+                    continue
+                values, ends = shingle_sets([texts[at + k] for k in one])
+                got = emit(node[one], c[one], copies[one], values, ends, left)
+                if got is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=out_names)
 
-        for b in slices(batches, 2000):
+        for b in slices(batches, 200):
             new = [b.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))]
             cols = [np.concatenate(x) for x in zip(cols, new, strict=True)] if cols else new
-            bits += b.column(len(names)).to_pylist()
+            texts += binary_texts(b.column(len(names)))
             last = int(np.flatnonzero(_changes(cols[:3]))[-1])
-            yield from found(last)
-            cols, bits = [x[last:] for x in cols], bits[last:]
-        if bits:
-            yield from found(len(bits))
+            if last:
+                yield from done(last)
+                cols, texts = [x[last:] for x in cols], texts[last:]
+        if texts:
+            yield from done(len(texts))
 
-    rows = rows.select(*names, "sketch").repartition("o", "p", "q").sortWithinPartitions("o", "p", "q")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    dealt = dealt.select(*names, "t").repartition("g", "p", "q").sortWithinPartitions("g", "p", "q")
+    return map_arrow(dealt, run, schema)
 
 
 def _changes(keys: list[np.ndarray]) -> np.ndarray:
@@ -355,70 +445,79 @@ def _changes(keys: list[np.ndarray]) -> np.ndarray:
     return new
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: the least doc_id that links reach."""
+def across_components(node, c, copies, values, ends, left):
+    """Links (a, b) between nodes of different components."""
+    n = len(node)
+    x, y = np.nonzero(linked(values, ends, left) & (c[:left, None] != (c if left == n else c[left:])[None, :]))
+    y = y if left == n else y + left
+    if not len(x):
+        return None
+    return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+
+
+def links_counted(node, c, copies, values, ends, left):
+    """node and the documents of the other cell, or its own, that link to it."""
+    n = len(node)
+    link = linked(values, ends, left)
+    if left == n:
+        return node, link @ copies
+    return node, np.concatenate([link @ copies[left:], copies[:left] @ link])
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id: the least doc_id that links reach; and with `links` n_links, the other documents that link to it."""
     for seed in range(8):
         rows = materialize(sets(docs, text, seed), "sets")
         nodes = rows.where("kind = 0 AND n > 0 AND id IS NOT NULL").groupBy(F.col("d1").alias("node")).agg(
-            F.min("id").alias("rep"), F.max("n").alias("n"), F.min("d2").alias("x"), F.max("d2").alias("y"), F.min("n").alias("m"), F.first("sketch").alias("sketch")
+            F.min("id").alias("rep"), F.max("n").alias("n"), F.min("d2").alias("x"), F.max("d2").alias("y"), F.min("n").alias("m"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")
         )
         nodes = materialize(nodes, "nodes")
-        if nodes.where("x <> y OR m <> n").isEmpty():  # else two sets share a digest: take another
+        if nodes.where("x <> y OR m <> n").isEmpty():
             break
-    frequent = frequent_tokens(rows)
-    star = materialize(stars(signature_rows(docs, text, seed, frequent)), "stars")
-    pairs = materialize(star.select("a", "b").distinct(), "star-pairs")
-    links, low = measured(pairs, nodes, docs, text)
-    labels = components(links)
-    # buckets whose star isn't in one component yet
+        free(rows, nodes)  # two sets share a digest: take another
+    else:
+        raise RuntimeError("sets share digests under every seed")
+    order = token_order(rows, nodes.count())
+    found = materialize(candidates(signature_rows(docs, text, seed, order)), "candidates")
+    pairs = materialize(found.select("a", "b").distinct(), "pairs")
+    known = measured(pairs, nodes, docs, text)
+    free(pairs)
+    labels = components(known)
+    # large buckets whose star isn't in one component yet: all their nodes, by the least one of the bucket
+    star = found.where("sig IS NOT NULL")
     la, lb = labels.toDF("a", "ca"), labels.toDF("b", "cb")
-    apart = pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    mixed = star.join(materialize(apart, "apart"), ["a", "b"]).select("sig").distinct()
-    bits = signature_bitmap(mixed)
-    more = materialize(bucket_members(star, bits), "members")
-    # one member that all of a bucket are measured against: new links, and distances for the triangle inequality
-    center = materialize(more.groupBy("sig").agg(F.min("node").alias("o")), "centers")
-    more = materialize(more.join(center, "sig").join(nodes.select("node", "n"), "node").select("sig", "node", "n", "o", F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")), "mixed")
-    spokes = materialize(more.where("a <> b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "spokes")
-    links2, low2 = measured(spokes, nodes, docs, text)
-    links = materialize(links.unionByName(links2), "links")
-    labels = components(links)
-    far = low.unionByName(low2).join(links, ["a", "b"], "left").select("a", "b", F.coalesce("d", "low").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
-    own = more.join(nodes.select(F.col("node").alias("o"), F.col("n").alias("no")), "o").join(materialize(far, "far"), ["a", "b"], "left").join(labels, "node", "left")
-    least = 1 - F.least("n", "no") / F.greatest("n", "no")
-    own = own.select("o", "node", "n", F.coalesce("label", "node").alias("c"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.greatest(least, F.coalesce("low", F.lit(0.0)))).alias("low"), F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"))
-    own = materialize(own.dropDuplicates(["o", "node"]), "mixed")
-    across = across_components(own, nodes)
-    across = across.join(pairs.unionByName(spokes), ["a", "b"], "left_anti")  # those have been measured
-    links3, _ = measured(materialize(across, "across"), nodes, docs, text)
-    if not links3.isEmpty():
-        labels = components(links.unionByName(links3))
-    whole = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("c"))
-    whole = materialize(whole, "labelled")
-    least = materialize(whole.groupBy("c").agg(F.min("rep").alias("component_id")), "least")
-    of = materialize(whole.join(least, "c").select(F.col("node").alias("d1"), "component_id"), "components")
-    out = rows.where("kind = 0").join(of, "d1", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))).alias("component_id"))
-
-
-def signature_bitmap(sigs: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with the signatures, added up task by task."""
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = []
-        for b in batches:
-            h = mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(SIG_BITS)
-            seen.append(np.unique(h >> np.uint64(3) << np.uint64(3) | h & np.uint64(7)))
-        if seen:
-            h = np.unique(np.concatenate(seen))
-            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(3)).astype(np.int32)), pa.array((1 << (h & np.uint64(7)).astype(np.int32)).astype(np.int32))], names=["w", "b"])
-
-    bits = np.zeros(SIG_BITS // 8, np.uint8)
-    got = sigs.mapInArrow(run, "w int, b int").groupBy("w").agg(F.bit_or("b").alias("b"))
-    for r in got.toLocalIterator():  # at most SIG_BITS / 8 small rows
-        bits[r.w] = r.b
-    return bits
+    apart = star.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("sig").distinct()
+    least = star.join(apart, "sig").select("sig", "a", "b")
+    least = materialize(least, "open")
+    center = least.groupBy("sig").agg(F.min("a").alias("g"))
+    members = least.join(center, "sig").select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
+    of = nodes.select("node", "rep", "n", "copies").join(labels, "node", "left").select("node", "rep", "n", "copies", F.coalesce("label", "node").alias("c"))
+    of = materialize(of, "labelled")
+    members = materialize(members.join(of, "node"), "members")
+    free(least, found)
+    more = materialize(in_cells(members, docs, text, across_components, "a long, b long").distinct(), "across")
+    free(members)
+    if not more.isEmpty():
+        free(labels, of)
+        labels = components(known.unionByName(more))
+        of = materialize(nodes.select("node", "rep", "n", "copies").join(labels, "node", "left").select("node", "rep", "n", "copies", F.coalesce("label", "node").alias("c")), "labelled")
+    free(known, more, nodes)
+    counted = None
+    if links:
+        inside = of.where("c <> node").select("c").distinct()
+        several = materialize(of.join(inside, "c").withColumn("g", F.col("c")), "several")
+        counted = materialize(in_cells(several, docs, text, links_counted, "node long, n long").groupBy("node").agg(F.sum("n").alias("links")), "links")
+        free(several)
+    least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
+    of_all = of.join(least, "c")
+    of_all = of_all.join(counted, "node", "left") if links else of_all.withColumn("links", F.lit(0))
+    whole = materialize(of_all.select(F.col("node").alias("d1"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "components")
+    free(of, labels, *([counted] if links else []))
+    out = rows.where("kind = 0").drop("sketch").join(whole, "d1", "left")
+    known_id, some = F.col("id").isNotNull(), F.col("n") > 0
+    component = F.when(known_id, F.when(some, F.col("component_id")).otherwise(F.col("id")))
+    counts = [F.when(known_id, F.when(some, F.col("n_links")).otherwise(F.lit(0))).cast("long").alias("n_links")] if links else []
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), *counts)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

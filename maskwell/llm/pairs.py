@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import materialize
+from maskwell.llm.common import free, materialize
 
 BITMAP_WORDS = 1 << 14
 
@@ -73,8 +73,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("m"))
         lower = materialize(labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")), "labels")
+        free(labels)
         up = lower.select(F.col("node").alias("label"), F.col("label").alias("up"))
         jumped = materialize(lower.join(up, "label", "left").select("node", "old", F.least("label", "up").alias("label")), "labels")
+        free(lower)
         labels = jumped.select("node", "label")
+        labels._table_path = jumped._table_path
         if jumped.where("old <> label").isEmpty():
+            free(both)
             return labels
