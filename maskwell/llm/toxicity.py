@@ -1,8 +1,8 @@
 """Toxicity: maximum-scoring segments of token log-odds, aggregated by extreme-value calibration.
 
 Token scores are log-odds between toxic and clean labelled texts under an informative Dirichlet prior (the corpus
-distribution), kept where they exceed ERRORS times their standard error and lowered by a drift, so that a clean text's running sum
-falls. A linear-time scan finds all maximal-scoring segments of a text. The chance of a segment of score s in n tokens
+distribution), lowered by a drift, so that a clean text's running sum falls; a text counts a word MOST times at most, and words met fewer
+than LEAST times have none. MOST, LEAST, the drift and the prior's mass were chosen by cross-validation within the training fold (README). A linear-time scan finds all maximal-scoring segments of a text. The chance of a segment of score s in n tokens
 of clean text is 1 - exp(-K n exp(-lambda s)); lambda solves E exp(lambda s) = 1 on clean tokens and K is fitted to the
 best segments of clean texts. The significant segments' evidence is summed and mapped to 0..1 by a logistic fit.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,13 +24,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import in_train_fold, slices, table
+from maskwell.llm.common import free_name, in_train_fold, map_arrow, slices, table
 
 TRAIN_ROWS = 20_000
-MODEL_WORDS = 20_000
+#: Words of the model at most, the most significant ones, so that its size is bounded.
+MODEL_WORDS = 200_000
 PRIOR_MASS = 2_000.0
-DRIFT = 0.5
-ERRORS = 3.0
+DRIFT = 2.0
+MOST, LEAST = 2, 5
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -93,16 +95,16 @@ def score_of(model: Model, best: float, total: float) -> float:
 
 
 def log_odds(counts: list[tuple[str, int, int]], totals: tuple[int, int]) -> dict[str, float]:
-    """Per word the log-odds of toxic against clean, shrunk to the corpus distribution; only those beyond ERRORS standard errors."""
+    """Per word the log-odds of toxic against clean, shrunk to the corpus distribution."""
     toxic, clean = totals
     every, out = toxic + clean, {}
     for w, t, c in counts:
         a = PRIOR_MASS * (t + c) / every
         delta = math.log((t + a) / (toxic + PRIOR_MASS - t - a)) - math.log((c + a) / (clean + PRIOR_MASS - c - a))
-        if abs(delta) > ERRORS * math.sqrt(1 / (t + a) + 1 / (c + a)):
-            out[w] = (delta, abs(delta) / math.sqrt(1 / (t + a) + 1 / (c + a)))
-    top = sorted(out, key=lambda w: -out[w][1])[:MODEL_WORDS]
-    return {w: out[w][0] for w in top}
+        out[w] = (delta, abs(delta) / math.sqrt(1 / (t + a) + 1 / (c + a)))
+    if len(out) > MODEL_WORDS:
+        out = {w: out[w] for w in sorted(out, key=lambda w: -out[w][1])[:MODEL_WORDS]}
+    return {w: d for w, (d, _) in out.items()}
 
 
 def solve_lambda(scores: np.ndarray, share: np.ndarray) -> float:
@@ -149,13 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         n = [0, 0]
         for b in slices(batches):
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in (found := set(words_of(text))):  # a text counts a word once
-                    seen.setdefault(w, [0, 0])[y > 0] += 1
-                n[y > 0] += len(found)
+                for w, k in Counter(words_of(text)).items():
+                    seen.setdefault(w, [0, 0])[y > 0] += min(k, MOST)
+                    n[y > 0] += min(k, MOST)
         seen[""] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], names=["w", "t", "c"])
 
-    sums = train.mapInArrow(count, "w string, t long, c long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("w = '' OR t + c >= 5")
+    sums = map_arrow(train, count, "w string, t long, c long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(f"w = '' OR t + c >= {LEAST}")
     got = [(r.w, r.t, r.c) for r in sums.collect()]  # at most a fifth of the sample's words
     totals = next(((t, c) for w, t, c in got if not w), (0, 0))
     if not min(totals):
@@ -180,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 raw.append([s for _, _, s in found])
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(raw, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["n", "s", "y"])
 
-    seen = train.mapInArrow(examine, "n long, s array<double>, y int").collect()  # bounded by `rows`
+    seen = map_arrow(train, examine, "n long, s array<double>, y int").collect()  # bounded by `rows`
     low = [(r.n, math.exp(-model.lam * max(r.s, default=0.0))) for r in seen if r.y == 0 and r.n]
     model.k = max(len(low) / max(sum(n * e for n, e in low), 1e-9), 1e-9)
     x = []
@@ -192,13 +194,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns of `keep`, score, predicted and the significant segments as word positions and p-values. No shuffle."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", names: tuple[str, str, str] = ("score", "predicted", "segments")) -> DataFrame:
+    """The columns of `keep`, the score, the prediction and the significant segments as word positions and p-values, by `names`. No shuffle."""
     import pyarrow as pa
     from pyspark.sql import types as T
 
     segment = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("p_value", T.DoubleType())]))
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("segments", segment)])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, k) for n, k in zip(names, (T.DoubleType(), T.IntegerType(), segment), strict=True)])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_WORDS words
     kind = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("p_value", pa.float64())]))
 
@@ -213,7 +215,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
             v = np.array(values)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(v, pa.float64()), pa.array((v >= 0.5).astype(np.int32)), pa.array(segments, kind)], names=[f.name for f in schema])
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, docs[text].alias(free_name(keep, "text"))), run, schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
