@@ -19,10 +19,11 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from maskwell.llm.common import slices, table
+from maskwell.llm.common import free_name, kept, map_arrow, slices, table
 
-#: Pre-tokens remembered by each worker; beyond it the memory starts anew.
-CACHE = 400_000
+#: Bytes of pre-tokens and their ids remembered by each worker, about; beyond it the memory starts anew.
+CACHE = 48_000_000
+OWNER = "byte-bpe"
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -83,14 +84,16 @@ class ByteBPE:
         self.whole = {t: i for i, t in enumerate(tokens)}
         self.map = {i: c for i, c in enumerate(byte_characters())}
         self.known: dict[str, list[int]] = {}
+        self.held = 0
 
     def encode(self, text: str | None) -> list[int]:
         words = self.split(text or "")
         known = self.known
         new = [w for w in set(words) if w not in known]
         if new:
-            if len(known) + len(new) > self.cache_size:
+            if self.held > self.cache_size:
                 known.clear()
+                self.held = 0
                 new = list(set(words))
             self._learn(new)
         return list(chain.from_iterable(map(known.__getitem__, words)))
@@ -101,24 +104,24 @@ class ByteBPE:
             b = w.encode("utf-8", "surrogatepass")
             if (i := self.whole.get(b)) is not None:  # a pre-token that is a token needs no merges
                 self.known[w] = [i]
+                self.held += 200 + len(b)
             else:
                 ask.append((w, b.decode("latin-1").translate(self.map)))
         if ask:
-            for (w, _), ids in zip(ask, self.model.encode([m for _, m in ask], out_type=int, num_threads=1), strict=True):
+            for (w, m), ids in zip(ask, self.model.encode([m for _, m in ask], out_type=int, num_threads=1), strict=True):
                 self.known[w] = ids
+                self.held += 200 + 4 * len(m) + 8 * len(ids)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_CODERS: dict[tuple[str, str], ByteBPE] = {}
-
-
 def coder_of(vocabulary: str, pattern: str) -> ByteBPE:
     """One per worker process, kept over its tasks."""
-    if (vocabulary, pattern) not in _CODERS:
-        _CODERS[vocabulary, pattern] = ByteBPE(read_ranks(vocabulary), pattern)
-    return _CODERS[vocabulary, pattern]
+    coders = kept(OWNER, dict)
+    if (vocabulary, pattern) not in coders:
+        coders[vocabulary, pattern] = ByteBPE(read_ranks(vocabulary), pattern)
+    return coders[vocabulary, pattern]
 
 
 def encoded_schema(docs: DataFrame, keep: list[str], ids: bool, text: str) -> T.StructType:
@@ -160,7 +163,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "t
             columns += [pa.array(back, pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, docs[text].alias(free_name(keep, "text"))), run, schema, OWNER)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
