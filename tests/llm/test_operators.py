@@ -102,8 +102,9 @@ def test_packed_files(spark, docs, rows, tmp_path):
         at += len(ids)
 
 
-def brute_components(sets):
-    parent = {d: d for d in sets}
+def brute_links(sets):
+    """component and number of links of each document, from all pairs."""
+    parent, links = {d: d for d in sets}, dict.fromkeys(sets, 0)
 
     def find(x):
         while parent[x] != x:
@@ -117,27 +118,76 @@ def brute_components(sets):
             if x & y and 100 * len(x & y) >= 75 * len(x | y):
                 p, q = find(a), find(b)
                 parent[max(p, q)] = min(p, q)
-    return {d: find(d) for d in sets}
+                links[a] += 1
+                links[b] += 1
+    return {d: (find(d), links[d]) for d in sets}
 
 
-def test_jaccard_components(spark, docs, rows, empty, monkeypatch):
-    rng = np.random.default_rng(5)
-    base = words(rng, 60).split()
-    near = []
-    for i in range(60):
+def near_copies(rng, n, first=10_000, changes=7):
+    base, out = words(rng, 60).split(), []
+    for i in range(n):
         w = list(base)
-        for _ in range(i % 7):
+        for _ in range(i % changes):
             w[int(rng.integers(len(w)))] = f"z{int(rng.integers(50))}"
-        near.append((10_000 + i, " ".join(w), "en", "a", 1, "x"))
-    everything = [*rows, *near]
-    sets = {d: set(shingle_set((t or "").encode()).tolist()) for d, t, *_ in everything}
+        out.append((first + i, " ".join(w), "en", "a", 1, "x"))
+    return out
+
+
+def set_of(text):
+    return set(shingle_set((text or "").encode()).tolist())
+
+
+@pytest.mark.parametrize(("small", "cell"), [(2, 300), (4, 1500), (16, 400_000)])
+def test_jaccard_components_and_links(spark, rows, empty, monkeypatch, small, cell):
+    rng = np.random.default_rng(5)
+    # a hot group of near copies, and a common passage in texts that differ otherwise
+    passage = words(rng, 30)
+    common = [(20_000 + i, f"{passage} {words(rng, int(rng.integers(5, 25)))}", None, None, None, None) for i in range(60)]
+    everything = [*rows, *near_copies(rng, 60), *common]
+    sets = {d: set_of(t) for d, t, *_ in everything}
     monkeypatch.setattr(jaccard, "LEAST", 3)
-    monkeypatch.setattr(jaccard, "CELL", 8)
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    monkeypatch.setattr(jaccard, "DENSE", 5)
     df = spark.createDataFrame([*everything, (None, "a b c", None, None, None, None)], SCHEMA)
     got = {r.doc_id: r for r in jaccard.near_duplicates(df).collect()}
-    assert {d: got[d].component_id for d in sets} == brute_components(sets)
-    assert all(got[d].n_shingles == len(s) for d, s in sets.items()) and got[None].component_id is None
-    assert jaccard.near_duplicates(empty).count() == 0
+    assert {d: (got[d].component_id, got[d].n_links) for d in sets} == brute_links(sets)
+    assert all(got[d].n_shingles == len(s) for d, s in sets.items()) and got[None].component_id is None and got[None].n_links is None
+    if small == 2:
+        assert jaccard.near_duplicates(empty).count() == 0
+        clash = df.withColumns({"n": F.lit(1), "node": F.lit("q"), "component_id": F.lit(2), "sig": F.lit(0), "__text": F.lit("")})
+        assert {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(clash).collect()} == {(d, r.component_id) for d, r in got.items()}
+
+
+@pytest.mark.parametrize("size", [1, 2, 200, 450])
+def test_one_group_of_cells_over_any_slices(spark, size):
+    """One group alone, longer than a slice, and one that ends where a slice does."""
+    texts = [t for _, t, *_ in near_copies(np.random.default_rng(size), size, changes=9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = spark.createDataFrame([(7, i, i, 56, i % 3, 1) for i in range(size)], "g long, node long, rep long, n long, c long, copies long").coalesce(1)
+    sets = {i: set_of(t) for i, t in enumerate(texts)}
+    want = {d: n for d, (_, n) in brute_links(sets).items()}
+    got = jaccard.in_cells(rows, docs, "text", jaccard.links_counted, "node long, n long").collect()
+    assert sorted((r.node, r.n) for r in got) == sorted((d, n) for d, n in want.items())
+    across = {(r.a, r.b) for r in jaccard.in_cells(rows, docs, "text", jaccard.across_components, "a long, b long").collect()}
+    assert across == {(a, b) for b in sets for a in range(b) if a % 3 != b % 3 and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+
+
+def test_buckets_over_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    rng = np.random.default_rng(0)
+    size = {s: int(n) for s, n in enumerate(rng.integers(1, 12, 60))}
+    rows = [(s, 100 * s + k, 40, k == 0 and s % 7 == 0) for s, n in size.items() for k in range(n)]
+    for step in (1, 3, 50, 1000):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("sig", "node", "n", "big"), r, strict=True)) for r in rows[at : at + step]]) for at in range(0, len(rows), step)]
+        got = sorted(((r["sig"], r["a"], r["b"]) for b in jaccard.bucket_pairs(iter(batches)) for r in b.to_pylist()), key=str)
+        want = []
+        for s, n in size.items():
+            ids = [100 * s + k for k in range(n)]
+            want += [(s, ids[0], x) for x in ids[1:]] if n > 4 or s % 7 == 0 else [(None, x, y) for y in ids for x in ids if x < y]
+        assert got == sorted(want, key=str)
 
 
 def test_compact_windows():
@@ -249,8 +299,6 @@ def test_raking_meets_targets(docs, empty):
     for axis, target in enumerate(targets):
         for k, v in target.items():
             assert sum(x for c, x in w.items() if c[axis] == k) == pytest.approx(v, abs=1e-6)
-    p = raking.probabilities(cells, w, 0.4)
-    assert sum(p[k] * v for k, v in cells.items()) == pytest.approx(0.4 * sum(cells.values()), rel=1e-6) and max(p.values()) <= 1
     out = raking.mix(docs, raking.own_targets(raking.cell_sums(docs), 0.5), 0.6)
     assert set(docs.columns) < set(out.columns) and 0 < out.count() < docs.count()
     assert raking.mix(empty, raking.own_targets(raking.cell_sums(empty), 0.5)).count() == 0
@@ -262,6 +310,8 @@ def test_drawn_tokens_have_the_targets_when_cells_need_repeats(spark):
     df = spark.createDataFrame(skewed, "doc_id long, text string, lang string, source string")
     source, lang, topic = raking.own_targets(raking.cell_sums(df), 0.5)
     out = raking.mix(df, (source, lang, topic), 0.6)
+    source = {r.source: r.target for r in source.collect()}
+    source = {k: v / sum(source.values()) for k, v in source.items()}
     got = out.selectExpr("source", "lang", "__tokens * __repeats AS n").collect()
     total = sum(r.n for r in got)
     assert total == pytest.approx(0.6 * 80_000, rel=0.05) and source["small"] > 0.1
@@ -270,6 +320,20 @@ def test_drawn_tokens_have_the_targets_when_cells_need_repeats(spark):
             assert sum(r.n for r in got if r[axis] == k) / total == pytest.approx(v, rel=0.08)
 
 
+def test_raking_in_the_cluster_equals_that_on_the_driver(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, words(rng, 1 + i % 50), ["en", "fr", "de", None][int(rng.integers(4))], [None, *(f"s{k}" for k in range(40))][int(rng.integers(41) ** 0.9)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("topic", F.lit("own"))
+    sums = raking.cell_sums(df)
+    targets = raking.own_targets(sums, 0.5)
+    a, b = ({(r.source, r.lang, r.topic): r.multiple for r in raking.cell_multiples(sums, targets, 0.5, local).collect()} for local in (10**6, 0))
+    assert a.keys() == b.keys() and len(a) > 100 and all(a[k] == pytest.approx(b[k], rel=1e-6) for k in a)
+    out = raking.mix(df, targets, 0.5, sums=sums)
+    assert set(out.select("topic").distinct().collect()) == {("own",)}  # a clashing column passes unchanged
+    with pytest.raises(ValueError):
+        raking.mix(df.withColumn("__Tokens", F.lit(1)), targets, 0.5, sums=sums)
+
+
 def test_pseudo_likelihood_prefers_order(spark):
     rng = np.random.default_rng(7)
     chain = [f"t{i}" for i in range(30)]
