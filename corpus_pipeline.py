@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.llm import bpe, jaccard, passages, raking, toxicity
-from maskwell.llm.common import fresh_path, materialize, table
+from maskwell.llm.common import free_name, fresh_path, materialize, table, write_table
 
 #: The mixing stage lifts source, language and topic shares to this power and keeps this share of the tokens.
 MIX_POWER, MIX_SHARE = 0.9, 0.9
@@ -20,29 +20,34 @@ MIX_POWER, MIX_SHARE = 0.9, 0.9
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is at least 0.5 go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    names = tuple(free_name(docs.columns, n) for n in ("score", "predicted", "segments"))
+    return toxicity.score(docs, model, keep=tuple(docs.columns), names=names).where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays; rows with a null doc_id stay."""
-    gone = materialize(jaccard.near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
+    """Of each group of linked documents the one with the least doc_id stays; rows with a null doc_id stay. Of rows that repeat the id that
+    stays, all stay."""
+    gone = materialize(jaccard.near_duplicates(docs, links=False).where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out; a document of which nothing is left goes."""
     found = materialize(passages.repeated_passages(docs), "passages")
-    rows = passages.without_passages(docs, found)
-    rows = rows.where(F.col("__spans").isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    changed = {"n_chars": F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    mark = free_name(docs.columns, "spans")
+    rows = passages.without_passages(docs, found, mark=mark)
+    rows = rows.where(F.col(mark).isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    changed = {"n_chars": F.when(F.col(mark).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
     return rows.withColumns(changed).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn to tempered source, language and topic shares; one drawn more than once is repeated as rows."""
-    sums = raking.cell_sums(docs)
-    rows = raking.mix(docs, raking.own_targets(sums, MIX_POWER), MIX_SHARE, sums=sums)
-    return rows.withColumn("__copy", F.explode(F.expr("sequence(1L, __repeats)"))).select(*docs.columns)
+    sums, prefix = raking.cell_sums(docs), "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    rows = raking.mix(docs, raking.own_targets(sums, MIX_POWER), MIX_SHARE, sums=sums, prefix=prefix)
+    return rows.withColumn(f"{prefix}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{prefix}repeats")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        write_table(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
     return docs
