@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +14,19 @@ from maskwell.operators.recognizers import ContextEnhancer, NerRecognizer, none,
 PUBLIC = "array<struct<entity_type:string,start:int,end:int,score:double,explanation:struct<recognizer:string,pattern_name:string,pattern:string,original_score:double,score:double,textual_explanation:string,score_context_improvement:double,supportive_context_word:string,validation_result:boolean>,metadata:map<string,string>>>"
 
 
+def compiles(pattern: str) -> bool:
+    """Whether the JVM, which runs the expression, can compile it; others are skipped."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark import SparkContext
+    from pyspark.errors import PySparkException
+
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(java_regex(pattern))
+    except (Py4JJavaError, PySparkException):
+        return False
+    return True
+
+
 @dataclass
 class Registry:
     recognizers: list = field(default_factory=list)
@@ -78,13 +90,7 @@ class Analyzer:
         if match == "exact":
             words = F.array(*[F.lit(w.lower()) for w in allow_list])
             return lambda t: F.array_contains(words, F.lower(t))
-        good = []
-        for p in allow_list:
-            try:
-                re.compile(p)
-            except re.error:
-                continue  # expressions that don't compile are skipped
-            good.append(java_regex(p))
+        good = [java_regex(p) for p in allow_list if compiles(p)]
         if not good:
             return None
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,63 +93,59 @@ FIRST = ["Avery", "Blake", "Casey", "Drew", "Ellis", "Finley", "Gray", "Harper",
 LAST = ["Archer", "Bishop", "Carver", "Dalton", "Easton", "Fletcher", "Granger", "Holloway", "Ingram", "Keller", "Lawson", "Mercer", "Norwood", "Porter", "Sawyer", "Thatcher"]
 CITIES = ["Ashford", "Brookhaven", "Cedarville", "Dunmore", "Eastport", "Fairview", "Glenwood", "Harborview"]
 COMPANIES = ["Alder Works", "Beacon Group", "Cobalt Labs", "Delta Partners", "Ember Systems", "Foxglove Ltd", "Granite Holdings", "Harbor Trading"]
-WORD64 = (1 << 64) - 1
-
-
-class Draws:
-    """SplitMix64, seeded by the text, so that one text always has one surrogate."""
-
-    def __init__(self, text: str):
-        self.state = int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little")
-
-    def next(self) -> int:
-        self.state = (self.state + 0x9E3779B97F4A7C15) & WORD64
-        z = self.state
-        z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & WORD64
-        z = ((z ^ z >> 27) * 0x94D049BB133111EB) & WORD64
-        return z ^ z >> 31
-
-    def pick(self, items: list[str]) -> str:
-        return items[self.next() % len(items)]
-
-    def between(self, low: int, high: int) -> int:
-        return low + self.next() % (high - low)
-
-    def digits(self, n: int) -> str:
-        return "".join(str(self.next() % 10) for _ in range(n))
-
-
-def luhn_digit(body: str) -> str:
-    total = sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(body)))
-    return str(-total % 10)
 
+#: What a surrogate is put together from: literals, lists to pick from, and ranges (least, beyond the last, digits at least).
+DIGIT = (0, 10, 1)
+SURROGATES: dict[str, list] = {
+    "PERSON": [FIRST, " ", LAST],
+    "EMAIL_ADDRESS": [[x.lower() for x in FIRST], ".", [x.lower() for x in LAST], "@example.com"],
+    "PHONE_NUMBER": ["+1 (", *[DIGIT] * 3, ") ", *[DIGIT] * 3, "-", *[DIGIT] * 4],
+    "CREDIT_CARD": [DIGIT] * 15,
+    "US_SSN": [*[DIGIT] * 3, "-", *[DIGIT] * 2, "-", *[DIGIT] * 4],
+    "IP_ADDRESS": [(1, 224, 1), ".", (0, 256, 1), ".", (0, 256, 1), ".", (1, 255, 1)],
+    "LOCATION": [CITIES],
+    "ORGANIZATION": [COMPANIES],
+    "NRP": [COMPANIES],
+    "DATE_TIME": [(1950, 2020, 4), "-", (1, 13, 2), "-", (1, 29, 2)],
+}
+
+
+def luhn_digit(body: Column) -> Column:
+    """The digit that makes a string of digits pass the Luhn test."""
+    twice = F.transform(F.reverse(F.split(body, "")), lambda c, i: F.when(i % 2 == 0, F.element_at(F.array(*[F.lit(2 * x // 10 + 2 * x % 10) for x in range(10)]), c.cast("int") + 1)).otherwise(c.cast("int")))
+    return F.pmod(-F.aggregate(twice, F.lit(0), lambda a, x: a + x), F.lit(10)).cast("string")
+
+
+def surrogate(entity: Column, text: Column) -> Column:
+    """A made-up value of the entity's form, drawn by the text's SHA-256, so that one text always has the same one. The k-th draw is its
+    k-th group of four hexadecimal digits; a form has 16 draws at most."""
+
+    def of(digest: Column) -> Column:
+        def made(parts: list) -> Column:
+            out, k = [], 0
+            for p in parts:
+                if isinstance(p, str):
+                    out.append(F.lit(p))
+                    continue
+                draw, k = F.conv(F.substring(digest, 4 * k + 1, 4), 16, 10).cast("int"), k + 1
+                if isinstance(p, list):
+                    out.append(F.element_at(F.array(*[F.lit(x) for x in p]), draw % len(p) + 1))
+                else:
+                    number = (draw % (p[1] - p[0]) + p[0]).cast("string")
+                    out.append(F.lpad(number, p[2], "0") if p[2] > 1 else number)
+            return F.concat(*out)
+
+        out = F.concat(F.lit("<"), F.coalesce(entity, F.lit("ENTITY")), F.lit(">"))
+        for e, parts in SURROGATES.items():
+            value = made(parts)
+            out = F.when(entity == e, let(value, lambda b: F.concat(b, luhn_digit(b))) if e == "CREDIT_CARD" else value).otherwise(out)
+        return out
 
-def surrogate(entity: str | None, text: str) -> str:
-    d = Draws(text)
-    if entity == "PERSON":
-        return f"{d.pick(FIRST)} {d.pick(LAST)}"
-    if entity == "EMAIL_ADDRESS":
-        return f"{d.pick(FIRST).lower()}.{d.pick(LAST).lower()}@example.com"
-    if entity == "PHONE_NUMBER":
-        return f"+1 ({d.digits(3)}) {d.digits(3)}-{d.digits(4)}"
-    if entity == "CREDIT_CARD":
-        return (body := d.digits(15)) + luhn_digit(body)
-    if entity == "US_SSN":
-        return f"{d.digits(3)}-{d.digits(2)}-{d.digits(4)}"
-    if entity == "IP_ADDRESS":
-        return f"{d.between(1, 224)}.{d.next() % 256}.{d.next() % 256}.{d.between(1, 255)}"
-    if entity == "LOCATION":
-        return d.pick(CITIES)
-    if entity in ("ORGANIZATION", "NRP"):
-        return d.pick(COMPANIES)
-    if entity == "DATE_TIME":
-        return f"{d.between(1950, 2020)}-{d.between(1, 13):02d}-{d.between(1, 29):02d}"
-    return f"<{entity or 'ENTITY'}>"
+    return let(F.sha2(text, 256), of)
 
 
-def _surrogates(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for entities, texts in batches:
-        yield pd.Series([[surrogate(e, t) for e, t in zip(es, ts, strict=True)] for es, ts in zip(entities, texts, strict=True)])
+def _surrogate(text: Column, entity: Column, c: OperatorConfig) -> Column:
+    return surrogate(entity, text)
 
 
 # ---------------------------------------------------------------- engines
@@ -163,7 +157,7 @@ class Factory:
     """Operators by name and direction; later ones replace earlier ones of the same name."""
 
     def __init__(self):
-        self._by: dict[tuple[str, str], Operator | None] = {(n, ANONYMIZE): f for n, f in (("replace", _replace), ("redact", _redact), ("mask", _mask), ("hash", _hash), ("keep", _keep), ("encrypt", _encrypt), ("surrogate", None))}
+        self._by: dict[tuple[str, str], Operator] = {(n, ANONYMIZE): f for n, f in (("replace", _replace), ("redact", _redact), ("mask", _mask), ("hash", _hash), ("keep", _keep), ("encrypt", _encrypt), ("surrogate", _surrogate))}
         self._by["decrypt", DEANONYMIZE] = _decrypt
 
     def add(self, name: str, operator: Operator, direction: str = ANONYMIZE) -> Factory:
@@ -174,7 +168,7 @@ class Factory:
     def names(self, direction: str = ANONYMIZE) -> list[str]:
         return sorted(n for n, d in self._by if d == direction)
 
-    def get(self, name: str, direction: str) -> Operator | None:
+    def get(self, name: str, direction: str) -> Operator:
         if (name, direction) not in self._by:
             raise OperatorError(f"no operator {name} to {direction}")
         return self._by[name, direction]
@@ -184,13 +178,12 @@ class Factory:
 class Anonymizer:
     factory: Factory = field(default_factory=Factory)
 
-    def _apply(self, s: Column, piece: Column, surrogate_text: Column, operators: dict[str, OperatorConfig], fallback: str, direction: str) -> Column:
+    def _apply(self, s: Column, piece: Column, operators: dict[str, OperatorConfig], fallback: str, direction: str) -> Column:
         """The new text and the operator's name for one span: by entity, else DEFAULT, else the fallback."""
         rest = operators.get("DEFAULT", OperatorConfig(fallback))
 
         def one(c: OperatorConfig) -> Column:
-            f = self.factory.get(c.operator, direction)
-            return F.struct((surrogate_text if f is None else f(piece, s["entity_type"], c)).alias("text"), F.lit(c.operator).alias("operator"))
+            return F.struct(self.factory.get(c.operator, direction)(piece, s["entity_type"], c).alias("text"), F.lit(c.operator).alias("operator"))
 
         named = [(e, c) for e, c in operators.items() if e != "DEFAULT"]
         try:
@@ -203,24 +196,22 @@ class Anonymizer:
             out = F.when(s["entity_type"] == e, one(c)).otherwise(out)
         return out
 
-    def _splice(self, text: Column, spans: Column, pieces: Column | None, operators, fallback: str, direction: str) -> Column:
+    def _splice(self, text: Column, spans: Column, operators, fallback: str, direction: str) -> Column:
         """text and items, the last first; a span that meets the one before it is skipped."""
-        start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), F.lit("").alias("out"), F.array().cast(ITEMS).alias("items"))
+        start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"), F.array().cast(ITEMS).alias("items"))
 
         def step(a: Column, s: Column) -> Column:
             piece = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-            drawn = F.get(pieces, a["i"]) if pieces is not None else F.lit(None).cast("string")
 
             def put(new: Column) -> Column:
                 before = F.concat(a["out"], F.substring(text, a["pos"] + 1, s["start"] - a["pos"]))
                 at = F.length(before)
                 score = s["score"] if direction == ANONYMIZE else F.lit(None).cast("double")
                 item = F.struct(at.alias("start"), (at + F.length(new["text"])).alias("end"), s["entity_type"].alias("entity_type"), new["text"].alias("text"), new["operator"].alias("operator"), score.alias("score"))
-                return F.struct(s["end"].alias("pos"), (a["i"] + 1).alias("i"), F.concat(before, new["text"]).alias("out"), F.concat(a["items"], F.array(item)).alias("items"))
+                return F.struct(s["end"].alias("pos"), F.concat(before, new["text"]).alias("out"), F.concat(a["items"], F.array(item)).alias("items"))
 
             bad = (s["start"] < 0) | (s["end"] < s["start"]) | (s["end"] > F.length(text))
-            skipped = F.struct(a["pos"].alias("pos"), (a["i"] + 1).alias("i"), a["out"].alias("out"), a["items"].alias("items"))
-            done = F.when(s["start"] < a["pos"], skipped).otherwise(let(self._apply(s, piece, drawn, operators, fallback, direction), put))
+            done = F.when(s["start"] < a["pos"], a).otherwise(let(self._apply(s, piece, operators, fallback, direction), put))
             return F.when(bad, F.raise_error(F.lit("a span lies outside its text"))).otherwise(done)
 
         end = lambda a: F.struct(F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))).alias("text"), F.reverse(a["items"]).alias("items"))
@@ -241,15 +232,8 @@ class Anonymizer:
             return F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)])
 
         kept = resolve_conflicts(F.transform(spans, span))
-        df = df.withColumn("__kept", F.coalesce(kept, F.array().cast(RESULT)))
-        pieces = None
-        if any(c.operator == "surrogate" for c in operators.values()):
-            each = lambda f: F.transform("__kept", f)
-            udf = F.pandas_udf(_surrogates, "array<string>")
-            df = df.withColumn("__drawn", udf(each(lambda x: x["entity_type"]), each(lambda x: F.substring(F.coalesce(F.col(text), F.lit("")), x["start"] + 1, x["end"] - x["start"]))))
-            pieces = F.col("__drawn")
-        new = self._splice(F.col(text), F.col("__kept"), pieces, operators, "replace", ANONYMIZE)
-        return df.withColumn(output, F.when(F.col(text).isNotNull(), new)).drop("__kept", "__drawn")
+        new = let(F.coalesce(kept, F.array().cast(RESULT)), lambda k: self._splice(F.col(text), k, operators, "replace", ANONYMIZE))
+        return df.withColumn(output, F.when(F.col(text).isNotNull(), new))
 
     def deanonymize(self, df: DataFrame, operators: dict[str, OperatorConfig] | None = None, text: str = "text", items: str = "items", output: str = "restored") -> DataFrame:
         """The way back, from the items of anonymize(): in order of start, without conflict resolution."""
@@ -257,7 +241,7 @@ class Anonymizer:
         for c in operators.values():
             self.factory.get(c.operator, DEANONYMIZE)
         ordered = F.array_sort(F.col(items), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
-        new = self._splice(F.col(text), ordered, None, operators, "decrypt", DEANONYMIZE)
+        new = self._splice(F.col(text), ordered, operators, "decrypt", DEANONYMIZE)
         return df.withColumn(output, F.when(F.col(text).isNotNull(), new))
 
 

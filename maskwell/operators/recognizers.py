@@ -81,8 +81,11 @@ class PatternRecognizer:
         return remove_contained(F.concat(*parts)) if parts else none()
 
     def _scan(self, text: Column, p: Pattern, order: int) -> Column:
-        gate = text.rlike("[0-9]") if r"\d" in p.regex and "[A-Za-z" not in p.regex[:9] else None
-        gate = text.contains("@") if "@[" in p.regex else gate
+        gate = None  # a cheap test that every match passes
+        if "|" not in p.regex and re.match(r"(?:\(\?i\))?\\b\\d(?![*?{])|(?:\(\?i\))?\\b\\d\{[1-9]", p.regex):
+            gate = text.rlike(r"(?U)\d")
+        elif "@[" in p.regex and not re.search(r"[|(]", p.regex):
+            gate = text.contains("@")
         found = matches(text, p.regex, gate)
 
         def one(s: Column, verdict: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwell.functions.validators import VALIDATORS
 from maskwell.operators.analyzer import Analyzer, Registry, exploded
-from maskwell.operators.anonymizer import Anonymizer, OperatorConfig
+from maskwell.operators.anonymizer import FIRST, LAST, Anonymizer, OperatorConfig
 from maskwell.operators.catalog import PATTERNS
 from maskwell.operators.nlp import decode_bio, tokens
 from maskwell.operators.phone import PhoneRecognizer
@@ -87,6 +87,7 @@ def _weights(w: list[int]) -> str:
     return "(" + " + ".join(f"({x}) * d[{i + 1}]" for i, x in enumerate(w)) + ")"
 
 
+# Lengths, weights and moduli of the public checksums.
 _SUMS = {
     "credit_card": (16, None), "imei": (15, None), "za_id": (13, None), "it_vat": (11, None), "ca_sin": (9, None), "se_pnr": (10, None),
     "nhs": (10, f"CASE 11 - {_weights(list(range(10, 1, -1)))} % 11 WHEN 11 THEN 0 ELSE 11 - {_weights(list(range(10, 1, -1)))} % 11 END = d[10]"),
@@ -136,11 +137,11 @@ def _few(*entities: str) -> Analyzer:
 _EMAILS = "SELECT doc_id, unnest(regexp_extract_all(text, " + _EMAIL + ")) AS m FROM documents"
 
 
-@query("allow_list_exact", f"SELECT doc_id, m AS match FROM ({_EMAILS})")
+@query("allow_list_exact", "SELECT o_orderkey, 'A' || (o_orderkey % 5) || '@b.example' AS match FROM orders WHERE o_orderkey % 5 NOT IN (1, 3)")
 def allow_list_exact(spark, sf_dir):
-    """No listed address occurs, so that all stay."""
-    a = _few("EMAIL_ADDRESS")
-    return exploded(a.analyze(docs(spark, sf_dir), allow_list=["nobody@nowhere.invalid"])).select("doc_id", "match")
+    """Two of five addresses are listed, whatever their case."""
+    df = docs(spark, sf_dir, "orders").select("o_orderkey", F.format_string("mail A%d@b.example now", F.col("o_orderkey").cast("long") % 5).alias("text"))
+    return exploded(_few("EMAIL_ADDRESS").analyze(df, allow_list=["a1@b.example", "A3@B.Example"]), "o_orderkey").select("o_orderkey", "match")
 
 
 @query("allow_list_regex", f"SELECT doc_id, m AS match FROM ({_EMAILS}) WHERE NOT regexp_full_match(m, '[a-m].*')")
@@ -165,10 +166,13 @@ def threshold_after_boost(spark, sf_dir):
     return exploded(a.analyze(df, score_threshold=0.4), "o_orderkey").select("o_orderkey", "score")
 
 
-@query("conflicts_by_score", "SELECT o_orderkey, 'SMALL' AS entity_type, CAST(0 AS BIGINT) AS \"start\", CAST(3 AS BIGINT) AS \"end\" FROM orders")
+@query("conflicts_by_score", """
+SELECT o_orderkey, 'SMALL' AS entity_type, CAST(3 * i AS BIGINT) AS "start", CAST(3 * i + 3 AS BIGINT) AS "end"
+FROM (SELECT o_orderkey, unnest(range(0, CAST((3 + o_orderkey % 7) // 3 AS BIGINT))) AS i FROM orders)""")
 def conflicts_by_score(spark, sf_dir):
+    """Runs of 3 to 9 letters: the short spans score higher, so that the long ones they meet go."""
     a = Analyzer(Registry([PatternRecognizer("Big", "BIG", (Pattern("b", "A{5}", 0.1),)), PatternRecognizer("Small", "SMALL", (Pattern("s", "A{3}", 0.9),))]))
-    df = docs(spark, sf_dir, "orders").select("o_orderkey", F.lit("AAAAA").alias("text"))
+    df = docs(spark, sf_dir, "orders").select("o_orderkey", F.repeat(F.lit("A"), (3 + F.col("o_orderkey") % 7).cast("int")).alias("text"))
     return exploded(a.analyze(df), "o_orderkey").select("o_orderkey", "entity_type", "start", "end")
 
 
@@ -191,7 +195,12 @@ query("anonymize_replace", f"SELECT doc_id, regexp_replace(text, {_EMAIL}, '<EMA
 query("anonymize_new_value", f"SELECT doc_id, regexp_replace(text, {_EMAIL}, 'someone', 'g') AS text, {_COUNT} FROM documents")(lambda s, d: _anonymized(s, d, OperatorConfig("replace", {"new_value": "someone"})))
 query("anonymize_redact", f"SELECT doc_id, regexp_replace(text, {_EMAIL}, '', 'g') AS text, {_COUNT} FROM documents")(lambda s, d: _anonymized(s, d, OperatorConfig("redact")))
 query("anonymize_keep", f"SELECT doc_id, text, {_COUNT} FROM documents")(lambda s, d: _anonymized(s, d, OperatorConfig("keep")))
-query("anonymize_surrogate")(lambda s, d: _anonymized(s, d, OperatorConfig("surrogate")))
+_DRAW = "CAST('0x' || sha256(m)[{a}:{b}] AS INT) % 16 + 1"
+_FIRST, _LAST = (f"({[x.lower() for x in names]})[{_DRAW.format(a=4 * k + 1, b=4 * k + 4)}]" for k, names in enumerate((FIRST, LAST)))
+query("anonymize_surrogate", f"""
+SELECT doc_id, coalesce(string_agg(g || coalesce({_FIRST} || '.' || {_LAST} || '@example.com', ''), '' ORDER BY i), '') AS text, CAST(count(m) AS BIGINT) AS n
+FROM (SELECT doc_id, unnest(range(1, len(gs) + 1)) AS i, unnest(gs) AS g, unnest(list_append(ms, NULL)) AS m
+  FROM (SELECT doc_id, string_split_regex(text, {_EMAIL}) AS gs, regexp_extract_all(text, {_EMAIL}) AS ms FROM documents)) GROUP BY doc_id""")(lambda s, d: _anonymized(s, d, OperatorConfig("surrogate")))
 
 
 def _items(config: OperatorConfig) -> Query:
@@ -203,15 +212,28 @@ def _items(config: OperatorConfig) -> Query:
 
 
 query("anonymize_hash", f"SELECT doc_id, sha256(m) AS value FROM ({_EMAILS})")(_items(OperatorConfig("hash")))
+query("anonymize_hash512", f"SELECT doc_id, m AS value, CAST(128 AS INT) AS size FROM ({_EMAILS})")(lambda s, d: _hash512(s, d))
+query("anonymize_mask_end", f"SELECT doc_id, m[1:greatest(length(m) - 5, 0)] || repeat('#', least(5, length(m))) AS value FROM ({_EMAILS})")(_items(OperatorConfig("mask", {"chars_to_mask": 5, "from_end": True, "masking_char": "#"})))
 query("anonymize_mask", f"SELECT doc_id, repeat('*', least(4, length(m))) || m[least(4, length(m)) + 1:] AS value FROM ({_EMAILS})")(_items(OperatorConfig("mask", {"chars_to_mask": 4})))
 
 
-@query("encrypt_round_trip", "SELECT doc_id, text FROM documents")
+def _hash512(spark, sf_dir):
+    """The address that each digest of an item is the SHA-512 of, found by hashing the document's addresses."""
+    df = _few("EMAIL_ADDRESS").analyze(docs(spark, sf_dir))
+    df = Anonymizer().anonymize(df, {"DEFAULT": OperatorConfig("hash", {"hash_type": "sha512"})})
+    found = df.select("doc_id", F.explode(F.arrays_zip(F.reverse("anonymized.items").alias("i"), F.transform("spans", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])).alias("m"))).alias("e"))
+    return found.where(F.sha2("e.m", 512) == F.col("e.i.text")).select("doc_id", F.col("e.m").alias("value"), F.length("e.i.text").alias("size"))
+
+
+@query("encrypt_round_trip", f"SELECT doc_id, text, CAST(len(regexp_extract_all(text, {_EMAIL})) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_left, CAST(list_sum(list_transform(regexp_extract_all(text, {_EMAIL}), lambda m: 4 * ((16 + (length(m) // 16 + 1) * 16 + 2) // 3))) AS BIGINT) AS base64_length FROM documents")
 def encrypt_round_trip(spark, sf_dir):
+    """In between no address is left and each item has the length of a vector and padded blocks in Base64."""
     key, a = {"key": "1234567890123456"}, Anonymizer()
     df = a.anonymize(_few("EMAIL_ADDRESS").analyze(docs(spark, sf_dir)), {"DEFAULT": OperatorConfig("encrypt", key)})
-    df = df.select("doc_id", F.col("anonymized.text").alias("text"), F.col("anonymized.items").alias("items"))
-    return a.deanonymize(df, {"DEFAULT": OperatorConfig("decrypt", key)}).select("doc_id", F.col("restored.text").alias("text"))
+    hidden = F.regexp_count("anonymized.text", F.lit(_REGEX["EMAIL_ADDRESS", "Email (medium)"])).cast("long")
+    size = F.aggregate("anonymized.items", F.lit(0).cast("long"), lambda x, i: x + F.length(i["text"]))
+    df = df.select("doc_id", F.col("anonymized.text").alias("text"), F.col("anonymized.items").alias("items"), hidden.alias("n_left"), F.when(F.size("anonymized.items") > 0, size).alias("base64_length"))
+    return a.deanonymize(df, {"DEFAULT": OperatorConfig("decrypt", key)}).select("doc_id", F.col("restored.text").alias("text"), F.size("items").cast("long").alias("n"), "n_left", "base64_length")
 
 
 @query("phone_numbers")

@@ -9,14 +9,20 @@ from maskwell.operators.analyzer import Analyzer
 from maskwell.operators.anonymizer import Anonymizer, OperatorConfig
 
 
-def deidentify(stream: DataFrame, analyzer: Analyzer, operators: dict[str, OperatorConfig] | None = None, text: str = "text", **options) -> DataFrame:
-    """A stream (or table) with the column text de-identified and the number of items in n_items (a null text stays null, with 0); other columns pass."""
+def deidentify(stream: DataFrame, analyzer: Analyzer, operators: dict[str, OperatorConfig] | None = None, text: str = "text", count: str = "n_items", **options) -> DataFrame:
+    """A stream (or table) with the column `text` de-identified and the number of items in `count` (a null text stays null, with 0).
+
+    Other columns pass, whatever their names; one named as `count` is an error.
+    """
     from pyspark.sql import functions as F
 
-    found = analyzer.analyze(stream.withColumnRenamed(text, "text"), **options)
-    done = Anonymizer().anonymize(found, operators or {"DEFAULT": OperatorConfig("replace")})
-    done = done.withColumn("text", F.col("anonymized.text")).withColumn("n_items", F.coalesce(F.size("anonymized.items"), F.lit(0))).drop("anonymized", "spans")
-    return done.withColumnRenamed("text", text)
+    names = {c.lower() for c in stream.columns}
+    if count.lower() in names:
+        raise ValueError(f"the stream has a column {count}")
+    spans, done = ("".join([base, "_" * k]) for base in ("spans", "done") for k in [next(k for k in range(99) if f"{base}{'_' * k}" not in names)])
+    found = analyzer.analyze(stream, text=text, output=spans, **options)
+    out = Anonymizer().anonymize(found, operators or {"DEFAULT": OperatorConfig("replace")}, text=text, spans=spans, output=done)
+    return out.select(*[F.col(f"{done}.text").alias(c) if c == text else F.col(f"`{c}`") for c in stream.columns], F.coalesce(F.size(f"{done}.items"), F.lit(0)).alias(count))
 
 
 def write(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:

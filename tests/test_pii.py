@@ -1,10 +1,12 @@
 """Detection, scoring and de-identification on sentences."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from maskwell.operators.analyzer import Analyzer, Registry
-from maskwell.operators.anonymizer import Anonymizer, Factory, OperatorConfig, OperatorError, luhn_digit, surrogate
+from maskwell.operators.anonymizer import SURROGATES, Anonymizer, Factory, OperatorConfig, OperatorError, surrogate
 from maskwell.operators.catalog import PATTERNS
 from maskwell.operators.phone import PhoneRecognizer
 from maskwell.operators.recognizers import ContextEnhancer, GazetteerRecognizer, NerRecognizer, Pattern, PatternRecognizer, predefined
@@ -114,10 +116,39 @@ def test_encrypt_round_trip_and_errors(spark):
         anonymized(spark, "x", [], {"DEFAULT": C("encrypt", {"key": "short"})})
 
 
-def test_surrogates():
-    assert surrogate("PERSON", "John Smith") == surrogate("PERSON", "John Smith") and len(surrogate("PERSON", "x").split()) == 2
-    card = surrogate("CREDIT_CARD", "4095")
-    assert luhn_digit(card[:-1]) == card[-1] and surrogate("OTHER", "x") == "<OTHER>"
+def test_surrogates(spark):
+    texts = [f"{i}95" for i in range(60)]
+    rows = [(e, t) for e in [*SURROGATES, "OTHER", None] for t in texts]
+    df = spark.createDataFrame(rows, "e string, t string").select("e", "t", surrogate(F.col("e"), F.col("t")).alias("s"))
+    got = {(r.e, r.t): r.s for r in df.collect()}
+    forms = {"PERSON": r"[A-Z][a-z]+ [A-Z][a-z]+", "EMAIL_ADDRESS": r"[a-z]+\.[a-z]+@example\.com", "PHONE_NUMBER": r"\+1 \(\d{3}\) \d{3}-\d{4}", "CREDIT_CARD": r"\d{16}", "US_SSN": r"\d{3}-\d\d-\d{4}", "IP_ADDRESS": r"\d+(\.\d+){3}", "DATE_TIME": r"(19|20)\d\d-\d\d-\d\d", "OTHER": "<OTHER>", None: "<ENTITY>"}
+    assert all(re.fullmatch(forms.get(e, ".+"), s) for (e, _), s in got.items())
+    assert all(spark.createDataFrame([(got["CREDIT_CARD", t],) for t in texts], "c string").selectExpr("bool_and(luhn_check(c))").first())
+    assert len({got["PERSON", t] for t in texts}) > 30 and {tuple(r) for r in df.collect()} == {(e, t, s) for (e, t), s in got.items()}
+
+
+def test_digits_of_other_scripts(spark):
+    found = [("P", 9, 18, 0.5)]
+    number = PatternRecognizer("P", "P", (Pattern("nine", r"\b\d{9}\b", 0.5),))
+    arabic = "passport \u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669"
+    assert spans(spark, arabic, [number]) == spans(spark, arabic + " room 5", [number]) == found
+    maybe = PatternRecognizer("M", "M", (Pattern("maybe", r"\b\d?x{3}\b", 0.5), Pattern("or", r"yyy|@[a-z]+", 0.5)))
+    assert [s[1:3] for s in spans(spark, "xxx yyy", [maybe])] == [(0, 3), (4, 7)]
+
+
+def test_allow_list_skips_what_the_jvm_cannot_compile(spark):
+    r = PatternRecognizer("D", "D", (Pattern("d", r"\d{3}", 0.5),))
+    assert spans(spark, "123 456", [r], allow_list=["(?P<a>1)", "[", "1.."], allow_list_match="regex") == [("D", 4, 7, 0.5)]
+
+
+def test_streamed_columns_pass(spark):
+    from maskwell.streaming import deidentify
+
+    df = spark.createDataFrame([(1, "mail a@b.com", "kept", "t", 7), (2, None, "x", "u", 8)], "id int, body string, spans string, text string, anonymized int")
+    got = deidentify(df, Analyzer(Registry([r for r in predefined() if r.entity == "EMAIL_ADDRESS"])), text="body")
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [(1, "mail <EMAIL_ADDRESS>", "kept", "t", 7, 1), (2, None, "x", "u", 8, 0)]
+    with pytest.raises(ValueError):
+        deidentify(df.withColumn("N_items", F.lit(1)), Analyzer(), text="body")
 
 
 def test_custom_operator(spark):
