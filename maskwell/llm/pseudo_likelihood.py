@@ -1,13 +1,16 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
 Tokens are words and runs of other marks, lower-cased. The most frequent WORDS of the whole corpus have ids of their own,
-the others share hashed ones, whose mass their words have in equal parts. For each position the vectors of the two tokens on either side, by place, are added and
-squashed; a softmax gives the class of the masked token, and its share of the class's count the token in it. The sum of
-the conditional log-probabilities over all positions scores the document.
-
-Counts cover all tokens of all documents. Every partition trains its own copy on every position of each of its documents, from one start, and the copies are averaged by the number of positions, chunk by chunk, in two steps of
-streamed sums; so what is gathered grows with the input, and no task or driver holds more than a few models.
-Null, empty and blank texts have no tokens and score 0. Repeated rows score alike; an empty table gives no rows.
+the others share hashed ones, whose chance their words have in equal parts. For each position the vectors of the tokens on either side, by
+place, are added and squashed; a softmax gives the class of the masked token, and a softmax of the class's own, over the same
+squashed values, the token in it. The sum of the conditional log-probabilities over all positions scores the document.
+
+Counts cover all tokens of all documents, and the output biases start from them. Every partition trains its own copy on every position of
+each of its documents, from one start, and the copies are averaged by the number of positions, chunk by chunk, in two steps of
+streamed sums; so what is gathered grows with the input, and no task or driver holds more than a few models. The weights depend
+on how rows lie in partitions; the same rows in the same partitions give the same weights.
+Null, empty and blank texts have no tokens and score 0. Repeated rows score alike; an empty table gives no rows. Texts of any length are
+scored whole.
 """
 
 from __future__ import annotations
@@ -22,15 +25,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwell.llm.common import slices, table
+from maskwell.llm.common import free, free_name, map_arrow, materialize, slices, table
 
-WORDS, HASHED, HIDDEN, CLASSES = 3584, 511, 16, 64
+#: Ids: WORDS of their own, HASHED shared ones, and a pad. Id i is the (i // CLASSES)-th of class i % CLASSES.
+CLASSES, EACH, HASHED, HIDDEN = 64, 128, 1024, 16
+WORDS = CLASSES * EACH - HASHED
 PAD = WORDS + HASHED
 IDS = PAD + 1
-PLACES = (-2, -1, 1, 2)
-STEP, BATCH, RATE = 256, 2048, 0.15
+PLACES = (-3, -2, -1, 1, 2, 3)
+EDGE = 3
+BATCH, RATE, START = 8192, 0.1, 1e-9
 FLUSH = 400_000
-CHUNKS = 8
+CHUNKS = 64
+#: Words that an encoder remembers beside the listed ones, and their length at most.
+MEMORY, LONGEST = 200_000, 40
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -57,83 +65,159 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
         if c:
             yield out()
 
-    return docs.select(text).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(text), run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """Ids, classes and log-shares of tokens within their class."""
+    """Ids of tokens, their counts, and how many words an id stands for."""
 
     def __init__(self, top: list[tuple[str, int]], total: int, distinct: int | None = None):
         self.ids = {w: i for i, (w, _) in enumerate(top)}
-        count = np.full(IDS, 0.5)
+        count = np.full(PAD, 0.5)
         count[: len(top)] += [n for _, n in top]
-        rest = max(total - sum(n for _, n in top), 0)
-        count[WORDS:PAD] += rest / HASHED
-        order = np.argsort(-count[:PAD], kind="stable")
-        mass = np.cumsum(np.sqrt(count[order]))
-        self.classes = np.zeros(IDS, np.int64)
-        self.classes[order] = np.minimum((mass / mass[-1] * CLASSES).astype(np.int64), CLASSES - 1)
-        sums = np.bincount(self.classes[:PAD], count[:PAD], CLASSES)
-        words = np.ones(IDS)  # that an id stands for
-        words[WORDS:PAD] = max(((distinct or 0) - len(top)) / HASHED, 1.0)
-        self.share = np.log(count / words / np.maximum(sums[self.classes], 0.5)).astype(np.float32)
-
-    def encode(self, words: list[str]) -> np.ndarray:
-        get = self.ids.get
-        return np.array([i if (i := get(w)) is not None else WORDS + zlib.crc32(w.encode("utf-8", "surrogatepass")) % HASHED for w in words], np.int32)
+        count[WORDS:] += max(total - sum(n for _, n in top), 0) / HASHED
+        words = np.ones(PAD)
+        words[WORDS:] = max(((distinct or 0) - len(top)) / HASHED, 1.0)
+        self.counts, self.log_words = count, np.log(words).astype(np.float32)
+
+    def encoder(self):
+        """The id of each word, as a mapping that fills as it is asked."""
+        return _Ids(self.ids)
+
+
+class _Ids(dict):
+    def __missing__(self, word: str) -> int:
+        i = WORDS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % HASHED
+        if len(word) <= LONGEST and len(self) < WORDS + MEMORY:
+            self[word] = i
+        return i
 
 
 class Network:
-    def __init__(self, weights: np.ndarray | None = None):
-        sizes = [(len(PLACES), IDS, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray | None = None):
+        sizes = [(len(PLACES), IDS, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, EACH), (CLASSES, EACH)]
         n = [int(np.prod(s)) for s in sizes]
-        if weights is None:
-            rng = np.random.default_rng(11)
-            weights = (rng.standard_normal(sum(n)) * 0.1).astype(np.float32)
+        fresh = weights is None
+        if fresh:
+            weights = (np.random.default_rng(11).standard_normal(sum(n)) * 0.1).astype(np.float32)
         self.weights = weights
-        self.e, self.b, self.w, self.c = (p.reshape(s) for p, s in zip(np.split(weights, np.cumsum(n)[:-1]), sizes, strict=True))
+        self.e, self.b, self.w, self.c, self.v, self.d = (p.reshape(s) for p, s in zip(np.split(weights, np.cumsum(n)[:-1]), sizes, strict=True))
+        if fresh:
+            count = vocabulary.counts.reshape(EACH, CLASSES).T
+            mass = count.sum(axis=1)
+            self.c[:] = np.log(mass / mass.sum())
+            self.d[:] = np.log(count / mass[:, None])
         self.grad: list[np.ndarray] = []
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """context: ids by place, one row for each position. Gives hidden values and log-probabilities of the classes."""
-        h = np.tanh(sum(self.e[k][context[:, k]] for k in range(len(PLACES))) + self.b)
-        z = h @ self.w + self.c
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        """context: ids by place, one column for each position."""
+        h = self.e[0].take(context[0], axis=0)
+        for k in range(1, len(PLACES)):
+            h += self.e[k].take(context[k], axis=0)
+        h += self.b
+        return np.tanh(h, out=h)
+
+    @staticmethod
+    def _softmax(z: np.ndarray) -> np.ndarray:
         z -= z.max(axis=1, keepdims=True)
-        return h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return z
 
-    def learn(self, context: np.ndarray, target: np.ndarray) -> None:
+    @staticmethod
+    def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-probabilities of one column for each row of logits."""
+        z -= z.max(axis=1, keepdims=True)
+        own = z[np.arange(len(at)), at]
+        return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+    def log_probabilities(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Of the ids at the positions, given the ids around them."""
+        h = self.hidden(context)
+        kind, place = ids % CLASSES, ids // CLASSES
+        out = self._chosen(h @ self.w + self.c, kind)
+        for k, rows in _by_class(kind):
+            out[rows] += self._chosen(h[rows] @ self.v[k] + self.d[k], place[rows])
+        return out
+
+    def learn(self, context: np.ndarray, ids: np.ndarray) -> None:
         """One step of Adagrad."""
         if not self.grad:
-            self.grad = [np.full_like(x, 1e-3) for x in (self.e, self.b, self.w, self.c)]
-        h, logp = self.forward(context)
-        d = np.exp(logp)
-        d[np.arange(len(target)), target] -= 1
-        d /= len(target)
-        back = (d @ self.w.T) * (1 - h * h)
-        for x, g, s in ((self.w, h.T @ d, self.grad[2]), (self.c, d.sum(axis=0), self.grad[3]), (self.b, back.sum(axis=0), self.grad[1])):
+            self.grad = [np.full_like(x, START) for x in (self.e, self.b, self.w, self.c, self.v, self.d)]
+
+        def step(x, s, g):
             s += g * g
             x -= RATE * g / np.sqrt(s)
+
+        h = self.hidden(context)
+        kind, place = ids % CLASSES, ids // CLASSES
+        scale = np.float32(1 / len(ids))
+        p = self._softmax(h @ self.w + self.c)
+        p[np.arange(len(ids)), kind] -= 1
+        p *= scale
+        back = p @ self.w.T
+        step(self.w, self.grad[2], h.T @ p)
+        step(self.c, self.grad[3], p.sum(axis=0))
+        for k, rows in _by_class(kind):
+            x = h[rows]
+            q = self._softmax(x @ self.v[k] + self.d[k])
+            q[np.arange(len(rows)), place[rows]] -= 1
+            q *= scale
+            back[rows] += q @ self.v[k].T
+            step(self.v[k], self.grad[4][k], x.T @ q)
+            step(self.d[k], self.grad[5][k], q.sum(axis=0))
+        back *= 1 - h * h
+        step(self.b, self.grad[1], back.sum(axis=0))
         for k in range(len(PLACES)):
-            order = np.argsort(context[:, k], kind="stable")
-            rows = context[order, k]
+            order = np.argsort(context[k], kind="stable")  # of 16-bit integers: a radix sort
+            rows = context[k][order]
             first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
             g, at = np.add.reduceat(back[order], first, axis=0), rows[first]
-            self.grad[0][k][at] += g * g
-            self.e[k][at] -= RATE * g / np.sqrt(self.grad[0][k][at])
+            s = self.grad[0][k][at] + g * g
+            self.grad[0][k][at] = s
+            self.e[k][at] -= RATE * g / np.sqrt(s)
+
 
+def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(kind, kind="stable")
+    ends = np.cumsum(np.bincount(kind, minlength=CLASSES)).tolist()
+    for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        if b > a:
+            yield k, order[a:b]
 
-def _contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """ids has two pads at either end; at: positions in it."""
-    return np.stack([ids[at + p] for p in PLACES], axis=1)
 
+def positions(texts: list[str | None], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' ids in one array with EDGE pads around each, the places of tokens in it, and the texts' numbers of tokens."""
+    pads, stream, n = [PAD] * EDGE, [PAD] * EDGE, []
+    get = ids.__getitem__
+    for t in texts:
+        words = tokens_of(t)
+        stream += map(get, words)
+        stream += pads
+        n.append(len(words))
+    stream, n = np.array(stream, np.uint16), np.array(n, np.int64)
+    shift = EDGE * (1 + np.arange(len(n)))
+    return stream, np.arange(n.sum()) + np.repeat(shift, n), n
 
-def _padded(ids: np.ndarray) -> np.ndarray:
-    return np.concatenate(([PAD, PAD], ids, [PAD, PAD])).astype(np.int32)
 
+def contexts(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.stack([stream[at + p] for p in PLACES])
 
-def targets_at(ids: np.ndarray) -> np.ndarray:
-    """The positions of padded ids that a network learns from: all tokens."""
-    return np.arange(2, len(ids) - 2)
+
+#: Characters of texts that are encoded together.
+TOGETHER = 1 << 19
+
+
+def _together(texts: list[str | None]) -> Iterator[list[str | None]]:
+    few, size = [], 0
+    for t in texts:
+        few.append(t)
+        size += len(t or "")
+        if size >= TOGETHER:
+            yield few
+            few, size = [], 0
+    if few:
+        yield few
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, text: str) -> np.ndarray:
@@ -142,23 +226,24 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, net, n = shared.value, Network(), 0
+        v, n = shared.value, 0
+        net, ids = Network(v), v.encoder()
         held, targets, waiting = [], [], 0
         for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                ids = _padded(v.encode(tokens_of(t)))
-                at = targets_at(ids)
-                held.append(_contexts(ids, at))
-                targets.append(v.classes[ids[at]])
+            for few in _together(b.column(0).to_pylist()):
+                stream, at, _ = positions(few, ids)
+                held.append(contexts(stream, at))
+                targets.append(stream[at])
                 waiting += len(at)
                 if waiting >= BATCH:
-                    x, y = np.concatenate(held), np.concatenate(targets)
-                    for a in range(0, len(x), STEP):
-                        net.learn(x[a : a + STEP], y[a : a + STEP])
-                    n += len(x)
-                    held, targets, waiting = [], [], 0
+                    x, y = np.concatenate(held, axis=1), np.concatenate(targets)
+                    end = len(y) - len(y) % BATCH
+                    for a in range(0, end, BATCH):
+                        net.learn(x[:, a : a + BATCH], y[a : a + BATCH])
+                    n += end
+                    held, targets, waiting = [x[:, end:]], [y[end:]], len(y) - end
         if waiting:
-            net.learn(np.concatenate(held), np.concatenate(targets))
+            net.learn(np.concatenate(held, axis=1), np.concatenate(targets))
             n += waiting
         if n:
             parts = np.array_split(net.weights.astype(np.float64) * n, CHUNKS)
@@ -176,14 +261,27 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary()), pa.array([n[k] for k in sums], pa.int64())], names=["chunk", "sums", "n"])
 
     schema = "chunk int, sums binary, n long"
-    parts = docs.select(text).mapInArrow(run, schema).withColumn("g", F.spark_partition_id() % 32)
-    some = parts.repartition("chunk", "g").select("chunk", "sums", "n").mapInArrow(add, schema)
-    rows = sorted(some.repartition("chunk").mapInArrow(add, schema).collect(), key=lambda r: r.chunk)  # one model
+    parts = map_arrow(docs.select(text), run, schema).withColumn("g", F.spark_partition_id() % 32)
+    some = map_arrow(parts.repartition("chunk", "g").select("chunk", "sums", "n"), add, schema)
+    rows = sorted(map_arrow(some.repartition("chunk"), add, schema).collect(), key=lambda r: r.chunk)  # one model
     if not rows:
-        return Network().weights
+        return Network(vocabulary).weights
     return np.concatenate([np.frombuffer(r.sums, np.float64) / r.n for r in rows]).astype(np.float32)
 
 
+def scores(net: Network, vocabulary: Vocabulary, ids: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tokens and summed conditional log-probabilities of the texts."""
+    stream, at, n = positions(texts, ids)
+    logs = np.empty(len(at), np.float64)
+    for a in range(0, len(at), BATCH):
+        some = at[a : a + BATCH]
+        own = stream[some]
+        logs[a : a + BATCH] = net.log_probabilities(contexts(stream, some), own) - vocabulary.log_words[own]
+    total = np.concatenate(([0.0], np.cumsum(logs)))
+    ends = np.cumsum(n)
+    return n, total[ends] - total[ends - n]
+
+
 def score(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns of `keep`, n_tokens, the summed conditional log-probability and its mean over tokens. No shuffle."""
     import pyarrow as pa
@@ -192,30 +290,22 @@ def score(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, keep: tu
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("pseudo_log_likelihood", T.DoubleType()), T.StructField("mean_log_probability", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, net = shared.value[0], Network(shared.value[1])
+        v, net = shared.value[0], Network(*shared.value)
+        ids = v.encoder()
         for b in slices(batches):
-            n, sums = [], []
-            for t in b.column(b.num_columns - 1).to_pylist():
-                ids = _padded(v.encode(tokens_of(t)))
-                total = 0.0
-                for a in range(2, len(ids) - 2, BATCH):
-                    at = np.arange(a, min(a + BATCH, len(ids) - 2))
-                    _, logp = net.forward(_contexts(ids, at))
-                    own = ids[at]
-                    total += float(logp[np.arange(len(at)), v.classes[own]].sum(dtype=np.float64) + v.share[own].sum(dtype=np.float64))
-                n.append(len(ids) - 4)
-                sums.append(total)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array([s / m if m else None for s, m in zip(sums, n, strict=True)], pa.float64())], names=[f.name for f in schema])
-
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
+            found = [scores(net, v, ids, few) for few in _together(b.column(b.num_columns - 1).to_pylist())]
+            n, sums = (np.concatenate(x) for x in zip(*found, strict=True))
+            mean = pa.array(sums / np.maximum(n, 1), pa.float64(), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(sums, pa.float64()), mean], names=[f.name for f in schema])
 
+    return map_arrow(docs.select(*keep, docs[text].alias(free_name(keep, "text"))), run, schema)
 
-def fit(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndarray]:
-    from maskwell.llm.common import materialize
 
+def fit(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndarray]:
     counts = materialize(word_counts(docs, text), "word-counts")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     top = [(r.w, r.n) for r in counts.orderBy(F.desc("n"), "w").limit(WORDS).collect()]
+    free(counts)
     v = Vocabulary(top, total or 0, distinct)
     return v, train(docs, v, text)
 

@@ -347,17 +347,53 @@ def test_pseudo_likelihood_prefers_order(spark):
     assert got[9].pseudo_log_likelihood == got[10].pseudo_log_likelihood == 0 and got[9].n_tokens == 0
 
 
-def test_unlisted_words_share_the_mass_of_their_bucket():
-    top = [(f"w{i}", 200) for i in range(pseudo_likelihood.WORDS)]
-    v = pseudo_likelihood.Vocabulary(top, 200 * len(top) + 280_000, len(top) + 280_000)  # the others occur once each
-    mass = np.exp(v.share.astype(float)) * np.bincount(v.classes[: pseudo_likelihood.PAD], minlength=pseudo_likelihood.CLASSES)[v.classes]
-    assert mass[pseudo_likelihood.WORDS] < mass[: pseudo_likelihood.WORDS].min() / 20
-
-
-def test_every_token_is_a_target():
-    for n in (0, 1, 5, 8, 100):
-        ids = pseudo_likelihood._padded(np.arange(n, dtype=np.int32))
-        assert ids[pseudo_likelihood.targets_at(ids)].tolist() == list(range(n))
+@pytest.fixture(scope="module")
+def small_model():
+    v = pseudo_likelihood.Vocabulary([(f"w{i}", 1000 - i) for i in range(500)], 800_000, 5_500)
+    net = pseudo_likelihood.Network(v)
+    rng = np.random.default_rng(0)
+    for _ in range(5):
+        net.learn(rng.integers(0, 500, (6, 300)).astype(np.uint16), rng.integers(0, 500, 300).astype(np.uint16))
+    return v, net
+
+
+def chance(v, net, around, i):
+    """p(class) * p(id in its class) / words of the id, with plain loops."""
+    M = pseudo_likelihood
+    h = np.tanh(sum(net.e[k][around[k]].astype(float) for k in range(6)) + net.b)
+    z = np.exp(h @ net.w + net.c)
+    k = i % M.CLASSES
+    y = np.exp(h @ net.v[k] + net.d[k])
+    return z[k] / z.sum() * y[i // M.CLASSES] / y.sum() / math.exp(v.log_words[i])
+
+
+def test_pseudo_likelihood_equals_a_direct_sum(small_model):
+    v, net = small_model
+    texts = ["w1 w2 unknown w3, w499 w1", None, "", "w7", " ".join(f"w{i % 600}" for i in range(9000))]
+    ids = v.encoder()
+    n, got = pseudo_likelihood.scores(net, v, ids, texts)
+    for t, m, s in zip(texts, n, got, strict=True):
+        own = [ids[w] for w in pseudo_likelihood.tokens_of(t)]
+        padded = [pseudo_likelihood.PAD] * 3 + own + [pseudo_likelihood.PAD] * 3
+        want = sum(math.log(chance(v, net, [padded[3 + k + p] for p in pseudo_likelihood.PLACES], i)) for k, i in enumerate(own))
+        assert m == len(own) and s == pytest.approx(want, rel=1e-4, abs=1e-6)
+    around = [1, 2, 3, 4, 5, 6]
+    every = sum(chance(v, net, around, i) * math.exp(v.log_words[i]) for i in range(pseudo_likelihood.PAD))
+    assert every == pytest.approx(1, rel=1e-4)
+
+
+def test_unlisted_words_share_the_chance_of_their_id(small_model):
+    v, net = small_model
+    assert math.exp(v.log_words[-1]) == pytest.approx(5000 / pseudo_likelihood.HASHED) and v.log_words[0] == 0
+    n, got = pseudo_likelihood.scores(net, v, v.encoder(), ["w499", "neverseen"])
+    assert got[1] < got[0]
+
+
+def test_every_token_is_a_target(small_model):
+    v, _ = small_model
+    stream, at, n = pseudo_likelihood.positions(["w0 w1", None, "w2", " ".join(f"w{i}" for i in range(100))], v.encoder())
+    assert stream[at].tolist() == [0, 1, 2, *range(100)] and n.tolist() == [2, 0, 1, 100]
+    assert pseudo_likelihood.contexts(stream, at)[:, 0].tolist() == [pseudo_likelihood.PAD] * 3 + [1] + [pseudo_likelihood.PAD] * 2
 
 
 def test_language_evidence(spark):
