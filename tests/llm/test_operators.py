@@ -238,6 +238,20 @@ def test_top_k(spark):
     for q in range(0, 300, 50):
         order = sorted((-int(v[q] @ v[i]), i) for i in range(300) if i != q)[:5]
         assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(order)]
+    # candidates in clusters: most are never evaluated
+    centers = rng.integers(-4000, 4000, (12, 8))
+    far = [(i, (centers[i % 12] + rng.integers(-40, 40, 8)).astype(float).tolist()) for i in range(3000)] + [(7, [1.0, 2.0]), (7, [1.0, 2.0]), (4000, [])]
+    cl = spark.createDataFrame(far, "vec_id long, v array<double>")
+    asked = cl.where("vec_id % 50 = 0 AND vec_id < 3000")
+    got = pivots.top_k(asked, cl, 5, block=200, query_block=20).collect()
+    dense = [(i, np.array(v + [0.0] * (8 - len(v)))) for i, v in far]
+    for i in range(0, 3000, 50):
+        order = sorted((-int(dense[i][1] @ v), j) for j, v in dense if j != i)[:5]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == i) == [(n + 1, j, -s) for n, (s, j) in enumerate(order)]
+    n = pivots.top_k(asked, cl, 5, evaluated=True).agg(F.sum("n")).first()[0]
+    assert n < 0.3 * 60 * 3000
+    huge = spark.createDataFrame([(0, [3.0e9, 1.0]), (1, [3.0e9 + 1, 5.0]), (2, [3.0e9 + 1, 6.0])], "vec_id long, v array<double>")
+    assert [(r.vec_id, r.score) for r in pivots.top_k(huge.where("vec_id = 0"), huge, 2).orderBy("rank").collect()] == [(2, 3 * 10**9 * (3 * 10**9 + 1) + 6), (1, 3 * 10**9 * (3 * 10**9 + 1) + 5)]
     bad = spark.createDataFrame([(0, [1.0, None]), (1, [math.nan, 1.0]), (2, None), (3, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in pivots.integer_vectors(bad).collect()] == [3]
     assert pivots.top_k(df.limit(0), df, 5).count() == 0
