@@ -26,15 +26,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import fresh_path, slices, table
+from maskwell.llm.common import fresh_path, kept, map_arrow, materialize, slices, table
 
 MAGIC = b"MWI1"
 HEAD = struct.Struct("<4sIIIQQ")
 NULL_ID = -(1 << 63)
 BLOCK = 4096
 FRAME_IDS = 1 << 20
-#: Runs remembered by each worker.
-CACHE = 500_000
+#: Runs remembered by each worker, and characters that a remembered run has at most.
+CACHE, LONGEST = 500_000, 100
 
 
 def bits_for(vocabulary: int) -> int:
@@ -134,6 +134,7 @@ class WordEncoder:
         if suffix:
             self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.long: set[str] = set()
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -167,6 +168,9 @@ class WordEncoder:
             of = self.known.__getitem__
             for t, words in zip(texts[at:to], split, strict=True):
                 yield self._ask([t])[0] if words is None else b"".join(map(of, words))
+            for w in self.long:
+                self.known.pop(w, None)
+            self.long.clear()
             if len(self.known) > self.cache_size:  # the words met first, the frequent ones among them, stay
                 self.known = dict(islice(self.known.items(), self.cache_size // 2))
             at = to
@@ -175,6 +179,8 @@ class WordEncoder:
         """Letters and the marks that follow them are separate pre-tokens, so they are asked for once each."""
         known, cut, letters, rest = self.known, [], set(), set()
         for w in words:
+            if len(w) > LONGEST:
+                self.long.add(w)
             core = w.rstrip(self.MARKS)
             if any(a in w for a in self.added) or not core.isalpha() or not (core.isascii() or normalize("NFC", core).lower().isalpha()):  # a combining mark would join the marks
                 rest.add(w)
@@ -182,6 +188,8 @@ class WordEncoder:
             marks = w[len(core) :]
             core = core.lower() if core.isascii() else core
             letters.add(core)
+            if len(core) > LONGEST:
+                self.long.add(core)
             if marks:
                 rest.add(marks)
             cut.append((w, core, marks))
@@ -193,14 +201,15 @@ class WordEncoder:
             known[w] = known[core] + known[marks] if marks else known[core]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+OWNER = "packed-ids"
 
 
 def encoder_of(path: str) -> WordEncoder:
     """One per worker process, kept over its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    encoders = kept(OWNER, dict)
+    if path not in encoders:
+        encoders[path] = WordEncoder(path)
+    return encoders[path]
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, text: str = "text", frame_ids: int = FRAME_IDS, block: int = BLOCK, frames_per_file: int = 8) -> None:
@@ -229,7 +238,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, text:
 
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("d"), docs[text].alias("t"))
     rows = rows.repartitionByRange("d").sortWithinPartitions("d")
-    out = rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    out = map_arrow(rows, run, "frame binary", OWNER).select(F.col("frame").cast("string").alias("value"))
     out.write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", frames_per_file).text(path)
 
 
@@ -251,26 +260,26 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     at += int(f.starts[-1])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-    rows = files.mapInArrow(run, "file string, k long, doc_id long, at long, n_tokens long, ids_crc32 long")
-    heads = headers(files)
-    return rows.join(heads, "file").select(
+    rows = materialize(map_arrow(files, run, "file string, k long, doc_id long, at long, n_tokens long, ids_crc32 long"), "read-ids")
+    return rows.join(bases(rows), "file").select(
         F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
-def headers(files: DataFrame) -> DataFrame:
-    """A row for each file: ids in all files before it. Files, of many frames each, are few; they are ordered by name's part number."""
-    import pyarrow as pa
+#: Parts of the written table whose files are added up in one task.
+PARTS = 1000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [sum(f.n for f in frames(c.as_buffer())) for c in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["file", "n"])
 
-    part = F.regexp_extract("file", r"part-(\d+)-", 1).cast("long")
-    piece = F.regexp_extract("file", r"-c(\d+)\.", 1).cast("long")
-    before = Window.orderBy(part, piece).rowsBetween(Window.unboundedPreceding, -1)
-    return files.mapInArrow(run, "file string, n long").select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+def bases(rows: DataFrame) -> DataFrame:
+    """A row for each file: ids in all files before it, in the order of the names' part numbers. Added up within every PARTS parts, then over these."""
+    sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    sums = sums.withColumns({"part": F.regexp_extract("file", r"part-(\d+)-", 1).cast("long"), "piece": F.regexp_extract("file", r"-c(\d+)\.", 1).cast("long")})
+    sums = sums.withColumn("group", F.expr(f"part div {PARTS}"))
+    before = (Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("group").orderBy("part", "piece").rowsBetween(*before)), F.lit(0))
+    groups = sums.groupBy("group").agg(F.sum("n").alias("n"))  # one row for PARTS parts
+    groups = groups.select(F.col("group").alias("g"), F.coalesce(F.sum("n").over(Window.orderBy("group").rowsBetween(*before)), F.lit(0)).alias("all_before"))
+    return sums.withColumn("inside", inside).join(groups, F.col("group") == F.col("g")).select("file", (F.col("inside") + F.col("all_before")).alias("base"))
 
 
 def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
