@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwell.llm.common import in_train_fold, materialize, slices, table
+from maskwell.llm.common import free, free_name, in_train_fold, map_arrow, materialize, slices, table
 
 BUCKETS = 1 << 15
 #: A text counts as this many independent trigrams at most, and each as TEMPER of one.
@@ -30,13 +30,45 @@ EFFECTIVE = 200.0
 TEMPER = 0.5
 KAPPA = 4.0
 PART = 1 << 20
+#: Languages that a model has at most; more are an error.
+LANGUAGES = 512
 
-_HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_TAG = re.compile(rb"(?i)<(?:(script|style)\b|(!--))?")
+_CLOSE = {k: re.compile(rb"(?i)</" + k + rb"\s*>") for k in (b"script", b"style")}
 
 
 def visible(markup: bytes) -> bytes:
-    """Text of a page without scripts, styles, comments and tags, entities resolved."""
-    out = _HIDDEN.sub(b" ", markup)
+    """Text of a page without scripts, styles, comments and tags, entities resolved. What is never closed stays, but for its tag; each end
+    is looked for once, so that the time is linear."""
+    parts, at, missing = [], 0, set()
+
+    def end_of(kind: bytes, start: int) -> int:
+        if kind in missing:
+            return -1
+        m = _CLOSE[kind].search(markup, start) if kind in _CLOSE else None
+        found = (m.end() if m else -1) if kind in _CLOSE else (markup.find(kind, start) + len(kind) or -1)
+        if found < 0 or (kind not in _CLOSE and found == len(kind) - 1):
+            missing.add(kind)
+            return -1
+        return found
+
+    look = 0
+    while m := _TAG.search(markup, look):
+        to = -1
+        if m[1]:
+            to = end_of(m[1].lower(), m.end())
+        elif m[2]:
+            to = end_of(b"-->", m.end())
+        if to < 0:
+            to = end_of(b">", m.end())
+        if to < 0:
+            look = m.end()
+            if b">" in missing and len(missing) == 4:
+                break
+            continue
+        parts.append(markup[at : m.start()])
+        at = look = to
+    out = b" ".join([*parts, markup[at:]])
     return html.unescape(out.decode("utf-8", "replace")).encode() if b"&" in out else out
 
 
@@ -59,23 +91,26 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[li
         sums: dict[str, np.ndarray] = {}
         for b in slices(batches):
             for t, l in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if l not in sums and len(sums) > LANGUAGES:  # an error below
+                    continue
                 trigram_counts(t or b"", sums.setdefault(l, np.zeros(BUCKETS, np.int64)))
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["lang", "sums"])
-
-    def add(pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"lang": pdf["lang"][:1], "sums": [sum(np.frombuffer(s, np.int64) for s in pdf["sums"]).tobytes()]})
-
-    parts = labelled.select(text, lang).where(F.col(lang).isNotNull()).mapInArrow(count, "lang string, sums binary")
-    # a task's row for a language is of fixed size; they are added in two steps, so that no task holds many
-    some = parts.withColumn("k", F.spark_partition_id() % 16).groupBy("lang", "k").applyInPandas(lambda p: add(p).assign(k=p["k"].iloc[0]), "lang string, sums binary, k int")
-    rows = sorted(some.groupBy("lang").applyInPandas(add, "lang string, sums binary").collect(), key=lambda r: r.lang)
-    if not rows:
+        for l, x in sums.items():
+            at = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array([l] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(x[at])], names=["lang", "bucket", "n"])
+
+    parts = map_arrow(labelled.select(text, lang).where(F.col(lang).isNotNull()), count, "lang string, bucket int, n long")
+    sums = materialize(parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    names = sorted(r.lang for r in sums.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages are labelled")
+    if not names:
         return ["und"], np.zeros((1, BUCKETS), np.float32)
-    c = np.stack([np.frombuffer(r.sums, np.int64) for r in rows]) + 0.5
-    return [r.lang for r in rows], np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32)
+    got = sums.toArrow()  # a row for each language and bucket
+    c = np.full((len(names), BUCKETS), 0.5)
+    place = {l: i for i, l in enumerate(names)}
+    np.add.at(c, ([place[l] for l in got.column("lang").to_pylist()], got.column("bucket").to_numpy()), got.column("n").to_numpy())
+    free(sums)
+    return names, np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: bool, keep: list[str], text: str) -> DataFrame:
@@ -100,7 +135,7 @@ def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], markup:
                 ll.append((counts[at] @ weights[at] * (TEMPER * min(1.0, EFFECTIVE / n))).tolist() if n > 2 else [0.0] * len(names))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ll, pa.list_(pa.float64())), pa.array(said, pa.string())], names=[f.name for f in schema])
 
-    return rows.select(*keep, rows[text].alias("__text")).mapInArrow(run, schema)
+    return map_arrow(rows.select(*keep, rows[text].alias(free_name(keep, "text"))), run, schema)
 
 
 def _softmax(ll: Column) -> Column:

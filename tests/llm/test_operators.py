@@ -420,3 +420,69 @@ def test_language_evidence(spark):
     got = {r.page_id: r for r in language.fuse(language.text_evidence(df, (names, logs), True, ["page_id", "host", "domain", "suffix"], "html"), names).collect()}
     assert all(got[i].lang == ("fr" if i % 2 else "en") for i in range(20))
     assert got[100].lang == "fr" and got[101].host is None and Counter(len(got) for _ in [0])[23] == 1
+
+
+def test_visible_text():
+    cases = {
+        b"<p>a<b>c</b> &amp; d": " a c  & d", b"<script>x<y>z</SCRIPT >t": " t", b"<!-- <p> -->t<!-- u": " t<!-- u", b"<style>a": " a", b"a < b": "a < b", b"x<y": "x<y", b"": "",
+        b"<script>1</script>2<script>3": " 2 3", b"<a title='<!--'>b": " b",
+    }
+    for markup, text in cases.items():
+        assert language.visible(markup).decode() == text, markup
+    import time
+
+    began = time.time()
+    for unit in (b"<script ", b"<!-- ", b"<", b"<style>", b"<script></style>"):
+        language.visible(unit * 200_000)
+    assert time.time() - began < 10
+
+
+def test_evidence_beside_the_text_decides(spark):
+    """Against the formulas in plain Python; half of the rows have no text, or one that fits both languages."""
+    rng = np.random.default_rng(2)
+    names = ["en", "fr"]
+    rows = []
+    for i in range(60):
+        fr = i % 2
+        ll = [0.0, 0.0] if i % 4 < 2 else [-3.0 * fr, -3.0 * (1 - fr)]
+        rows.append((i, ll, [None, "en", "fr"][int(rng.integers(3))] if i % 5 else names[fr], f"{'fr' if fr else 'com'}" if i % 7 else None, f"d{fr}.x" if i % 7 else None, f"h{fr}{i % 3}" if i % 7 else None))
+    df = spark.createDataFrame(rows, "id int, ll array<double>, declared string, suffix string, domain string, host string")
+    got = {r.id: r for r in language.fuse(df, names).collect()}
+    p = {r[0]: np.exp(r[1]) / np.exp(r[1]).sum() for r in rows}
+    total = sum(p.values())
+    overall, k = (total + 1) / (total.sum() + 2), language.KAPPA
+    smooth = lambda s, q: (s + k * q) / (s.sum() + k)
+    sums = lambda c, v: sum((p[r[0]] for r in rows if r[c] == v), np.zeros(2))
+    changed = 0
+    for r in rows:
+        prior = overall if r[5] is None else smooth(np.maximum(sums(5, r[5]) - p[r[0]], 0), smooth(sums(4, r[4]), overall))
+        logs = np.array(r[1]) + np.log(prior)
+        for c in (2, 3):
+            if r[c] is not None:
+                logs += np.log(smooth(sums(c, r[c]), overall) / overall)
+        post = np.exp(logs - logs.max())
+        post /= post.sum()
+        assert got[r[0]].posterior == pytest.approx(post.tolist(), rel=1e-9) and got[r[0]].lang == names[int(post.argmax())]
+        changed += got[r[0]].lang != got[r[0]].text_lang
+    assert changed > 10  # the text alone is silent there and would say the first language
+    silent = [r for r in rows if r[1] == [0.0, 0.0] and r[5]]
+    assert np.mean([got[r[0]].lang == names[r[0] % 2] for r in silent]) > 0.8
+
+
+def test_language_of_empty_and_odd_tables(spark, empty):
+    assert language.fit(empty) == (["und"], pytest.approx(np.zeros((1, language.BUCKETS))))
+    model = language.fit(spark.createDataFrame([("abc abd", "en"), (None, "fr"), ("x", None)], "text string, lang string"))
+    assert model[0] == ["en"] or model[0] == ["en", "fr"]
+    df = language.address_parts(spark.createDataFrame([], "page_id long, url string, html string"), "url")
+    assert language.fuse(language.text_evidence(df, model, True, ["page_id", "host", "domain", "suffix"], "html"), model[0]).count() == 0
+
+
+def test_files_are_added_up_in_order(spark, monkeypatch):
+    monkeypatch.setattr(packed_ids, "PARTS", 3)
+    names = [(f"x/part-{p:05d}-u-c{c:03d}.txt", 10 * p + c + 1) for p in range(11) for c in range(3)]
+    rows = spark.createDataFrame([(f, n) for f, m in names for n in (m, 1)], "file string, n_tokens long").repartition(4)
+    got = {r.file: r.base for r in packed_ids.bases(rows).collect()}
+    at = 0
+    for f, m in names:
+        assert got[f] == at
+        at += m + 1
