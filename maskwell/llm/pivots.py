@@ -69,18 +69,25 @@ def best(q: np.ndarray, own: int, x: np.ndarray, ids: np.ndarray, exact: bool, d
         bound = upper_bounds(qq, xx[rows], lower)
         stay = bound >= start
         rows, lower, bound = rows[stay], lower[stay], bound[stay]
+        if 2 * len(rows) > len(stay):  # bounds that drop little cost more than products
+            break
     order = np.argsort(-bound, kind="stable")
     rows, bound = rows[order], bound[order]
-    found: list[tuple[int, int]] = []
+    scores, names = np.empty(0, np.float64 if exact else object), np.empty(0, np.int64)
     at, step = 0, 64
     while at < len(rows):
-        if len(found) == k and bound[at] < found[-1][0]:
+        if len(scores) == k and bound[at] < scores[-1]:
             break
         some = rows[at : at + step]
-        scores = x[some] @ q if exact else [sum(int(a) * int(b) for a, b in zip(x[r], q, strict=True)) for r in some]
-        found = sorted([*found, *zip(map(int, scores), map(int, ids[some]), strict=True)], key=lambda s: (-s[0], s[1]))[:k]
+        new = x[some] @ q if exact else np.array([sum(int(a) * int(b) for a, b in zip(x[r], q, strict=True)) for r in some], object)
+        scores, names = np.concatenate([scores, new]), np.concatenate([names, ids[some]])
+        if len(scores) > k and exact:
+            high = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+            scores, names = scores[high], names[high]
+        by = sorted(range(len(scores)), key=lambda i: (-scores[i], names[i]))[:k]
+        scores, names = scores[by], names[by]
         at, step = at + step, min(4 * step, 4096)
-    return [(i, s) for s, i in found], min(at, len(rows))
+    return [(int(i), int(s)) for i, s in zip(names, scores, strict=True)], min(at, len(rows))
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, pivots: int = PIVOTS, block: int = CANDIDATES, query_block: int = QUERIES_IN_BLOCK, evaluated: bool = False) -> DataFrame:
