@@ -134,7 +134,6 @@ class WordEncoder:
         if suffix:
             self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
-        self.long: set[str] = set()
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -164,32 +163,28 @@ class WordEncoder:
                 to += 1
             split = [None if t and any(c in t for c in self.ODD) else (t or "").split() for t in texts[at:to]]
             if new := set().union(*(w for w in split if w)).difference(self.known):
-                self._learn(new)
+                self._learn(new, any(a in t for t in texts[at:to] if t for a in self.added))
             of = self.known.__getitem__
             for t, words in zip(texts[at:to], split, strict=True):
                 yield self._ask([t])[0] if words is None else b"".join(map(of, words))
-            for w in self.long:
-                self.known.pop(w, None)
-            self.long.clear()
+            if new and max(map(len, new)) > LONGEST:
+                for w in [w for w in self.known if len(w) > LONGEST]:
+                    del self.known[w]
             if len(self.known) > self.cache_size:  # the words met first, the frequent ones among them, stay
                 self.known = dict(islice(self.known.items(), self.cache_size // 2))
             at = to
 
-    def _learn(self, words: set[str]) -> None:
-        """Letters and the marks that follow them are separate pre-tokens, so they are asked for once each."""
+    def _learn(self, words: set[str], added: bool) -> None:
+        """Letters and the marks that follow them are separate pre-tokens, so they are asked for once each. added: some may hold an added token."""
         known, cut, letters, rest = self.known, [], set(), set()
         for w in words:
-            if len(w) > LONGEST:
-                self.long.add(w)
             core = w.rstrip(self.MARKS)
-            if any(a in w for a in self.added) or not core.isalpha() or not (core.isascii() or normalize("NFC", core).lower().isalpha()):  # a combining mark would join the marks
+            if added and any(a in w for a in self.added) or not core.isalpha() or not (core.isascii() or normalize("NFC", core).lower().isalpha()):  # a combining mark would join the marks
                 rest.add(w)
                 continue
             marks = w[len(core) :]
             core = core.lower() if core.isascii() else core
             letters.add(core)
-            if len(core) > LONGEST:
-                self.long.add(core)
             if marks:
                 rest.add(marks)
             cut.append((w, core, marks))
