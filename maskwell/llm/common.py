@@ -218,6 +218,28 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     return mix(out + np.uint64(k))
 
 
+def shingle_lists(texts: list[bytes | None], k: int = 5) -> Iterator[np.ndarray]:
+    """Of each text the hashes of the k words from each position, none where it has fewer words; texts are hashed together, a segment's worth at a time."""
+    group, size = [], 0
+
+    def flush():
+        n = np.array([len(t or b"") for t in group])
+        words, start, _ = word_hashes(b"\n".join(t or b"" for t in group), spans=True)
+        edge = np.append(np.searchsorted(start, np.cumsum(n + 1) - n - 1), len(words)).tolist()
+        every = shingles(words, k) if len(words) >= k else words[:0]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            yield every[a : max(a, b - k + 1)]
+
+    for t in texts:
+        group.append(t)
+        size += len(t or b"")
+        if size >= SEGMENT >> 1:
+            yield from flush()
+            group, size = [], 0
+    if group:
+        yield from flush()
+
+
 def shingle_set(data: bytes | None, k: int = 5) -> np.ndarray:
     """Sorted distinct shingle hashes of a text; null and blank texts have none."""
     return np.unique(shingles(word_hashes(data), k)) if data else np.empty(0, np.uint64)
