@@ -103,7 +103,7 @@ class Analyzer:
         return hit
 
     def analyze(self, df: DataFrame, text: str = "text", lang: str | None = None, output: str = "spans", **options) -> DataFrame:
-        columns = {c: F.col(c) for c in df.columns if c == "ner_entities"}
+        columns = {c: F.col(c) for c in df.columns if c in ("ner_entities", "tokens")}
         return df.withColumn(output, self.spans(F.col(text), lang=F.col(lang) if lang else None, columns=columns, **options))
 
 

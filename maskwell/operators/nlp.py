@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.functions.columns import matches
@@ -18,6 +20,7 @@ STOP_WORDS = (
 # fixed values: labels of the usual classifiers
 LABELS = {"PER": "PERSON", "PERSON": "PERSON", "LOC": "LOCATION", "LOCATION": "LOCATION", "GPE": "LOCATION", "ORG": "ORGANIZATION", "ORGANIZATION": "ORGANIZATION", "MISC": "NRP", "NORP": "NRP", "DATE": "DATE_TIME", "TIME": "DATE_TIME"}
 
+TOKENS = "array<struct<text:string,lemma:string,start:int,end:int,is_stop:boolean,pos:string>>"
 ENTITIES = "array<struct<entity_type:string,start:int,end:int,score:double>>"
 _OPEN = "struct<entity_type:string,start:int,end:int,total:double,n:int>"
 
@@ -86,3 +89,48 @@ def byte_offsets(spans: Column, text: Column) -> Column:
     """Spans with UTF-8 byte offsets in place of character offsets."""
     at = lambda i: F.octet_length(F.substring(text, F.lit(1), i)).cast("int")
     return F.transform(spans, lambda s: s.withField("start", at(s["start"])).withField("end", at(s["end"])))
+
+
+def route(taggers: dict[str, Callable[[Column], Column]], text: Column, lang: Column | None = None) -> Column:
+    """The result of the tagger of the row's language, else of that under "*", else null. A tagger makes a Column of the text: built-in
+    functions, or an Arrow function of a model. Rows of other languages give it null."""
+    if lang is None:
+        return taggers["*"](text) if "*" in taggers else F.lit(None)
+    named = [l for l in taggers if l != "*"]
+    parts = [taggers[l](F.when(lang == l, text)) for l in named]
+    known = F.coalesce(lang.isin(named), F.lit(False)) if named else F.lit(False)
+    if "*" in taggers:
+        parts.append(taggers["*"](F.when(~known, text)))
+    if not parts:
+        return F.lit(None)
+    whens = [(lang == l, x) for l, x in zip(named, parts, strict=False)]
+    out = F.when(~known, parts[-1]) if "*" in taggers else F.when(F.lit(False), parts[-1])
+    for test, x in whens:
+        out = out.when(test, x)
+    return out
+
+
+def tagged(df: DataFrame, taggers: dict[str, Callable[[Column], Column]], text: str = "text", lang: str | None = None, labels: dict[str, str] | None = None, min_score: float = 0.0, output: str = "ner_entities") -> DataFrame:
+    """df with the entities of token classifiers: each tagger makes an array of labelled tokens (see decode_bio) of a text."""
+    found = route(taggers, F.col(text), F.col(lang) if lang else None)
+    return df.withColumn(output, postprocess(decode_bio(found), labels, min_score))
+
+
+def label_names(config: str) -> list[str]:
+    """The labels of a classifier's configuration (JSON with "id2label"), in the order of their ids."""
+    import json
+
+    of = json.loads(config).get("id2label") or {}
+    return [of[k] for k in sorted(of, key=int)]
+
+
+def word_pieces(vocabulary: dict[str, int], word: str, unknown: str = "[UNK]", longest: int = 100) -> list[str]:
+    """A word's pieces: the longest prefix that the vocabulary has, again and again; those after the first are marked ##."""
+    out, at = [], 0
+    while at < len(word) <= longest:
+        end = next((e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in vocabulary), None)
+        if end is None:
+            return [unknown]
+        out.append(("##" if at else "") + word[at:end])
+        at = end
+    return out if out or not word else [unknown]

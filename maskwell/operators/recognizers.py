@@ -214,11 +214,21 @@ class NerRecognizer:
         return F.coalesce(F.transform(said, lambda e: result(F.try_element_at(of, e["entity_type"]), e["start"], e["end"], e["score"], None, F.substring(text, e["start"] + 1, e["end"] - e["start"]), order, meta)), none())
 
 
+def gazetteer_gate(start: Column, head: Column, proper_noun: bool, pos: tuple[str, ...], tokens: Column | None) -> Column:
+    """Whether a name may start with this word: by the tag of the token over `start`, where it has one, else by its case."""
+    cased = ~head.rlike(r"^\p{IsLowercase}") if proper_noun else F.lit(True)
+    if not pos or tokens is None:
+        return cased
+    tag = F.get(F.filter(tokens, lambda t: (t["start"] <= start) & (t["end"] > start)), 0)["pos"]
+    return F.when(F.coalesce(tag, F.lit("")) != "", tag.isin(*pos)).otherwise(cased)
+
+
 @dataclass(frozen=True)
 class GazetteerRecognizer:
     """Longest runs of words that a name list has, from left to right, at most max_words words each.
 
-    The list is a set in the plan; it must be small (a few thousand names). Larger lists go through sources.gazetteer_spans().
+    The list is a set in the plan; it must be small (a few thousand names). Larger lists go through sources.gazetteer.gazetteer_spans().
+    pos: parts of speech that the first word may have, by a column of tokens; where it has no tag, proper_noun decides.
     """
 
     name: str
@@ -232,6 +242,8 @@ class GazetteerRecognizer:
     context: tuple[str, ...] = ()
     language: str = "en"
     agnostic: bool = True
+    pos: tuple[str, ...] = ()
+    tokens_column: str = "tokens"
     WORD = r"[\p{L}\p{N}][\p{L}\p{N}'\-]*"
 
     @property
@@ -242,13 +254,14 @@ class GazetteerRecognizer:
         fold = (lambda c: c) if self.case_sensitive else F.lower
         known = F.map_from_arrays(F.array(*[F.lit(n) for n in dict.fromkeys(n if self.case_sensitive else n.lower() for n in self.names)]), F.array(*[F.lit(True)] * len(dict.fromkeys(n if self.case_sensitive else n.lower() for n in self.names))))
         words = matches(text, self.WORD)
+        tagged = (columns or {}).get(self.tokens_column)
 
         def at(i: Column) -> Column:
             out = F.lit(None).cast("int")
             for w in range(1, self.max_words + 1):  # later ones are tried first: longest match
                 phrase = F.array_join(F.transform(F.slice(words, i + 1, w), lambda x: x["match"]), " ")
                 ok = (i + w <= F.size(words)) & (F.length(phrase) >= self.min_len) & F.try_element_at(known, fold(phrase)).isNotNull()
-                ok = ok & ~phrase.rlike(r"^\p{IsLowercase}") if self.proper_noun else ok
+                ok = ok & gazetteer_gate(F.get(words, i)["start"], F.get(words, i)["match"], self.proper_noun, self.pos, tagged)
                 out = F.when(ok, F.lit(w)).otherwise(out)
             return out
 
@@ -257,7 +270,7 @@ class GazetteerRecognizer:
         def step(a: Column, i: Column) -> Column:
             def hit(w: Column) -> Column:
                 s, e = F.get(words, i)["start"], F.get(words, i + w - 1)["end"]
-                r = result(self.entity, s, e, F.lit(self.score), explanation(self.name, F.lit(self.score), original=self.score), F.substring(text, s + 1, e - s), order)
+                r = result(self.entity, s, e, F.lit(self.score), explanation(self.name, F.lit(self.score), original=self.score, text=F.concat(F.lit("'"), F.array_join(F.transform(F.slice(words, i + 1, w), lambda x: x["match"]), " "), F.lit("' found in gazetteer"))), F.substring(text, s + 1, e - s), order)
                 return F.when(w.isNull(), F.struct((i + 1).alias("next"), a["out"].alias("out"))).otherwise(F.struct((i + w).alias("next"), F.concat(a["out"], F.array(r)).alias("out")))
 
             return F.when(i < a["next"], a).otherwise(let(at(i), hit))

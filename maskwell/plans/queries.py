@@ -13,7 +13,8 @@ from maskwell.operators.anonymizer import FIRST, LAST, Anonymizer, OperatorConfi
 from maskwell.operators.catalog import PATTERNS
 from maskwell.operators.nlp import decode_bio, tokens
 from maskwell.operators.phone import PhoneRecognizer
-from maskwell.operators.recognizers import Pattern, PatternRecognizer, predefined
+from maskwell.operators.recognizers import GazetteerRecognizer, NerRecognizer, Pattern, PatternRecognizer, predefined
+from maskwell.sources.gazetteer import gazetteer_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -264,6 +265,35 @@ def decode_labels(spark, sf_dir):
     return docs(spark, sf_dir, "orders").select("o_orderkey", F.explode(found).alias("e")).select("o_orderkey", "e.entity_type", F.col("e.start").cast("long").alias("start"), F.col("e.end").cast("long").alias("end"), "e.score")
 
 
+# ---------------------------------------------------------------- name lists
+
+
+@query("gazetteer_large_list", """
+SELECT k AS o_orderkey, CAST(CASE WHEN k % 3 = 0 THEN 6 ELSE 10 END AS BIGINT) AS "start", CAST(14 + length(CAST(k AS VARCHAR)) AS BIGINT) AS "end",
+  CASE WHEN k % 3 = 0 THEN 'New ' ELSE '' END || 'Name' || k AS match
+FROM (SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders) WHERE k % 3 = 0 OR (k % 5 = 0 AND k % 2 = 0)""")
+def gazetteer_large_list(spark, sf_dir):
+    """A list of 120,000 names, those of two words before those of one; where the tag of a word is known, it must be a proper noun."""
+    names = spark.range(0, 300_000, 3).select(F.format_string("New Name%d", "id").alias("name")).unionByName(spark.range(0, 300_000, 5).select(F.format_string("name%d", "id").alias("name")))
+    k = F.col("o_orderkey").cast("long")
+    df = docs(spark, sf_dir, "orders").select(k.alias("o_orderkey"), F.format_string("meet, New Name%d today", k).alias("text"))
+    tag = lambda x, s, e, p: F.struct(x.alias("text"), x.alias("lemma"), F.lit(s).alias("start"), F.lit(e).alias("end"), F.lit(False).alias("is_stop"), p.alias("pos"))
+    df = df.withColumn("tokens", F.array(tag(F.lit("New"), 6, 9, F.lit("")), tag(F.lit("Name"), 10, 14, F.when(k % 2 == 0, "PROPN").otherwise("VERB"))))
+    found = gazetteer_spans(df, names, "PERSON", key="o_orderkey", max_words=2, proper_noun=True, pos=("PROPN",), tokens="tokens")
+    return exploded(Analyzer(Registry([NerRecognizer(labels={"PERSON": "PERSON"})])).analyze(found), "o_orderkey").select("o_orderkey", "start", "end", "match")
+
+
+@query("gazetteer_documents", """
+WITH n AS (SELECT DISTINCT lower(w) AS name FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}][\\p{L}\\p{N}''\\-]*')) AS w FROM benchmark) WHERE length(w) >= 9),
+d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}][\\p{L}\\p{N}''\\-]*')) AS w FROM documents)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM d WHERE lower(w) IN (SELECT name FROM n) GROUP BY doc_id""")
+def gazetteer_documents(spark, sf_dir):
+    """The long words of the benchmark texts in the documents."""
+    words = docs(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(GazetteerRecognizer.WORD), F.lit(0))).alias("name")).where("length(name) >= 9")
+    found = gazetteer_spans(docs(spark, sf_dir), words, "TERM")
+    return found.select("doc_id", F.size("ner_entities").cast("long").alias("n")).where("n > 0")
+
+
 # ---------------------------------------------------------------- reports
 
 _MAIN = ("EMAIL_ADDRESS", "IP_ADDRESS", "CREDIT_CARD")
