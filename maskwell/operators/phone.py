@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 from maskwell.functions.columns import matches
 from maskwell.operators.recognizers import explanation, result
 
+try:
+    import phonenumbers as pn
+except ImportError:
+    pn = None
+
 CANDIDATE = r"\+?\(?\d[\d\-\.\s()]{6,}\d"
 SCORE = 0.75
 
@@ -67,10 +72,6 @@ def lenient(candidate: str, region: str) -> bool:
 
 
 def region_of(candidate: str, regions: list[str]) -> str | None:
-    try:
-        import phonenumbers as pn
-    except ImportError:
-        pn = None
     for r in regions:
         if pn:
             try:

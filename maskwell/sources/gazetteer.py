@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from maskwell.functions.columns import matches
 from maskwell.operators.nlp import TOKENS
-from maskwell.operators.recognizers import GazetteerRecognizer, gazetteer_gate
 
 HITS = "array<struct<entity_type:string,start:int,end:int,score:double>>"
 
@@ -18,21 +20,42 @@ def read_names(spark: SparkSession, path: str, column: str | None = None) -> Dat
     return rows.select(F.trim("name").alias("name")).where("name <> ''")
 
 
-def _phrases(text: Column, min_len: int, max_words: int, gate) -> Column:
-    """All runs of up to max_words words with i, w, start, end and the words joined by single spaces."""
-    words = matches(F.coalesce(text, F.lit("")), GazetteerRecognizer.WORD)
+#: The words of GazetteerRecognizer: letters and numbers, then these, apostrophes and hyphens.
+WORD = re.compile(r"[^\W_](?:[^\W_]|['\-])*")
+
+
+def _phrases(rows: DataFrame, min_len: int, max_words: int, proper_noun: bool, pos: tuple[str, ...]) -> DataFrame:
+    """From k, h, text and tokens: k, h and each run of up to max_words words as i, w, start, end and phrase, words joined by single spaces. An Arrow
+    function: texts have thousands of words, for which folding arrays would take quadratic time."""
+    import pyarrow as pa
+
+    schema = T.StructType([rows.schema["k"], T.StructField("h", T.LongType()), *(T.StructField(n, T.IntegerType()) for n in ("i", "w", "start", "end")), T.StructField("phrase", T.StringType())])
 
-    def at(ws: Column, i: Column, w: Column) -> Column:
-        phrase = F.array_join(F.transform(F.slice(ws, i + 1, w), lambda x: x["match"]), " ")
-        first, last = F.get(ws, i), F.get(ws, i + w - 1)
-        return F.struct(i.alias("i"), w.alias("w"), first["start"].alias("start"), last["end"].alias("end"), first["match"].alias("head"), phrase.alias("phrase"))
+    def fits(head: str, start: int, tokens) -> bool:
+        tag = next((t["pos"] for t in tokens or () if t["start"] <= start < t["end"]), "") if pos else ""
+        return tag in pos if tag else not (proper_noun and head[0].islower())
 
-    def of(ws: Column) -> Column:
-        n = F.size(ws)
-        runs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_words), n - i)), lambda w: at(ws, i, w)))
-        return F.when(n > 0, F.filter(F.flatten(runs), lambda p: (F.length(p["phrase"]) >= min_len) & gate(p["start"], p["head"])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(at, 500) for at in range(0, b.num_rows, 500)):
+                out, row = [], []
+                for r, (text, tokens) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text or "")]
+                    before = len(out)
+                    for i, (start, _, head) in enumerate(words):
+                        if (pos or proper_noun) and not fits(head, start, tokens):
+                            continue
+                        for w in range(1, min(max_words, len(words) - i) + 1):
+                            phrase = head if w == 1 else " ".join(x for _, _, x in words[i : i + w])
+                            if len(phrase) >= min_len:
+                                out.append((i, w, start, words[i + w - 1][1], phrase))
+                    row += [r] * (len(out) - before)
+                cols = list(zip(*out, strict=True)) or [[]] * 5
+                kinds = [pa.int32()] * 4 + [pa.string()]
+                keys = [part.column(c).take(pa.array(row, pa.int64())) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x, kind) for x, kind in zip(cols, kinds, strict=True))], names=schema.names)
 
-    return F.element_at(F.transform(F.array(words), of), 1)
+    return rows.mapInArrow(run, schema)
 
 
 def gazetteer_spans(docs: DataFrame, names: DataFrame, entity: str, key: str = "doc_id", text: str = "text", output: str = "ner_entities", score: float = 0.3, min_len: int = 3, max_words: int = 1, case_sensitive: bool = False, proper_noun: bool = False, pos: tuple[str, ...] = (), tokens: str | None = None) -> DataFrame:
@@ -40,17 +63,16 @@ def gazetteer_spans(docs: DataFrame, names: DataFrame, entity: str, key: str = "
     finds them with a list in the plan. names: a table with the column `name`.
 
     pos: parts of speech that a name's first word may have, by the column `tokens` (see nlp.tokens); where a tag is unknown, proper_noun decides.
-    Only phrases are shuffled, to their names; texts stay where they are but for the rows with a hit. `key` tells rows apart; rows that
+    Phrases are shuffled to their names, and documents to their hits. `key` tells rows apart; rows that
     repeat a key and a text have the same spans. Null texts have none.
     """
     fold = (lambda c: c) if case_sensitive else F.lower
-    token_column = F.col(tokens) if tokens else F.array().cast(TOKENS)
-    gate = lambda start, head: gazetteer_gate(start, head, proper_noun, pos, token_column)
     taken = {c.lower() for c in docs.columns} | {output.lower()}
     k, h, hits = (next(f"{c}{'_' * i}" for i in range(99) if f"{c}{'_' * i}" not in taken) for c in ("k", "h", "hits"))
     known = names.select(fold(F.col("name")).alias("n")).where("n IS NOT NULL").distinct()
-    rows = docs.select(F.col(key).alias(k), F.xxhash64(text).alias(h), F.explode(_phrases(F.col(text), min_len, max_words, gate)).alias("p")).distinct()
-    found = rows.join(known, fold(F.col("p.phrase")) == F.col("n")).groupBy(k, h).agg(F.array_sort(F.collect_list(F.struct("p.i", (-F.col("p.w")).alias("w"), "p.start", "p.end"))).alias(hits))  # longest first
+    tags = F.col(tokens) if tokens and pos else F.lit(None).cast(TOKENS)
+    rows = _phrases(docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"), tags.alias("tags")), min_len, max_words, proper_noun, pos)
+    found = rows.join(known, fold(F.col("phrase")) == F.col("n")).groupBy(F.col("k").alias(k), F.col("h").alias(h)).agg(F.array_sort(F.collect_set(F.struct("i", (-F.col("w")).alias("w"), "start", "end"))).alias(hits))  # longest first
 
     def step(a: Column, x: Column) -> Column:
         span = F.struct(F.lit(entity).alias("entity_type"), x["start"].alias("start"), x["end"].alias("end"), F.lit(float(score)).alias("score"))
