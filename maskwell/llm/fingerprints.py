@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import materialize, table
+from maskwell.llm.common import free_name, materialize, table
 
 BITMAP_WORDS = 1 << 14
 BUCKETS_PER_PARTITION = 4
@@ -64,16 +64,18 @@ def resolve(rows: DataFrame, bad: DataFrame | None, d: str, canon: str, out: str
     """The fingerprint: the digest, with a suffix where it stands for several texts."""
     if bad is None:
         return rows.withColumnRenamed(d, out)
-    marked = rows.join(bad.select(F.col("d").alias(d), F.lit(True).alias("__bad")), d, "left")
-    return marked.withColumn(out, F.when(F.col("__bad"), F.concat(d, F.lit("-"), F.sha2(canon, 256))).otherwise(F.col(d))).drop("__bad", d)
+    mark = free_name([*rows.columns, out], "bad")
+    marked = rows.join(bad.select(F.col("d").alias(d), F.lit(True).alias(mark)), d, "left")
+    return marked.withColumn(out, F.when(F.col(mark), F.concat(d, F.lit("-"), F.sha2(canon, 256))).otherwise(F.col(d))).drop(mark, d)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digest_of=digest) -> DataFrame:
     """The columns of `keep` and fingerprint, equal exactly where canonical texts are."""
     bad = collided(docs.select(F.col(text).alias("text")), digest_of)
     bad = None if bad.isEmpty() else bad
-    rows = docs.select(*keep, canonical(F.col(text)).alias("__canon")).withColumn("__d", digest_of(F.col("__canon")))
-    return resolve(rows, bad, "__d", "__canon", "fingerprint").drop("__canon")
+    c, d = free_name(keep, "canon"), free_name(keep, "digest")
+    rows = docs.select(*keep, canonical(F.col(text)).alias(c)).withColumn(d, digest_of(F.col(c)))
+    return resolve(rows, bad, d, c, "fingerprint").drop(c)
 
 
 def next_texts(docs: DataFrame) -> DataFrame:

@@ -282,6 +282,29 @@ def test_next_texts(spark, docs, rows):
     assert got == {r[0]: order[(i + 1) % len(order)][1] or "" for i, r in enumerate(order)}
 
 
+def test_fingerprint_query(spark, docs, rows, tmp_path):
+    """Against a plain computation of lengths, edited texts and likenesses."""
+    import unicodedata
+
+    some = [r for r in rows if "\x1c" not in (r[1] or "")] + [(10**6, "same text", "en", "a", 9, "x"), (10**6 - 1, "SAME  text", "en", "a", 10, "x"), (10**6 - 2, "aaaaaa", "en", "a", 6, "x"), (10**6 - 3, "aaaa", "en", "a", 4, "x")]
+    spark.createDataFrame(some, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in fingerprints.op8_fingerprints(spark, str(tmp_path)).collect()}
+    canon = lambda t: " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split())
+    order = sorted(((r[0], r[1] or "") for r in some), reverse=True)
+    assert len(got) == len(order)
+    for i, (d, t) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
+        k = len(t) // 3
+        edited = t[: len(t) - k] + after[:k]
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.near_edited, r.near_next) == (float(canon(t) == canon(edited)), float(canon(t) == canon(after)))
+    assert got[10**6].near_next == 1 and got[10**6 - 2].near_edited == 1
+    clash = docs.withColumns({"__canon": F.lit(1), "canon": F.lit(2), "digest": F.lit(3), "__bad": F.lit(4)})
+    keep = ("doc_id", "canon", "__canon", "digest", "__bad")
+    assert set(fingerprints.fingerprints(clash, keep=keep, digest_of=lambda c: F.length(c).cast("string")).select(*keep[1:]).distinct().collect()) == {(2, 1, 3, 4)}
+
+
 def test_maximal_segments():
     rng = np.random.default_rng(2)
     for _ in range(50):
