@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from maskwell.llm.common import free_name, kept, map_arrow, slices, table
 
 #: Bytes of pre-tokens and their ids remembered by each worker, about; beyond it the memory starts anew.
-CACHE = 48_000_000
+CACHE = 32_000_000
 OWNER = "byte-bpe"
 
 
@@ -104,13 +104,13 @@ class ByteBPE:
             b = w.encode("utf-8", "surrogatepass")
             if (i := self.whole.get(b)) is not None:  # a pre-token that is a token needs no merges
                 self.known[w] = [i]
-                self.held += 200 + len(b)
+                self.held += 300 + len(b)
             else:
                 ask.append((w, b.decode("latin-1").translate(self.map)))
         if ask:
             for (w, m), ids in zip(ask, self.model.encode([m for _, m in ask], out_type=int, num_threads=1), strict=True):
                 self.known[w] = ids
-                self.held += 200 + 4 * len(m) + 8 * len(ids)
+                self.held += 300 + 4 * len(m) + 40 * len(ids)  # a list, its integers, a string and their place in the memory
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
