@@ -17,8 +17,20 @@ from maskwell.llm.common import free_name, fresh_path, materialize, table, write
 MIX_POWER, MIX_SHARE = 0.9, 0.9
 
 
+#: Rows of texts that a Python worker is given at once; Spark's default of 10,000 takes some 30 MB for each of a task's buffers.
+ROWS_AT_ONCE = 1000
+
+
+def few_at_once(spark: SparkSession) -> None:
+    """Stages are written by whoever runs them, so the session's setting holds from here on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_AT_ONCE:
+        spark.conf.set(key, str(ROWS_AT_ONCE))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is at least 0.5 go."""
+    few_at_once(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     names = tuple(free_name(docs.columns, n) for n in ("score", "predicted", "segments"))
     return toxicity.score(docs, model, keep=tuple(docs.columns), names=names).where(F.col(names[1]) == 0).select(*docs.columns)
@@ -27,12 +39,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least doc_id stays; rows with a null doc_id stay. Of rows that repeat the id that
     stays, all stay."""
+    few_at_once(spark)
     gone = materialize(jaccard.near_duplicates(docs, links=False).where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out; a document of which nothing is left goes."""
+    few_at_once(spark)
     found = materialize(passages.repeated_passages(docs), "passages")
     mark = free_name(docs.columns, "spans")
     rows = passages.without_passages(docs, found, mark=mark)
@@ -52,6 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts, with the digests of ids and decoded bytes."""
+    few_at_once(spark)
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
 
 
