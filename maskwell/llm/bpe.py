@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from maskwell.llm.common import free_name, kept, map_arrow, slices, table
 
 #: Bytes of pre-tokens and their ids remembered by each worker, about; beyond it the memory starts anew.
-CACHE = 32_000_000
+CACHE = 64_000_000
 OWNER = "byte-bpe"
 
 
