@@ -391,9 +391,9 @@ def linked(values: np.ndarray, ends: np.ndarray, left: int) -> np.ndarray:
     return (both > 0) & (100 * both.astype(np.int64) >= 75 * (x + y - both))
 
 
-def in_cells(rows: DataFrame, docs: DataFrame, text: str, emit, schema: str) -> DataFrame:
+def in_cells(rows: DataFrame, docs: DataFrame, text: str, emit, schema: str, read=shingle_sets) -> DataFrame:
     """rows: g, node, rep, n, c, copies. Every two cells of a group g go through emit(node, c, copies, values, ends, left), as arrays,
-    with the nodes of the one cell before those of the other; it gives Arrow columns of `schema`.
+    with the nodes of the one cell before those of the other; it gives Arrow columns of `schema`. read: values and ends of texts.
     """
     import pyarrow as pa
 
@@ -418,7 +418,7 @@ def in_cells(rows: DataFrame, docs: DataFrame, text: str, emit, schema: str) ->
                 left = int((i[one] == p[0]).sum())
                 if p[0] != q[0] and left in (0, len(one)):  # one of the two cells is empty
                     continue
-                values, ends = shingle_sets([texts[at + k] for k in one])
+                values, ends = read([texts[at + k] for k in one])
                 got = emit(node[one], c[one], copies[one], values, ends, left)
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=out_names)

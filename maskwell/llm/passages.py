@@ -6,14 +6,18 @@ subsequence between its nearest smaller neighbours that holds c (a compact windo
 for each order, windows over it with the same least shingle. Windows are joined on order and value; pairs of documents whose
 windows meet over a passage in ENOUGH orders are verified word by word on their texts.
 
-Each value's windows are linked to the one in the least document, within each task before the shuffle and then over tasks, so
-that no pairs are enumerated within a group. That document may hold the least shingle without the passage. Values whose windows
-of order 0 don't all have the same surroundings are therefore open: each run of as many shingles as LEAST_WORDS words have, of
-which the value is the least, is a value of its own there, and links its documents to the least one. All that share a run have
-all of it, so that every word-by-word repeat of LEAST_WORDS words is found; repeats with changes are found by windows alone.
-A passage is reported for the later document, with the earlier one that has it:
-taking out all reported passages leaves the first occurrence of each. A passage has at least LEAST_WORDS words and at least
-SIMILARITY of its shingles in the other text's windows; it starts and ends with shared shingles.
+A value of at most SMALL documents gives all their pairs, unless its windows all have the same surroundings; a larger one gives a star
+around its least document, within each task before the shuffle and then over tasks. That document may hold the least shingle without
+the passage, so that two things follow for values whose windows don't all have the same surroundings. Those of order 0 are open: each run of
+as many shingles as LEAST_WORDS words have, of which the value is the least, is a value of its own there, and links its documents to the
+least one. All that share a run have all of it, so that every word-by-word repeat of LEAST_WORDS words is found. And the documents of each
+large one are dealt to cells, when the passages of the stars and small values are known: what is left of each text without them, if it still has a
+window of the value, is compared with the earlier texts by whole arrays, and pairs of which LEAST shingles in a row have enough in common come out
+and are verified. That work grows with the square of the texts of a value, without rows for its pairs.
+
+Pairs are verified by all windows of both texts. A passage is reported for the later document, with the earlier one that has it, unless it lies
+within one that a still earlier document has: taking out all reported passages leaves the first occurrence of each. A passage has at least
+LEAST_WORDS words and at least SIMILARITY of its shingles in the other text's windows; it starts and ends with shared shingles.
 
 Null, empty and short texts have no windows, and rows with a null doc_id take no part. Rows that repeat a doc_id count as one
 document; where their texts differ, each is cut by its own passages. Ties go to the first position. Texts of any length are taken whole. An empty table gives no rows.
@@ -28,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.llm.common import binary_texts, free, free_name, map_arrow, materialize, mix, shingle_lists, slices, table, word_hashes
+from maskwell.llm.jaccard import in_cells
 from maskwell.llm.pairs import runs, star_batches, with_texts
 
 WORD_SHINGLE = 5
@@ -36,6 +41,8 @@ SIMILARITY = 0.75
 HASHES, ENOUGH = 4, 2
 #: Rows that a task holds before it passes them on.
 FLUSH = 400_000
+#: Values of up to so many documents give all their pairs; larger ones give a star.
+SMALL = 16
 SALTS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
 
 
@@ -103,42 +110,45 @@ def tokens(texts: list[bytes | None]) -> Iterator[np.ndarray]:
 
 
 def window_rows(docs: DataFrame, text: str) -> DataFrame:
-    """sig, doc, h, l, r, and the same of the first window that the task met for the value (null: this is it). The first of order 0 has the least
-    and greatest hash of the surroundings that the task met the value in, as a and b."""
+    """sig, doc, h, a, b, big, c_doc: a value of order h that doc has windows of, with the least and greatest hash of their surroundings.
+
+    Of a value that a task meets in more than SMALL documents the row of the least is marked big and has the surroundings of all, and the
+    others come with that document as c_doc: they need no shuffle.
+    """
     import pyarrow as pa
 
-    names = ["sig", "doc", "h", "l", "r", "c_doc", "c_h", "c_l", "c_r", "a", "b"]
+    names = ["sig", "doc", "h", "a", "b", "big", "c_doc"]
 
     def out(held):
-        sig, doc, h, l, r, around = (np.concatenate(x) for x in zip(*held, strict=True))
+        sig, doc, h, around = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((l, doc, sig))
-        sig, doc, h, l, r, around = (x[order] for x in (sig, doc, h, l, r, around))
+        order = np.lexsort((doc, sig))
+        sig, doc, h, around = (x[order] for x in (sig, doc, h, around))
+        at = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]))))
+        low, high = np.minimum.reduceat(around, at), np.maximum.reduceat(around, at)
+        sig, doc, h = sig[at], doc[at], h[at]
         first = runs(sig)
-        starts = np.flatnonzero(first == np.arange(len(sig)))
-        low, high = np.zeros(len(sig), np.int64), np.zeros(len(sig), np.int64)
-        low[starts], high[starts] = np.minimum.reduceat(around, starts), np.maximum.reduceat(around, starts)
         own = first == np.arange(len(sig))
-        keep = own | (doc != doc[first])
-        for at in range(0, len(sig), 100_000):
-            s = slice(at, at + 100_000)
-            k = keep[s]
-            cols = [x[s][k] for x in (sig, doc, h, l, r)]
-            center = [pa.array(x[first[s]][k], mask=own[s][k]) for x in (doc, h, l, r)]
-            none = (~own | (h > 0))[s][k]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), *center, *(pa.array(x[s][k], mask=none) for x in (low, high))], names=names)
+        big = np.bincount(first, minlength=len(first))[first] > SMALL
+        starts = np.flatnonzero(own)
+        some = big[starts]
+        low[starts[some]], high[starts[some]] = np.minimum.reduceat(low, starts)[some], np.maximum.reduceat(high, starts)[some]
+        center = pa.array(doc[first], pa.int64(), mask=~big | own)
+        for k in range(0, len(sig), 100_000):
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[k : k + 100_000]) for x in (sig, doc, h, low, high, big)), center.slice(k, 100_000)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in slices(batches, 100):
             few = []
             for d, x in zip(b.column(0).to_pylist(), tokens(binary_texts(b.column(1))), strict=True):
+                if len(x) < LEAST:
+                    continue
+                sums = run_sums(x)
                 for h in range(HASHES):
                     v = mix(x ^ SALTS[h])
                     l, c, r = compact_windows(v, LEAST)
-                    if len(c):
-                        around = surroundings(x, l, c, r) if h == 0 else np.zeros(len(c), np.int64)
-                        few.append((v[c].view(np.int64), np.full(len(c), d, np.int64), np.full(len(c), h, np.int32), l.astype(np.int32), r.astype(np.int32), around))
+                    few.append((v[c].view(np.int64), np.full(len(c), d, np.int64), np.full(len(c), h, np.int32), surroundings(sums, l, c, r)))
             if few:
                 held.append(tuple(np.concatenate(x) for x in zip(*few, strict=True)))  # small arrays have much overhead
                 n += len(held[-1][0])
@@ -148,8 +158,57 @@ def window_rows(docs: DataFrame, text: str) -> DataFrame:
         if n:
             yield from out(held)
 
-    schema = "sig long, doc long, h int, l int, r int, c_doc long, c_h int, c_l int, c_r int, a long, b long"
-    return map_arrow(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text), run, schema)
+    return map_arrow(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text), run, "sig long, doc long, h int, a long, b long, big boolean, c_doc long")
+
+
+def bucket_links(batches: Iterator) -> Iterator:
+    """sig, doc, c_doc (the lesser), h, a, b, large from rows (sig, doc, h, a, b, big) in order of sig and doc.
+
+    All pairs of a value of at most SMALL documents with different surroundings, else a star around the least document. A star's rows have the
+    least and greatest surroundings of both ends. Rows of a value may go on over batches: at most SMALL are held, or the first of a large one.
+    """
+    import pyarrow as pa
+
+    names = ["sig", "doc", "c_doc", "h", "a", "b", "large"]
+
+    def arrays(cols, last: bool):
+        """The rows to hold, and a batch."""
+        sig, doc, h, a, b, big = cols
+        first = runs(sig)
+        starts = np.flatnonzero(first == np.arange(len(sig)))
+        of = np.cumsum(first == np.arange(len(sig))) - 1
+        large = ((np.diff(np.append(starts, len(sig))) > SMALL) | np.maximum.reduceat(big, starts))[of]
+        unlike = (np.minimum.reduceat(a, starts) != np.maximum.reduceat(b, starts))[of]
+        end = len(sig) if last else int(first[-1])  # the last value may go on
+        at = np.arange(len(sig))
+        star = np.flatnonzero((first != at) & (large | ~unlike & (at < end)))
+        x, y = [first[star]], [star]
+        few = np.flatnonzero(~large & unlike & (at < end))
+        for d in range(1, SMALL):
+            same = np.flatnonzero(sig[few[d:]] == sig[few[:-d]])
+            if not len(same):
+                break
+            x.append(few[same])
+            y.append(few[same + d])
+        x, y = np.concatenate(x), np.concatenate(y)
+        apart = doc[x] != doc[y]
+        x, y = x[apart], y[apart]
+        found = [sig[y], doc[y], doc[x], h[y], np.minimum(a[x], a[y]), np.maximum(b[x], b[y]), large[y]]
+        held = [c[end:] for c in cols]
+        if len(held[0]) and large[-1]:
+            held = [c[:1].copy() for c in held]
+            held[5][:] = True
+        return held, pa.Table.from_arrays([pa.array(c) for c in found], names=names).to_batches(max_chunksize=100_000)
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        held, out = arrays([np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols, False)
+        yield from out
+    if held and len(held[0]):
+        yield from arrays(held, True)[1]
 
 
 LEAST = LEAST_WORDS - WORD_SHINGLE + 1
@@ -173,12 +232,17 @@ def own_runs(l: np.ndarray, c: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, n
     return np.maximum(l, c - LEAST + 1), np.minimum(c, r - LEAST + 1) + 1
 
 
-def surroundings(x: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
+def run_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the hashes of the runs before each position."""
+    with np.errstate(over="ignore"):
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(run_hashes(x), dtype=np.uint64)))
+
+
+def surroundings(sums: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
     """A hash of the runs that each node is the least of."""
     first, end = own_runs(l, c, r)
     with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(run_hashes(x), dtype=np.uint64)))
-        return mix(total[end] - total[first]).view(np.int64)
+        return mix(sums[end] - sums[first]).view(np.int64)
 
 
 def open_values(windows: DataFrame) -> np.ndarray:
@@ -195,7 +259,7 @@ def open_values(windows: DataFrame) -> np.ndarray:
                 at = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
                 yield pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array(np.bitwise_or.reduceat(bit, at).view(np.int64))], names=["w", "bits"])
 
-    sigs = windows.where("a IS NOT NULL").groupBy("sig").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("sig")
+    sigs = windows.where("h = 0").groupBy("sig").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("sig")
     out = np.zeros(OPEN_BITS // 64, np.int64)
     found = materialize(map_arrow(sigs, words, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")), "open")
     for r in found.toLocalIterator():  # at most OPEN_BITS / 64 small rows
@@ -269,23 +333,26 @@ def run_pairs(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
     return out
 
 
-def window_pairs(docs: DataFrame, text: str) -> DataFrame:
-    """doc, c_doc (the lesser), their meeting windows and common runs as arrays, for pairs that meet in ENOUGH orders or have a run in common."""
+def window_pairs(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Tables. doc, c_doc (the lesser) and their common runs, for pairs that meet in ENOUGH orders or have a run in common. And g, doc: the
+    documents of each value of more than SMALL documents whose surroundings differ, which a star doesn't tell all about."""
     rows = materialize(window_rows(docs, text), "windows")
-    names = ["sig", "doc", "h", "l", "r"]
-    firsts = rows.where("c_doc IS NULL").select(*names).repartition("sig").sortWithinPartitions("sig", "doc", "l")
-    schema = "sig long, doc long, h int, l int, r int, c_doc long, c_h int, c_l int, c_r int"
-    over = map_arrow(firsts, lambda it: star_batches(it, [*names, "c_doc", "c_h", "c_l", "c_r"], 5), schema)
-    pairs = rows.where("c_doc IS NOT NULL").drop("a", "b").unionByName(over).where("doc <> c_doc")
-    window = F.struct("h", "l", "r", "c_l", "c_r")
-    grouped = pairs.groupBy("doc", "c_doc").agg(F.collect_set(window).alias("windows"))
-    grouped = materialize(grouped.where(F.size(F.array_distinct(F.transform("windows", lambda w: w["h"]))) >= ENOUGH), "window-pairs")
+    names = ["sig", "doc", "h", "a", "b", "big"]
+    dealt = rows.where("c_doc IS NULL").select(*names).repartition("sig").sortWithinPartitions("sig", "doc")
+    over = map_arrow(dealt, bucket_links, "sig long, doc long, c_doc long, h int, a long, b long, large boolean")
+    own = rows.where("c_doc IS NOT NULL").select("sig", "doc", "c_doc", "h", "a", "b", F.lit(True).alias("large"))
+    links = materialize(own.unionByName(over), "window-links")
+    grouped = links.groupBy("doc", "c_doc").agg(F.bit_or(F.expr("shiftleft(1, h)")).alias("orders")).where(F.bit_count("orders") >= ENOUGH).select("doc", "c_doc")
+    # who meets in ENOUGH orders does in one of the first
+    star = links.where(F.col("large") & (F.col("h") <= HASHES - ENOUGH))
+    apart = star.groupBy("sig").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("sig")
+    members = materialize(star.join(apart, "sig").select(F.col("sig").alias("g"), F.explode(F.array("doc", "c_doc")).alias("doc")).distinct(), "window-groups")
     exact = run_pairs(docs, text, rows)
     free(rows)
     both = grouped.unionByName(exact, allowMissingColumns=True).groupBy("doc", "c_doc")
-    out = materialize(both.agg(F.first("windows", ignorenulls=True).alias("windows"), F.first("runs", ignorenulls=True).alias("runs")), "passage-pairs")
-    free(grouped, exact)
-    return out
+    out = materialize(both.agg(F.first("runs", ignorenulls=True).alias("runs")), "passage-pairs")
+    free(links, exact)
+    return out, members
 
 
 def covered(h: np.ndarray, l: np.ndarray, end: np.ndarray, n: int, enough: int) -> np.ndarray:
@@ -305,38 +372,146 @@ def _lists(column, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.concatenate(([0], np.cumsum(sizes))), [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
 
 
-def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, first_doc_id, start_word, end_word (exclusive), n_words, similarity: passages that an earlier document has; and text_hash, which
-    tells apart the texts of rows that repeat a doc_id."""
+def all_windows(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Values, orders, first and last + 1 positions of a text's windows in all orders."""
+    out = []
+    for h in range(HASHES):
+        v = mix(x ^ SALTS[h])
+        l, c, r = compact_windows(v, LEAST)
+        out.append((v[c], np.full(len(c), h), l, r + 1))
+    return tuple(np.concatenate(p) for p in zip(*out, strict=True))
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The passages of pairs (doc, c_doc, runs), a table, from all windows of both texts."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 100):
             out = []
-            texts, others = binary_texts(b.column(4)), binary_texts(b.column(5))
+            texts, others = binary_texts(b.column(3)), binary_texts(b.column(4))
             every = dict.fromkeys([*texts, *others])  # rows come by the earlier document, whose text repeats
-            every.update(zip(list(every), tokens(list(every)), strict=True))
-            w_ends, (h, l, r, c_l, c_r) = _lists(b.column(2), ["h", "l", "r", "c_l", "c_r"])
-            s_ends, (first, end) = _lists(b.column(3), ["l", "r"])
-            for i, (d, c, p, q, key) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, others, b.column(6).to_pylist(), strict=True)):
-                x, y = every[p], every[q]
-                w, s = slice(w_ends[i], w_ends[i + 1]), slice(s_ends[i], s_ends[i + 1])
-                hit = covered(h[w], l[w], r[w] + 1, len(x), ENOUGH)
+            every.update((t, (x, all_windows(x))) for t, x in zip(list(every), tokens(list(every)), strict=True))
+            s_ends, (first, end) = _lists(b.column(2), ["l", "r"])
+            for i, (d, c, p, q, key) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, others, b.column(5).to_pylist(), strict=True)):
+                (x, (v, h, l, r)), (y, (c_v, c_h, c_l, c_r)) = every[p], every[q]
+                s = slice(s_ends[i], s_ends[i + 1])
+                meet = np.isin(v, c_v)
+                hit = covered(h[meet], l[meet], r[meet], len(x), ENOUGH)
                 if hit.any():
-                    hit &= np.isin(x, y[covered(h[w], c_l[w], c_r[w] + 1, len(y), ENOUGH)])
+                    meet = np.isin(c_v, v)
+                    hit &= np.isin(x, y[covered(c_h[meet], c_l[meet], c_r[meet], len(y), ENOUGH)])
                 if s.stop > s.start:
                     hit |= covered(np.zeros(s.stop - s.start, np.int64), first[s], end[s], len(x), 1) & np.isin(x, y)
-                for s, e, share in matched_segments(hit, LEAST, SIMILARITY):
-                    out.append((d, c, s, e + WORD_SHINGLE - 1, e + WORD_SHINGLE - 1 - s, share, key))
+                for at, to, share in matched_segments(hit, LEAST, SIMILARITY):
+                    out.append((d, c, at, to + WORD_SHINGLE - 1, to + WORD_SHINGLE - 1 - at, share, key))
             cols = list(zip(*out, strict=True)) or [[]] * 7
             kinds = [pa.int64()] * 5 + [pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], names=["doc_id", "first_doc_id", "start_word", "end_word", "n_words", "similarity", "text_hash"])
 
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    full = with_texts(window_pairs(one, "text"), one, "doc", "c_doc").select("doc", "c_doc", "windows", "runs", "a_text", "b_text", F.xxhash64("a_text"))
+    full = with_texts(pairs, docs, "doc", "c_doc").select("doc", "c_doc", "runs", "a_text", "b_text", F.xxhash64("a_text"))
     return map_arrow(full, run, "doc_id long, first_doc_id long, start_word long, end_word long, n_words long, similarity double, text_hash long")
 
 
+#: Of the first LEAST positions of a passage so many are in common at least.
+SHARED = -int(-SIMILARITY * LEAST // 1)
+#: What a text takes part in: what is left of it is looked for in others, it is looked through as a whole, or both.
+REST, WHOLE, BOTH = 0, 1, 2
+
+
+def rests(docs: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
+    """node, doc, kind, n, t, gs: texts of the members as 32 bits of their shingles, those with passages as what is left and as a whole, and the values
+    that they still have windows of."""
+    import pyarrow as pa
+
+    groups = members.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("g").alias("gs"))
+    marked = without_passages(docs.withColumn("whole", F.col("text")).join(groups, "doc_id"), found, mark="spans")
+    marked = marked.select("doc_id", F.xxhash64("whole").alias("key"), "whole", "text", F.col("spans").isNotNull().alias("less"), "gs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200):
+            out = []
+            ids, keys, less, gs = (b.column(i).to_pylist() for i in (0, 1, 4, 5))
+            wholes, left = (tokens(binary_texts(b.column(i))) for i in (2, 3))
+            for d, key, cut_, g, whole, x in zip(ids, keys, less, gs, wholes, left, strict=True):
+                if cut_:
+                    out.append((d, key, WHOLE, len(whole), whole.astype(np.uint32).tobytes(), g))
+                    g = np.intersect1d(np.array(g, np.int64), all_windows(x)[0].view(np.int64)).tolist()
+                if g and len(x) >= LEAST:
+                    out.append((d, key, REST if cut_ else BOTH, len(x), x.astype(np.uint32).tobytes(), g))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "key", "kind", "n", "t", "gs"])
+
+    rows = map_arrow(marked, run, "doc long, key long, kind int, n long, t binary, gs array<long>")
+    return rows.withColumn("node", F.xxhash64("doc", "key", "kind"))
+
+
+def likely(node, doc, kind, values, ends, left):
+    """Pairs (doc, c_doc) of texts, of which what is left of the later one has LEAST positions, SHARED of them in common with the earlier one. values: in
+    the texts' order."""
+    g = len(node)
+    if not len(values):
+        return None
+    _, code = np.unique(values, return_inverse=True)
+    owner = np.repeat(np.arange(g), np.diff(ends))
+    has = np.zeros((g, int(code.max()) + 1), bool)
+    has[owner, code] = True
+    distinct = has.sum(axis=1)
+    several = has.sum(axis=0) > 1
+    has = np.concatenate([has[:, several], np.zeros((g, 1), bool)], axis=1)
+    code = np.where(several, np.cumsum(several) - 1, has.shape[1] - 1)[code]
+    cell, n = np.arange(g) >= left, np.diff(ends)
+    need = np.maximum(1, SHARED - (n - distinct))  # a shingle's repeats count once
+    dense = has[:, :-1].astype(np.float32)
+    may = (dense @ dense.T >= need[:, None]) & ((kind != WHOLE) & (n >= LEAST))[:, None] & (kind != REST)[None, :] & (doc[None, :] < doc[:, None])
+    if left < g:
+        may &= cell[:, None] != cell[None, :]
+    found = []
+    for i in np.flatnonzero(may.any(axis=1)).tolist():
+        at = np.flatnonzero(may[i])
+        own = code[ends[i] : ends[i + 1]]
+        hits = np.zeros((len(at), len(own) + 1), np.int32)
+        np.cumsum(has[np.ix_(at, own)], axis=1, out=hits[:, 1:])
+        at = at[((hits[:, LEAST:] - hits[:, :-LEAST]) >= SHARED).any(axis=1)]
+        found.append(np.stack([np.full(len(at), doc[i]), doc[at]]))
+    if not found:
+        return None
+    return tuple(np.concatenate(found, axis=1))
+
+
+def in_order(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(lists), np.uint32), np.cumsum([0, *(len(x) // 4 for x in lists)])
+
+
+def earliest(found: DataFrame) -> DataFrame:
+    """Passages but those that lie within one of the same text that a document before theirs has."""
+    names = [c for c in found.columns if c not in ("doc_id", "text_hash")]
+    own = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(*names)).alias("p"))
+
+    def needed(p):
+        return ~F.exists("p", lambda q: (q["first_doc_id"] < p["first_doc_id"]) & (q["start_word"] <= p["start_word"]) & (q["end_word"] >= p["end_word"]))
+
+    return own.select("doc_id", "text_hash", F.inline(F.filter("p", needed))).select(*found.columns)
+
+
+def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, first_doc_id, start_word, end_word (exclusive), n_words, similarity: passages that an earlier document has; and text_hash, which
+    tells apart the texts of rows that repeat a doc_id."""
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    pairs, members = window_pairs(one, "text")
+    found = materialize(verified(pairs, one), "found")
+    texts = materialize(rests(one, members, found), "rests")
+    sides = texts.select(F.explode("gs").alias("g"), "node", F.col("node").alias("rep"), "n", F.col("doc").alias("c"), F.col("kind").alias("copies"))
+    some = sides.groupBy("g").agg(F.max(F.when(F.col("copies") != WHOLE, F.col("c"))).alias("x"), F.min(F.when(F.col("copies") != REST, F.col("c"))).alias("y")).where("x > y").select("g")
+    rows = materialize(sides.join(some, "g"), "sides")
+    near = in_cells(rows, texts.select(F.col("node").alias("doc_id"), F.col("t").alias("text")), "text", likely, "doc long, c_doc long", in_order).distinct()
+    more = near.join(pairs.select("doc", "c_doc"), ["doc", "c_doc"], "left_anti").withColumn("runs", F.lit(None).cast("array<struct<l:int,r:int>>"))
+    more = materialize(more, "more-pairs")
+    free(members, texts, rows)
+    return earliest(found.unionByName(verified(more, one)))
+
+
 def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the word spans (first, last + 1), which may overlap."""
     _, start, end = word_hashes(data, spans=True)

@@ -229,6 +229,46 @@ def test_passages_whose_halves_earlier_documents_hold_apart(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("small", [1, 16])
+def test_changed_passages_whose_parts_earlier_documents_hold(spark, monkeypatch, small):
+    """Values whose least document has only a part of the passage, in groups of either kind; the passage's words change here and there, so that
+    no run of 50 repeats."""
+    monkeypatch.setattr(passages, "SMALL", small, raising=False)
+    rng = np.random.default_rng(4)
+    fresh = lambda n: [f"v{i}" for i in rng.integers(0, 1 << 40, n)]
+    rows, want = [], set()
+    for k in range(0, 150, 5):
+        parts = [fresh(28) for _ in range(4)]
+        body = [w for p in parts for w in p]
+        other = body.copy()
+        for i in (20, 56, 92):
+            other[i] = "changed"
+        rows += [(k + i, " ".join([*fresh(30), *parts[i], *fresh(30)])) for i in range(3)]
+        rows += [(k + 3, " ".join([*fresh(20), *body, *fresh(20)])), (k + 4, " ".join([*fresh(9), *other, *fresh(40)]))]
+        want.add((k + 4, k + 3))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = passages.repeated_passages(df).collect()
+    assert {(r.doc_id, r.first_doc_id) for r in got} == want
+    assert all(r.n_words >= 70 for r in got)
+
+
+def test_links_of_values_over_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(passages, "SMALL", 4)
+    rng = np.random.default_rng(0)
+    size = {s: int(n) for s, n in enumerate(rng.integers(1, 12, 60))}
+    rows = [(s, 100 * s + k, 0, (a := 7 + k * (s % 2)), a, k == 1 and s % 7 == 0) for s, n in size.items() for k in range(n)]
+    want = set()
+    for s, n in size.items():
+        ids, large = range(100 * s, 100 * s + n), n > 4 or s % 7 == 0 and n > 1
+        want |= {(s, y, ids[0], large) for y in ids[1:]} if large or not s % 2 else {(s, y, x, False) for y in ids for x in ids if x < y}
+    for step in (1, 3, 50, 1000):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("sig", "doc", "h", "a", "b", "big"), r, strict=True)) for r in rows[at : at + step]]) for at in range(0, len(rows), step)]
+        got = [(r["sig"], r["doc"], r["c_doc"], r["large"]) for b in passages.bucket_links(iter(batches)) for r in b.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     v = rng.integers(-40, 40, (300, 8)).astype(float)
