@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import free, materialize
+from maskwell.llm.common import free, map_arrow, materialize
 
 BITMAP_WORDS = 1 << 14
 
@@ -63,11 +63,42 @@ def star_batches(batches: Iterator, names: list[str], columns: int) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
 
 
+#: Edges that a task thins out, about.
+EDGES = 200_000
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """Of the edges (a, b), a table, those that join what a task's edges before didn't: they connect the same nodes, and a group of near copies has
+    about as many as nodes for each task, not as many as its links."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                keep.append(x != y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(edges.select("a", "b").coalesce(1 + edges.count() // EDGES), run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node connected to each node of the edges (a, b), by least labels of neighbours and pointer jumping.
 
-    Every round reads and writes tables in the shared folder; its joins have tables on either side, so that hot nodes are split.
+    Edges are thinned out to forests first. Every round reads and writes tables in the shared folder; its joins have tables on either side, so that hot nodes are split.
     """
+    edges = forest(edges)
     both = materialize(edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b"), "edges")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:

@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from maskwell.llm import bpe, fingerprints, jaccard, language, packed_ids, passages, pivots, pseudo_likelihood, raking, toxicity
+from maskwell.llm import bpe, fingerprints, jaccard, language, packed_ids, pairs, passages, pivots, pseudo_likelihood, raking, toxicity
 from maskwell.llm.common import shingle_set, word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -173,6 +173,15 @@ def test_one_group_of_cells_over_any_slices(spark, size):
     assert across == {(a, b) for b in sets for a in range(b) if a % 3 != b % 3 and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
 
 
+def test_edges_of_a_clique_are_thinned_out(spark):
+    edges = [(a, b) for a in range(60) for b in range(a)] + [(100 + k, 101 + k) for k in range(20)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    assert pairs.forest(df).count() == 59 + 20
+    got = {r.node: r.label for r in pairs.components(df).collect()}
+    assert got == {k: 0 for k in range(60)} | {k: 100 for k in range(100, 121)}
+    assert pairs.forest(df.where("a < 0")).count() == 0
+
+
 def test_buckets_over_batches(monkeypatch):
     import pyarrow as pa
 
