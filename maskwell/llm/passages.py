@@ -417,6 +417,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 SHARED = -int(-SIMILARITY * LEAST // 1)
 #: What a text takes part in: what is left of it is looked for in others, it is looked through as a whole, or both.
 REST, WHOLE, BOTH = 0, 1, 2
+#: A cell has so many times fewer shingles than one that counts whole sets: its texts by shingles are one array.
+FEWER = 8
 
 
 def rests(docs: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
@@ -455,12 +457,14 @@ def likely(node, doc, kind, values, ends, left):
         return None
     _, code = np.unique(values, return_inverse=True)
     owner = np.repeat(np.arange(g), np.diff(ends))
-    has = np.zeros((g, int(code.max()) + 1), bool)
-    has[owner, code] = True
-    distinct = has.sum(axis=1)
-    several = has.sum(axis=0) > 1
-    has = np.concatenate([has[:, several], np.zeros((g, 1), bool)], axis=1)
-    code = np.where(several, np.cumsum(several) - 1, has.shape[1] - 1)[code]
+    u = int(code.max()) + 1
+    each = np.unique(owner * u + code)  # a text's shingles, once
+    at, which = each // u, each % u
+    distinct, several = np.bincount(at, minlength=g), np.bincount(which, minlength=u) > 1
+    place = np.where(several, np.cumsum(several) - 1, int(several.sum()))
+    has = np.zeros((g, int(several.sum()) + 1), bool)
+    has[at[several[which]], place[which[several[which]]]] = True
+    code = place[code]
     cell, n = np.arange(g) >= left, np.diff(ends)
     need = np.maximum(1, SHARED - (n - distinct))  # a shingle's repeats count once
     dense = has[:, :-1].astype(np.float32)
@@ -502,7 +506,7 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs, members = window_pairs(one, "text")
     found = materialize(verified(pairs, one), "found")
     texts = materialize(rests(one, members, found), "rests")
-    sides = texts.select(F.explode("gs").alias("g"), "node", F.col("node").alias("rep"), "n", F.col("doc").alias("c"), F.col("kind").alias("copies"))
+    sides = texts.select(F.explode("gs").alias("g"), "node", F.col("node").alias("rep"), (F.col("n") * FEWER).alias("n"), F.col("doc").alias("c"), F.col("kind").alias("copies"))
     some = sides.groupBy("g").agg(F.max(F.when(F.col("copies") != WHOLE, F.col("c"))).alias("x"), F.min(F.when(F.col("copies") != REST, F.col("c"))).alias("y")).where("x > y").select("g")
     rows = materialize(sides.join(some, "g"), "sides")
     near = in_cells(rows, texts.select(F.col("node").alias("doc_id"), F.col("t").alias("text")), "text", likely, "doc long, c_doc long", in_order).distinct()
