@@ -26,13 +26,14 @@ document; where their texts differ, each is cut by its own passages. Ties go to
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.llm.common import binary_texts, free, free_name, map_arrow, materialize, mix, shingle_lists, slices, table, word_hashes
-from maskwell.llm.jaccard import in_cells
+from maskwell.llm.jaccard import COLUMNS, in_cells
 from maskwell.llm.pairs import runs, star_batches, with_texts
 
 WORD_SHINGLE = 5
@@ -418,7 +419,9 @@ SHARED = -int(-SIMILARITY * LEAST // 1)
 #: What a text takes part in: what is left of it is looked for in others, it is looked through as a whole, or both.
 REST, WHOLE, BOTH = 0, 1, 2
 #: A cell has so many times fewer shingles than one that counts whole sets: its texts by shingles are one array.
-FEWER = 8
+FEWER = 4
+#: Values are compared in so many parts, one after the other.
+PARTS = 4
 
 
 def rests(docs: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
@@ -467,8 +470,11 @@ def likely(node, doc, kind, values, ends, left):
     code = place[code]
     cell, n = np.arange(g) >= left, np.diff(ends)
     need = np.maximum(1, SHARED - (n - distinct))  # a shingle's repeats count once
-    dense = has[:, :-1].astype(np.float32)
-    may = (dense @ dense.T >= need[:, None]) & ((kind != WHOLE) & (n >= LEAST))[:, None] & (kind != REST)[None, :] & (doc[None, :] < doc[:, None])
+    both = np.zeros((g, g), np.float32)
+    for k in range(0, has.shape[1] - 1, COLUMNS):
+        dense = has[:, k : min(k + COLUMNS, has.shape[1] - 1)].astype(np.float32)
+        both += dense @ dense.T
+    may = (both >= need[:, None]) & ((kind != WHOLE) & (n >= LEAST))[:, None] & (kind != REST)[None, :] & (doc[None, :] < doc[:, None])
     if left < g:
         may &= cell[:, None] != cell[None, :]
     found = []
@@ -509,10 +515,14 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     sides = texts.select(F.explode("gs").alias("g"), "node", F.col("node").alias("rep"), (F.col("n") * FEWER).alias("n"), F.col("doc").alias("c"), F.col("kind").alias("copies"))
     some = sides.groupBy("g").agg(F.max(F.when(F.col("copies") != WHOLE, F.col("c"))).alias("x"), F.min(F.when(F.col("copies") != REST, F.col("c"))).alias("y")).where("x > y").select("g")
     rows = materialize(sides.join(some, "g"), "sides")
-    near = in_cells(rows, texts.select(F.col("node").alias("doc_id"), F.col("t").alias("text")), "text", likely, "doc long, c_doc long", in_order).distinct()
+    lists, near = texts.select(F.col("node").alias("doc_id"), F.col("t").alias("text")), []
+    for k in range(PARTS):  # so that their shuffles are not on disk together
+        some = rows.where(F.pmod(F.xxhash64("g"), F.lit(PARTS)) == k)
+        near.append(materialize(in_cells(some, lists, "text", likely, "doc long, c_doc long", in_order).distinct(), "likely"))
+    parts, near = near, reduce(DataFrame.unionByName, near).distinct()
     more = near.join(pairs.select("doc", "c_doc"), ["doc", "c_doc"], "left_anti").withColumn("runs", F.lit(None).cast("array<struct<l:int,r:int>>"))
     more = materialize(more, "more-pairs")
-    free(members, texts, rows)
+    free(members, texts, rows, *parts)
     return earliest(found.unionByName(verified(more, one)))
 
 
