@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.llm import bpe, jaccard, passages, raking, toxicity
-from maskwell.llm.common import free_name, fresh_path, materialize, table, write_table
+from maskwell.llm.common import free, free_name, fresh_path, materialize, shrink_executors, table, write_table
 
 #: The mixing stage lifts source, language and topic shares to this power and keeps this share of the tokens.
 MIX_POWER, MIX_SHARE = 0.9, 0.9
@@ -21,16 +21,18 @@ MIX_POWER, MIX_SHARE = 0.9, 0.9
 ROWS_AT_ONCE = 1000
 
 
-def few_at_once(spark: SparkSession) -> None:
-    """Stages are written by whoever runs them, so the session's setting holds from here on."""
+def begin(spark: SparkSession) -> None:
+    """Few rows at once, and no memory that the stage before has left. Stages are written by whoever runs them, so the session's setting
+    holds from here on."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ROWS_AT_ONCE:
         spark.conf.set(key, str(ROWS_AT_ONCE))
+    shrink_executors(spark)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is at least 0.5 go."""
-    few_at_once(spark)
+    begin(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     names = tuple(free_name(docs.columns, n) for n in ("score", "predicted", "segments"))
     return toxicity.score(docs, model, keep=tuple(docs.columns), names=names).where(F.col(names[1]) == 0).select(*docs.columns)
@@ -39,14 +41,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least doc_id stays; rows with a null doc_id stay. Of rows that repeat the id that
     stays, all stay."""
-    few_at_once(spark)
-    gone = materialize(jaccard.near_duplicates(docs, links=False).where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
+    begin(spark)
+    found = jaccard.near_duplicates(docs, links=False)
+    gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
+    free(*found._tables)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out; a document of which nothing is left goes."""
-    few_at_once(spark)
+    begin(spark)
     found = materialize(passages.repeated_passages(docs), "passages")
     mark = free_name(docs.columns, "spans")
     rows = passages.without_passages(docs, found, mark=mark)
@@ -57,6 +61,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn to tempered source, language and topic shares; one drawn more than once is repeated as rows."""
+    begin(spark)
     sums, prefix = raking.cell_sums(docs), "__"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"
@@ -66,7 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts, with the digests of ids and decoded bytes."""
-    few_at_once(spark)
+    begin(spark)
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
 
 

@@ -66,6 +66,13 @@ def free(*tables: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def shrink_executors(spark: SparkSession) -> None:
+    """Executors collect their garbage and give the heap that it took back to the system: it else stays as large as the work before made it,
+    beside the Python workers of the work that follows. A task for each core, so that each executor that is free has one."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
 # ---------------------------------------------------------------- Python workers
 
 #: What a worker process keeps over its tasks: one operator's objects at a time.

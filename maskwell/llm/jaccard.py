@@ -76,6 +76,17 @@ def most_shared(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> int:
     return min(both + min(nx - px, ny - py), nx, ny)
 
 
+def met_often(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The values that SOME of the arrays at least have, and how many. Empties `held`, and takes twice its memory at most."""
+    t = np.concatenate(held)
+    held.clear()
+    t.sort()
+    few = t[SOME - 1 :] == t[: max(0, len(t) - SOME + 1)]
+    few[1:] &= t[1 : len(few)] != t[: max(0, len(few) - 1)]  # where a value begins
+    at = np.flatnonzero(few)
+    return t[at], np.searchsorted(t, t[at], "right") - at
+
+
 def sets(docs: DataFrame, text: str, seed: int) -> DataFrame:
     """kind 0: a document (id, n, d1, d2, sketch). kind 1: a token (id) that n sets of a task's window have, if SOME have it."""
     import pyarrow as pa
@@ -84,10 +95,9 @@ def sets(docs: DataFrame, text: str, seed: int) -> DataFrame:
         held, n, seen = [], 0, set()
 
         def frequent():
-            t, c = np.unique(np.concatenate(held), return_counts=True)
-            few = c >= SOME
-            k = int(few.sum())
-            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(t[few].view(np.int64)), pa.array(c[few]), pa.array([0] * k, pa.int64()), pa.array([0] * k, pa.int64()), pa.nulls(k, pa.binary())], names=names)
+            t, c = met_often(held)
+            k = len(t)
+            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(t.view(np.int64)), pa.array(c), pa.array([0] * k, pa.int64()), pa.array([0] * k, pa.int64()), pa.nulls(k, pa.binary())], names=names)
 
         names = ["kind", "id", "n", "d1", "d2", "sketch"]
         for b in slices(batches):
@@ -104,7 +114,7 @@ def sets(docs: DataFrame, text: str, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d1), np.int32)), b.column(0).cast(pa.int64()), pa.array(np.diff(ends)), pa.array(d1), pa.array(d2), pa.array(maps, pa.binary())], names=names)
             if n >= WINDOW:
                 yield frequent()
-                held, n, seen = [], 0, set()
+                n, seen = 0, set()
         if held:
             yield frequent()
 
@@ -517,7 +527,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", links: bool = True) ->
     known_id, some = F.col("id").isNotNull(), F.col("n") > 0
     component = F.when(known_id, F.when(some, F.col("component_id")).otherwise(F.col("id")))
     counts = [F.when(known_id, F.when(some, F.col("n_links")).otherwise(F.lit(0))).cast("long").alias("n_links")] if links else []
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), *counts)
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), *counts)
+    out._tables = rows, whole  # for free(), by who has written what they need of it
+    return out
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

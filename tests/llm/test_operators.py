@@ -173,6 +173,26 @@ def test_one_group_of_cells_over_any_slices(spark, size):
     assert across == {(a, b) for b in sets for a in range(b) if a % 3 != b % 3 and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
 
 
+@pytest.mark.parametrize("some", [1, 2, 3])
+def test_tokens_met_often_take_twice_their_memory(monkeypatch, some):
+    import tracemalloc
+
+    monkeypatch.setattr(jaccard, "SOME", some)
+    rng = np.random.default_rng(some)
+    for n in (1, 2, 5, 300):
+        held = [np.unique(rng.integers(0, 50 * n, 200).astype(np.uint64)) for _ in range(n)] + [np.empty(0, np.uint64)]
+        t, c = np.unique(np.concatenate(held), return_counts=True)
+        got = jaccard.met_often(held)
+        assert not held and got[0].tolist() == t[c >= some].tolist() and got[1].tolist() == c[c >= some].tolist()
+    size = 8 * 400_000
+    tracemalloc.start()
+    held = [np.arange(k * 10_000, (k + 1) * 10_000, dtype=np.uint64) for k in range(40)]
+    if some > 1:  # with 1 all values come out
+        jaccard.met_often(held)
+        assert tracemalloc.get_traced_memory()[1] < 2.5 * size
+    tracemalloc.stop()
+
+
 def test_edges_of_a_clique_are_thinned_out(spark):
     edges = [(a, b) for a in range(60) for b in range(a)] + [(100 + k, 101 + k) for k in range(20)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(3)

@@ -122,3 +122,15 @@ def test_empty_tables_and_clashing_columns(spark, docs, sf_dir, name):
         assert got.columns == wide.columns and {tuple(r[c] for c in CLASH) for r in got.collect()} == {tuple(CLASH.values())}
     same = [c for c in plain.columns if c != "ids"]
     assert sorted(got.select(same).collect(), key=str) == sorted(plain.select(same).collect(), key=str)
+
+
+def test_stages_begin_without_what_others_left(spark, docs, sf_dir, monkeypatch, tmp_path):
+    from maskwell.llm import common
+
+    begun = []
+    monkeypatch.setattr(corpus_pipeline, "shrink_executors", lambda s: begun.append(common.shrink_executors(s)))
+    monkeypatch.setenv("MASKWELL_LOCAL_SHARED", str(tmp_path))
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf_dir).count()
+    assert len(begun) == len(corpus_pipeline.STAGES)
+    assert not [p.name for p in tmp_path.iterdir() if p.name.split("-")[0] in ("sets", "components")]
