@@ -12,8 +12,8 @@ the passage, so that two things follow for values whose windows don't all have t
 as many shingles as LEAST_WORDS words have, of which the value is the least, is a value of its own there, and links its documents to the
 least one. All that share a run have all of it, so that every word-by-word repeat of LEAST_WORDS words is found. And the documents of each
 large one are dealt to cells, when the passages of the stars and small values are known: what is left of each text without them, if it still has a
-window of the value, is compared with the earlier texts by whole arrays, and pairs of which LEAST shingles in a row have enough in common come out
-and are verified. That work grows with the square of the texts of a value, without rows for its pairs.
+window of the value, is compared with the earlier whole texts by whole arrays, and pairs of which LEAST shingles in a row have enough in common come
+out and are verified. That work grows with the texts of a value times those that still are looked for, without rows for its pairs.
 
 Pairs are verified by all windows of both texts. A passage is reported for the later document, with the earlier one that has it, unless it lies
 within one that a still earlier document has: taking out all reported passages leaves the first occurrence of each. A passage has at least
@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.llm.common import binary_texts, free, free_name, map_arrow, materialize, mix, shingle_lists, slices, table, word_hashes
-from maskwell.llm.jaccard import COLUMNS, in_cells
-from maskwell.llm.pairs import runs, star_batches, with_texts
+from maskwell.llm.jaccard import COLUMNS
+from maskwell.llm.pairs import bitmap, may_hold, runs, star_batches, with_texts
 
 WORD_SHINGLE = 5
 LEAST_WORDS = 50
@@ -80,6 +80,66 @@ def compact_windows(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     return l[wide], at[wide], r[wide]
 
 
+def _slide(x: np.ndarray, least: int, of) -> np.ndarray:
+    """of, np.minimum or np.maximum, of each run of `least`, by doubling."""
+    width = 1
+    while width < least:
+        step = min(width, least - width)
+        x = of(x[: len(x) - step], x[step:])
+        width += step
+    return x
+
+
+def windows_of(x: np.ndarray, ends: np.ndarray, salt: np.uint64, least: int) -> tuple[np.ndarray, ...]:
+    """compact_windows() of the values mix(x ^ salt) of texts that lie one after the other in x, with len(texts) + 1 ends: the texts' numbers, the values,
+    and l, c and r as places in x."""
+    n = np.diff(ends)
+    if len(x) < least:
+        empty = np.empty(0, np.int64)
+        return empty, np.empty(0, np.uint64), empty, empty, empty
+    values = np.maximum(mix(x ^ salt), np.uint64(1))
+    owner = np.repeat(np.arange(len(n)), n)
+    low = _slide(values, least, np.minimum)
+    low[owner[: len(low)] != owner[least - 1 :]] = 0  # a run over the end of a text
+    none = np.zeros(least - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate((none, low, none)), least, np.maximum) == values)  # the least of some run
+    twice = np.flatnonzero((values[at[1:]] == values[at[:-1]]) & (np.diff(at) < least) & (owner[at[1:]] == owner[at[:-1]])) + 1
+    # of equal values the first is less: one after it counts if it is the least of a run that begins between them; what lies between is less than
+    # both, or they stand next to each other here
+    if len(twice):
+        a, b = at[twice - 1] + 1, at[twice]
+        most, m, width = np.zeros(len(twice), np.uint64), np.concatenate((low, none)), 1
+        while width < least:
+            some = (b - a + 1 >= width) & (b - a + 1 < 2 * width)
+            most[some] = np.maximum(m[a[some]], m[b[some] - width + 1])
+            m = np.maximum(m[:-width], m[width:])
+            width *= 2
+        at = np.delete(at, twice[most != values[b]])
+    of = owner[at]
+    v, pos, k = values[at].tolist(), at.tolist(), len(at)
+    new = np.concatenate(([True], of[1:] != of[:-1])).tolist() if k else []
+    left, right, stack = ends[of].tolist(), (ends[of + 1] - 1).tolist(), []
+    for i in range(k):
+        if new[i]:
+            stack = []
+        else:
+            y, before = v[i], pos[i] - 1
+            while stack and v[stack[-1]] > y:
+                right[stack.pop()] = before
+            if stack:
+                left[i] = pos[stack[-1]] + 1
+        stack.append(i)
+    l, r = np.array(left, np.int64), np.array(right, np.int64)
+    wide = r - l + 1 >= least
+    at = at[wide]
+    return of[wide], values[at], l[wide], at, r[wide]
+
+
+def joined(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays one after the other, and their len(lists) + 1 ends."""
+    return np.concatenate([*lists, np.empty(0, np.uint64)]), np.cumsum([0, *map(len, lists)])
+
+
 def matched_segments(hit: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, float]]:
     """Segments (first, last + 1, share of hits) with at least `least` positions and `similarity` hits, that start and end with hits.
 
@@ -110,6 +170,25 @@ def tokens(texts: list[bytes | None]) -> Iterator[np.ndarray]:
     return shingle_lists(texts, WORD_SHINGLE)
 
 
+#: Shingles of texts whose windows are found together, about.
+TOGETHER = 1 << 15
+
+
+def together(ids: list[int], lists: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts that have windows, some at a time: their ids, their shingles one after the other, and the ends of these."""
+    doc, few, n = [], [], 0
+    for d, x in zip(ids, lists, strict=True):
+        if len(x) >= LEAST:
+            doc.append(d)
+            few.append(x)
+            n += len(x)
+            if n >= TOGETHER:
+                yield np.array(doc), *joined(few)
+                doc, few, n = [], [], 0
+    if few:
+        yield np.array(doc), *joined(few)
+
+
 def window_rows(docs: DataFrame, text: str) -> DataFrame:
     """sig, doc, h, a, b, big, c_doc: a value of order h that doc has windows of, with the least and greatest hash of their surroundings.
 
@@ -142,14 +221,11 @@ def window_rows(docs: DataFrame, text: str) -> DataFrame:
         held, n = [], 0
         for b in slices(batches, 100):
             few = []
-            for d, x in zip(b.column(0).to_pylist(), tokens(binary_texts(b.column(1))), strict=True):
-                if len(x) < LEAST:
-                    continue
+            for doc, x, ends in together(b.column(0).to_pylist(), tokens(binary_texts(b.column(1)))):
                 sums = run_sums(x)
                 for h in range(HASHES):
-                    v = mix(x ^ SALTS[h])
-                    l, c, r = compact_windows(v, LEAST)
-                    few.append((v[c].view(np.int64), np.full(len(c), d, np.int64), np.full(len(c), h, np.int32), surroundings(sums, l, c, r)))
+                    of, v, l, c, r = windows_of(x, ends, SALTS[h], LEAST)
+                    few.append((v.view(np.int64), doc[of], np.full(len(c), h, np.int32), surroundings(sums, l, c, r)))
             if few:
                 held.append(tuple(np.concatenate(x) for x in zip(*few, strict=True)))  # small arrays have much overhead
                 n += len(held[-1][0])
@@ -301,20 +377,18 @@ def run_pairs(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
                 yield from pa.Table.from_arrays(cols, names=names).to_batches(max_chunksize=100_000)
 
         for b in slices(batches):
-            for d, x in zip(b.column(0).to_pylist(), tokens(binary_texts(b.column(1))), strict=True):
-                v = mix(x ^ SALTS[0])
-                l, c, r = compact_windows(v, LEAST)
-                if not len(c):
-                    continue
+            for doc, x, ends in together(b.column(0).to_pylist(), tokens(binary_texts(b.column(1)))):
+                _, v, l, c, r = windows_of(x, ends, SALTS[0], LEAST)
                 first, end = own_runs(l, c, r)
-                h = mix(v[c]) % np.uint64(OPEN_BITS)
+                h = mix(v) % np.uint64(OPEN_BITS)
                 some = (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)) > 0
                 if some.any():
                     depth = np.zeros(len(x) + 1, np.int32)
                     np.add.at(depth, first[some], 1)
                     np.add.at(depth, end[some], -1)
                     at = np.flatnonzero(np.cumsum(depth) > 0)
-                    held.append((run_hashes(x)[at], np.full(len(at), d, np.int64), at.astype(np.int32)))
+                    of = np.searchsorted(ends, at, "right") - 1
+                    held.append((run_hashes(x)[at], doc[of], (at - ends[of]).astype(np.int32)))
                     n += len(at)
             if n >= FLUSH:
                 yield from out()
@@ -334,9 +408,10 @@ def run_pairs(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
     return out
 
 
-def window_pairs(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+def window_pairs(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables. doc, c_doc (the lesser) and their common runs, for pairs that meet in ENOUGH orders or have a run in common. And g, doc: the
-    documents of each value of more than SMALL documents whose surroundings differ, which a star doesn't tell all about."""
+    documents of each value of more than SMALL documents whose surroundings differ, which a star doesn't tell all about. And doc, met: of these
+    documents the values, of all orders, that other documents have too."""
     rows = materialize(window_rows(docs, text), "windows")
     names = ["sig", "doc", "h", "a", "b", "big"]
     dealt = rows.where("c_doc IS NULL").select(*names).repartition("sig").sortWithinPartitions("sig", "doc")
@@ -348,12 +423,14 @@ def window_pairs(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     star = links.where(F.col("large") & (F.col("h") <= HASHES - ENOUGH))
     apart = star.groupBy("sig").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("sig")
     members = materialize(star.join(apart, "sig").select(F.col("sig").alias("g"), F.explode(F.array("doc", "c_doc")).alias("doc")).distinct(), "window-groups")
+    ends = links.select("sig", F.explode(F.array("doc", "c_doc")).alias("doc")).join(members.select("doc").distinct(), "doc", "left_semi")
+    met = materialize(ends.groupBy("doc").agg(F.collect_set("sig").alias("met")), "window-values")
     exact = run_pairs(docs, text, rows)
     free(rows)
     both = grouped.unionByName(exact, allowMissingColumns=True).groupBy("doc", "c_doc")
     out = materialize(both.agg(F.first("runs", ignorenulls=True).alias("runs")), "passage-pairs")
     free(links, exact)
-    return out, members
+    return out, members, met
 
 
 def covered(h: np.ndarray, l: np.ndarray, end: np.ndarray, n: int, enough: int) -> np.ndarray:
@@ -373,14 +450,25 @@ def _lists(column, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.concatenate(([0], np.cumsum(sizes))), [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
 
 
-def all_windows(x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Values, orders, first and last + 1 positions of a text's windows in all orders."""
-    out = []
-    for h in range(HASHES):
-        v = mix(x ^ SALTS[h])
-        l, c, r = compact_windows(v, LEAST)
-        out.append((v[c], np.full(len(c), h), l, r + 1))
-    return tuple(np.concatenate(p) for p in zip(*out, strict=True))
+def all_windows(lists: list[np.ndarray]) -> list[tuple[np.ndarray, ...]]:
+    """Values, orders, first and last + 1 positions of each text's windows in all orders."""
+    out, at = [], 0
+    while at < len(lists):
+        to, n = at, 0
+        while to < len(lists) and n < TOGETHER:
+            n += len(lists[to])
+            to += 1
+        x, ends = joined(lists[at:to])
+        found = [windows_of(x, ends, SALTS[h], LEAST) for h in range(HASHES)]
+        h = np.repeat(np.arange(HASHES), [len(f[0]) for f in found])
+        of, v, l, _, r = (np.concatenate(p) for p in zip(*found, strict=True))
+        order = np.argsort(of, kind="stable")
+        cut_at = np.searchsorted(of[order], np.arange(1, to - at))
+        begin = ends[of[order]]
+        parts = [np.split(p, cut_at) for p in (v[order], h[order], l[order] - begin, r[order] + 1 - begin)]
+        out += zip(*parts, strict=True)
+        at = to
+    return out
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -392,7 +480,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             out = []
             texts, others = binary_texts(b.column(3)), binary_texts(b.column(4))
             every = dict.fromkeys([*texts, *others])  # rows come by the earlier document, whose text repeats
-            every.update((t, (x, all_windows(x))) for t, x in zip(list(every), tokens(list(every)), strict=True))
+            lists = list(tokens(list(every)))
+            every.update(zip(list(every), zip(lists, all_windows(lists), strict=True), strict=True))
             s_ends, (first, end) = _lists(b.column(2), ["l", "r"])
             for i, (d, c, p, q, key) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, others, b.column(5).to_pylist(), strict=True)):
                 (x, (v, h, l, r)), (y, (c_v, c_h, c_l, c_r)) = every[p], every[q]
@@ -416,34 +505,59 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 #: Of the first LEAST positions of a passage so many are in common at least.
 SHARED = -int(-SIMILARITY * LEAST // 1)
-#: What a text takes part in: what is left of it is looked for in others, it is looked through as a whole, or both.
-REST, WHOLE, BOTH = 0, 1, 2
-#: A cell has so many times fewer shingles than one that counts whole sets: its texts by shingles are one array.
-FEWER = 4
+#: What is left of a text, which is looked for in others, and a text as a whole, which is looked through.
+REST, WHOLE = 0, 1
+#: Shingles of a cell, about.
+CELL = 200_000
 #: Values are compared in so many parts, one after the other.
-PARTS = 4
+PARTS = 8
+
+
+def may_hit(x: np.ndarray, windows: tuple[np.ndarray, ...], met: np.ndarray) -> np.ndarray:
+    """Positions that verification may find in common with any other text: windows of ENOUGH orders hold them whose values others have."""
+    v, h, l, end = windows
+    some = np.isin(v.view(np.int64), met)
+    return covered(h[some], l[some], end[some], len(x), ENOUGH)
 
 
-def rests(docs: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
-    """node, doc, kind, n, t, gs: texts of the members as 32 bits of their shingles, those with passages as what is left and as a whole, and the values
-    that they still have windows of."""
+def dense_runs(may: np.ndarray) -> np.ndarray:
+    """Positions that lie in LEAST in a row of which SHARED may be in common."""
+    out = np.zeros(len(may) + 1, np.int32)
+    if len(may) >= LEAST:
+        total = np.concatenate(([0], np.cumsum(may)))
+        at = np.flatnonzero(total[LEAST:] - total[:-LEAST] >= SHARED)
+        out[at] += 1
+        out[at + LEAST] -= 1
+    return np.cumsum(out)[:-1] > 0
+
+
+def rests(docs: DataFrame, members: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame:
+    """node, doc, kind, n, t, gs: texts of the members as 32 bits of their shingles, what is left of them and as a whole, and the values that they
+    still have windows of.
+
+    Verification takes a position as common only if windows of ENOUGH orders hold it whose values both texts have. So a text without passages
+    is looked for only where LEAST positions in a row have SHARED ones with such windows of values that any other document has.
+    """
     import pyarrow as pa
 
-    groups = members.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("g").alias("gs"))
+    groups = members.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("g").alias("gs")).join(met.withColumnRenamed("doc", "doc_id"), "doc_id")
     marked = without_passages(docs.withColumn("whole", F.col("text")).join(groups, "doc_id"), found, mark="spans")
-    marked = marked.select("doc_id", F.xxhash64("whole").alias("key"), "whole", "text", F.col("spans").isNotNull().alias("less"), "gs")
+    marked = marked.select("doc_id", F.xxhash64("whole").alias("key"), "whole", "text", F.col("spans").isNotNull().alias("less"), "gs", "met")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 200):
+        for b in slices(batches, 100):
             out = []
-            ids, keys, less, gs = (b.column(i).to_pylist() for i in (0, 1, 4, 5))
-            wholes, left = (tokens(binary_texts(b.column(i))) for i in (2, 3))
-            for d, key, cut_, g, whole, x in zip(ids, keys, less, gs, wholes, left, strict=True):
+            ids, keys, less, gs, met = (b.column(i).to_pylist() for i in (0, 1, 4, 5, 6))
+            whole, left = (list(tokens(binary_texts(b.column(i)))) for i in (2, 3))
+            for d, key, cut_, g, x, y, w, values in zip(ids, keys, less, gs, left, whole, all_windows(left), met, strict=True):
+                g_left = g
                 if cut_:
-                    out.append((d, key, WHOLE, len(whole), whole.astype(np.uint32).tobytes(), g))
-                    g = np.intersect1d(np.array(g, np.int64), all_windows(x)[0].view(np.int64)).tolist()
-                if g and len(x) >= LEAST:
-                    out.append((d, key, REST if cut_ else BOTH, len(x), x.astype(np.uint32).tobytes(), g))
+                    g_left = np.intersect1d(np.array(g, np.int64), w[0].view(np.int64)).tolist()
+                else:
+                    x = x[dense_runs(may_hit(x, w, np.array(values, np.int64)))]
+                if g_left and len(x) >= LEAST:
+                    out.append((d, key, REST, len(x), x.astype(np.uint32).tobytes(), g_left))
+                out.append((d, key, WHOLE, len(y), y.astype(np.uint32).tobytes(), g))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "key", "kind", "n", "t", "gs"])
@@ -452,42 +566,96 @@ def rests(docs: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
     return rows.withColumn("node", F.xxhash64("doc", "key", "kind"))
 
 
-def likely(node, doc, kind, values, ends, left):
-    """Pairs (doc, c_doc) of texts, of which what is left of the later one has LEAST positions, SHARED of them in common with the earlier one. values: in
-    the texts' order."""
-    g = len(node)
-    if not len(values):
+def likely(x_doc, x, x_ends, y_doc, y, y_ends):
+    """Pairs (doc, c_doc) of a text x and an earlier one y, where LEAST positions of x have SHARED of them in common with y."""
+    known = np.unique(x)
+    if not len(known) or not len(y):
         return None
-    _, code = np.unique(values, return_inverse=True)
-    owner = np.repeat(np.arange(g), np.diff(ends))
-    u = int(code.max()) + 1
-    each = np.unique(owner * u + code)  # a text's shingles, once
-    at, which = each // u, each % u
-    distinct, several = np.bincount(at, minlength=g), np.bincount(which, minlength=u) > 1
-    place = np.where(several, np.cumsum(several) - 1, int(several.sum()))
-    has = np.zeros((g, int(several.sum()) + 1), bool)
-    has[at[several[which]], place[which[several[which]]]] = True
-    code = place[code]
-    cell, n = np.arange(g) >= left, np.diff(ends)
-    need = np.maximum(1, SHARED - (n - distinct))  # a shingle's repeats count once
-    both = np.zeros((g, g), np.float32)
-    for k in range(0, has.shape[1] - 1, COLUMNS):
-        dense = has[:, k : min(k + COLUMNS, has.shape[1] - 1)].astype(np.float32)
-        both += dense @ dense.T
-    may = (both >= need[:, None]) & ((kind != WHOLE) & (n >= LEAST))[:, None] & (kind != REST)[None, :] & (doc[None, :] < doc[:, None])
-    if left < g:
-        may &= cell[:, None] != cell[None, :]
+
+    def distinct(values, ends):
+        """Owners and places in `known` of each text's shingles, once."""
+        owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        some = known[at] == values
+        each = np.unique(at[some] * np.int64(len(ends) - 1) + owner[some])
+        return each % (len(ends) - 1), each // (len(ends) - 1)  # by places
+
+    y_of, y_at = distinct(y, y_ends)
+    both_have = np.unique(y_at)
+    x_of, x_at = distinct(x, x_ends)
+    n, once = np.diff(x_ends), np.bincount(x_of, minlength=len(x_ends) - 1)
+    some = np.isin(x_at, both_have)
+    x_of, x_at, y_at = x_of[some], np.searchsorted(both_have, x_at[some]), np.searchsorted(both_have, y_at)
+    both = np.zeros((len(x_doc), len(y_doc)), np.float32)
+    step = max(64, min(COLUMNS, (1 << 22) // (len(x_doc) + len(y_doc))))
+    for k in range(0, len(both_have), step):
+        sides = []
+        for of, at, rows in ((x_of, x_at, len(x_doc)), (y_of, y_at, len(y_doc))):
+            s = slice(*np.searchsorted(at, (k, k + step)))
+            dense = np.zeros((rows, step), np.float32)
+            dense[of[s], at[s] - k] = 1
+            sides.append(dense)
+        both += sides[0] @ sides[1].T
+    need = np.maximum(1, SHARED - (n - once))  # a shingle's repeats count once
+    may = (both >= need[:, None]) & (n >= LEAST)[:, None] & (y_doc[None, :] < x_doc[:, None])
     found = []
-    for i in np.flatnonzero(may.any(axis=1)).tolist():
-        at = np.flatnonzero(may[i])
-        own = code[ends[i] : ends[i + 1]]
-        hits = np.zeros((len(at), len(own) + 1), np.int32)
-        np.cumsum(has[np.ix_(at, own)], axis=1, out=hits[:, 1:])
-        at = at[((hits[:, LEAST:] - hits[:, :-LEAST]) >= SHARED).any(axis=1)]
-        found.append(np.stack([np.full(len(at), doc[i]), doc[at]]))
+    for j in np.flatnonzero(may.any(axis=0)).tolist():
+        own = np.unique(y[y_ends[j] : y_ends[j + 1]])
+        for i in np.flatnonzero(may[:, j]).tolist():
+            part = x[x_ends[i] : x_ends[i + 1]]
+            at = np.minimum(np.searchsorted(own, part), len(own) - 1)
+            hits = np.concatenate(([0], np.cumsum(own[at] == part)))
+            if (hits[LEAST:] - hits[:-LEAST] >= SHARED).any():
+                found.append((x_doc[i], y_doc[j]))
     if not found:
         return None
-    return tuple(np.concatenate(found, axis=1))
+    return tuple(np.array(c, np.int64) for c in zip(*found, strict=True))
+
+
+def compared(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc, c_doc: likely() of rows g, node, n, doc, kind: every cell of a value's REST texts with every cell of its WHOLE ones, which come once
+    for each cell of the other kind."""
+    import pyarrow as pa
+
+    rest = F.col("kind") == REST
+    sizes = rows.groupBy("g").agg(*(F.ceil(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)) / CELL).cast("int").alias(c) for k, c in ((REST, "kx"), (WHOLE, "ky"))))
+    ids = rows.select("node").distinct()
+    held = texts.select("node", "t").where(may_hold(bitmap(ids, "node"), "node"))
+    dealt = rows.join(sizes, "g").where("kx > 0 AND ky > 0").join(held.hint("merge"), "node")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.when(rest, F.col("kx")).otherwise(F.col("ky"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(rest, F.col("ky")).otherwise(F.col("kx")) - 1)))
+    dealt = dealt.withColumns({"i": F.when(rest, F.col("own")).otherwise(F.col("other")), "j": F.when(rest, F.col("other")).otherwise(F.col("own"))})
+    names = ["g", "i", "j", "kind", "node", "doc"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols, held = [], []  # rows of the last two cells seen, which may go on
+
+        def done(whole: int):
+            """Of two cells that end at row `whole`."""
+            cut_at = [0, *(np.flatnonzero(np.any([k[1:whole] != k[: whole - 1] for k in cols[:3]], axis=0)) + 1).tolist(), whole]
+            for at, to in zip(cut_at[:-1], cut_at[1:], strict=True):
+                _, _, _, kind, node, doc = (x[at:to] for x in cols)
+                one = np.unique(node, return_index=True)[1]  # repeated ids may have brought a text twice
+                a, b = one[kind[one] == REST], one[kind[one] == WHOLE]
+                if len(a) and len(b):
+                    got = likely(doc[a], *in_order([held[at + k] for k in a]), doc[b], *in_order([held[at + k] for k in b]))
+                    if got is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["doc", "c_doc"])
+
+        for b in slices(batches, 200):
+            new = [b.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))]
+            cols = [np.concatenate(x) for x in zip(cols, new, strict=True)] if cols else new
+            held += b.column(len(names)).to_pylist()
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in cols[:3]], axis=0))
+            if len(change):
+                last = int(change[-1]) + 1
+                yield from done(last)
+                cols, held = [x[last:] for x in cols], held[last:]
+        if held:
+            yield from done(len(held))
+
+    dealt = dealt.select(*names, "t").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return map_arrow(dealt, run, "doc long, c_doc long")
 
 
 def in_order(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -509,20 +677,19 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, first_doc_id, start_word, end_word (exclusive), n_words, similarity: passages that an earlier document has; and text_hash, which
     tells apart the texts of rows that repeat a doc_id."""
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pairs, members = window_pairs(one, "text")
+    pairs, members, met = window_pairs(one, "text")
     found = materialize(verified(pairs, one), "found")
-    texts = materialize(rests(one, members, found), "rests")
-    sides = texts.select(F.explode("gs").alias("g"), "node", F.col("node").alias("rep"), (F.col("n") * FEWER).alias("n"), F.col("doc").alias("c"), F.col("kind").alias("copies"))
-    some = sides.groupBy("g").agg(F.max(F.when(F.col("copies") != WHOLE, F.col("c"))).alias("x"), F.min(F.when(F.col("copies") != REST, F.col("c"))).alias("y")).where("x > y").select("g")
-    rows = materialize(sides.join(some, "g"), "sides")
-    lists, near = texts.select(F.col("node").alias("doc_id"), F.col("t").alias("text")), []
+    texts = materialize(rests(one, members, met, found), "rests")
+    sides = texts.select(F.explode("gs").alias("g"), "node", "n", "doc", "kind")
+    ends = sides.groupBy("g").agg(F.max(F.when(F.col("kind") == REST, F.col("doc"))).alias("last"), F.min(F.when(F.col("kind") == WHOLE, F.col("doc"))).alias("first"))
+    rows = materialize(sides.join(ends, "g").where(F.when(F.col("kind") == REST, F.col("doc") > F.col("first")).otherwise(F.col("doc") < F.col("last"))).drop("first", "last"), "sides")
+    near = []
     for k in range(PARTS):  # so that their shuffles are not on disk together
-        some = rows.where(F.pmod(F.xxhash64("g"), F.lit(PARTS)) == k)
-        near.append(materialize(in_cells(some, lists, "text", likely, "doc long, c_doc long", in_order).distinct(), "likely"))
+        near.append(materialize(compared(rows.where(F.pmod(F.xxhash64("g"), F.lit(PARTS)) == k), texts).distinct(), "likely"))
     parts, near = near, reduce(DataFrame.unionByName, near).distinct()
     more = near.join(pairs.select("doc", "c_doc"), ["doc", "c_doc"], "left_anti").withColumn("runs", F.lit(None).cast("array<struct<l:int,r:int>>"))
     more = materialize(more, "more-pairs")
-    free(members, texts, rows, *parts)
+    free(members, met, texts, rows, *parts)
     return earliest(found.unionByName(verified(more, one)))
 
 

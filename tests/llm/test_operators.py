@@ -281,6 +281,44 @@ def test_changed_passages_whose_parts_earlier_documents_hold(spark, monkeypatch,
     assert all(r.n_words >= 70 for r in got)
 
 
+@pytest.mark.parametrize("least", [1, 2, 7, 46])
+def test_windows_of_many_texts_are_those_of_each(least):
+    rng = np.random.default_rng(least)
+    for _ in range(60):
+        texts = [rng.integers(0, rng.choice([5, 100, 10**9]), rng.choice([0, 3, 46, 47, 90, 300])).astype(np.uint64) for _ in range(rng.integers(0, 8))]
+        x, ends = passages.joined(texts)
+        of, v, l, c, r = passages.windows_of(x, ends, passages.SALTS[0], least)
+        for i, t in enumerate(texts):
+            own, values = of == i, passages.mix(t ^ passages.SALTS[0])
+            want = passages.compact_windows(values, least)
+            assert [(p[own] - ends[i]).tolist() for p in (l, c, r)] == [p.tolist() for p in want] and v[own].tolist() == values[want[1]].tolist()
+
+
+@pytest.mark.parametrize("cell", [60, 500, 200_000])
+def test_rests_are_compared_with_all_earlier_texts_of_a_value(spark, monkeypatch, cell):
+    monkeypatch.setattr(passages, "CELL", cell)
+    rng = np.random.default_rng(cell)
+    base = [rng.integers(0, 1 << 32, 60) for _ in range(4)]
+    texts, sides = [], []
+    for d in range(40):
+        t = np.concatenate((rng.integers(0, 1 << 32, rng.integers(0, 30)), base[rng.integers(4)], rng.integers(0, 40, 5)))
+        t[rng.random(len(t)) < rng.choice([0.05, 0.25])] = d
+        kinds = [passages.WHOLE, *([passages.REST] if rng.random() < 0.3 else [])]
+        for kind in kinds:
+            texts.append((2 * d + kind, t.astype(np.uint32).tobytes()))
+            sides += [(g, 2 * d + kind, len(t), d, kind) for g in range(2) if rng.random() < 0.8]
+    of = {n: np.frombuffer(t, np.uint32) for n, t in texts}
+
+    def near(x, y):
+        hit = np.isin(x, y)
+        return any(hit[k : k + passages.LEAST].sum() >= passages.SHARED for k in range(len(x) - passages.LEAST + 1))
+
+    want = {(d, c) for g, x, _, d, kind in sides if kind == passages.REST for h, y, _, c, other in sides if other == passages.WHOLE and g == h and c < d and near(of[x], of[y])}
+    rows = spark.createDataFrame(sides, "g long, node long, n long, doc long, kind int").repartition(3)
+    got = passages.compared(rows, spark.createDataFrame(texts, "node long, t binary")).collect()
+    assert want and {(r.doc, r.c_doc) for r in got} == want
+
+
 def test_links_of_values_over_batches(monkeypatch):
     import pyarrow as pa
 
