@@ -35,6 +35,8 @@ IDS = PAD + 1
 PLACES = (-3, -2, -1, 1, 2, 3)
 EDGE = 3
 BATCH, RATE, START = 8192, 0.1, 1e-9
+#: Logits between this and its negative have exponentials that sum to finite numbers of 32 bits above 0.
+LIMIT = 60
 FLUSH = 400_000
 CHUNKS = 64
 #: Words that an encoder remembers beside the listed ones, and their length at most.
@@ -117,73 +119,114 @@ class Network:
         h += self.b
         return np.tanh(h, out=h)
 
-    @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
+    def _plain(self) -> tuple[bool, np.ndarray]:
+        """Whether the exponentials of the logits of the class, and of the tokens in each class, sum to finite numbers above 0 as they are, as squashed
+        values lie between -1 and 1."""
+
+        def bounded(w, c):
+            most = np.abs(w).sum(axis=-2)
+            return ((c + most).max(axis=-1) < LIMIT) & ((c - most).max(axis=-1) > -LIMIT)
+
+        return bool(bounded(self.w, self.c)), bounded(self.v, self.d)
 
     @staticmethod
-    def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log-probabilities of one column for each row of logits."""
-        z -= z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(at)), at]
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
+    def _exp(z: np.ndarray, plain: bool) -> np.ndarray | float:
+        """Makes logits their exponentials, and gives what was taken off them before that."""
+        top = 0.0
+        if not plain:
+            top = z.max(axis=1)
+            z -= top[:, None]
+        np.exp(z, out=z)
+        return top
 
     def log_probabilities(self, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Of the ids at the positions, given the ids around them."""
+        one = np.ones(max(CLASSES, EACH), np.float32)
+
+        def chosen(z, at, plain):
+            own = z[np.arange(len(at)), at]
+            top = self._exp(z, plain)
+            return own - top - np.log(z @ one[: z.shape[1]])
+
         h = self.hidden(context)
-        kind, place = ids % CLASSES, ids // CLASSES
-        out = self._chosen(h @ self.w + self.c, kind)
-        for k, rows in _by_class(kind):
-            out[rows] += self._chosen(h[rows] @ self.v[k] + self.d[k], place[rows])
+        plain, each = self._plain()
+        kind, place = (ids % CLASSES).astype(np.uint8), (ids // CLASSES).astype(np.int64)
+        z = h @ self.w
+        z += self.c
+        out = chosen(z, kind, plain)
+        order, ends = _by_class(kind)
+        h, place = h.take(order, axis=0), place[order]
+        inside = np.empty(len(ids), np.float32)
+        for k, a, b in ends:
+            z = h[a:b] @ self.v[k]
+            z += self.d[k]
+            inside[a:b] = chosen(z, place[a:b], each[k])
+        out[order] += inside
         return out
 
     def learn(self, context: np.ndarray, ids: np.ndarray) -> None:
         """One step of Adagrad."""
         if not self.grad:
             self.grad = [np.full_like(x, START) for x in (self.e, self.b, self.w, self.c, self.v, self.d)]
+        one = np.ones(max(CLASSES, EACH, BATCH), np.float32)
 
         def step(x, s, g):
             s += g * g
-            x -= RATE * g / np.sqrt(s)
+            g *= RATE
+            g /= np.sqrt(s)
+            x -= g
 
-        h = self.hidden(context)
-        kind, place = ids % CLASSES, ids // CLASSES
         scale = np.float32(1 / len(ids))
-        p = self._softmax(h @ self.w + self.c)
-        p[np.arange(len(ids)), kind] -= 1
-        p *= scale
+
+        def off(z, at, plain):
+            """From logits, in their place: the probabilities less 1 for the target, times scale."""
+            self._exp(z, plain)
+            z *= (scale / (z @ one[: z.shape[1]]))[:, None]
+            z[np.arange(len(at)), at] -= scale
+            return z
+
+        h = self.hidden(context)
+        plain, each = self._plain()
+        kind, place = (ids % CLASSES).astype(np.uint8), (ids // CLASSES).astype(np.int64)
+        p = h @ self.w
+        p += self.c
+        p = off(p, kind, plain)
         back = p @ self.w.T
         step(self.w, self.grad[2], h.T @ p)
-        step(self.c, self.grad[3], p.sum(axis=0))
-        for k, rows in _by_class(kind):
-            x = h[rows]
-            q = self._softmax(x @ self.v[k] + self.d[k])
-            q[np.arange(len(rows)), place[rows]] -= 1
-            q *= scale
-            back[rows] += q @ self.v[k].T
-            step(self.v[k], self.grad[4][k], x.T @ q)
-            step(self.d[k], self.grad[5][k], q.sum(axis=0))
+        step(self.c, self.grad[3], one[: len(p)] @ p)
+        order, ends = _by_class(kind)
+        x, place = h.take(order, axis=0), place[order]
+        inside, gv, gd = np.empty_like(x), np.zeros_like(self.v), np.zeros_like(self.d)
+        for k, a, b in ends:
+            z = x[a:b] @ self.v[k]
+            z += self.d[k]
+            q = off(z, place[a:b], each[k])
+            inside[a:b] = q @ self.v[k].T
+            gv[k] = x[a:b].T @ q
+            gd[k] = one[: b - a] @ q
+        step(self.v, self.grad[4], gv)
+        step(self.d, self.grad[5], gd)
+        back[order] += inside
         back *= 1 - h * h
         step(self.b, self.grad[1], back.sum(axis=0))
         for k in range(len(PLACES)):
             order = np.argsort(context[k], kind="stable")  # of 16-bit integers: a radix sort
             rows = context[k][order]
             first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-            g, at = np.add.reduceat(back[order], first, axis=0), rows[first]
-            s = self.grad[0][k][at] + g * g
+            g, at = np.add.reduceat(back.take(order, axis=0), first, axis=0), rows[first]
+            s = self.grad[0][k].take(at, axis=0)
+            s += g * g
             self.grad[0][k][at] = s
-            self.e[k][at] -= RATE * g / np.sqrt(s)
+            g *= RATE
+            g /= np.sqrt(s, out=s)
+            self.e[k][at] -= g
 
 
-def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _by_class(kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The positions by class, and of each class that occurs where it begins and ends among them."""
     order = np.argsort(kind, kind="stable")
     ends = np.cumsum(np.bincount(kind, minlength=CLASSES)).tolist()
-    for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-        if b > a:
-            yield k, order[a:b]
+    return order, [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
 
 
 def positions(texts: list[str | None], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,6 +263,38 @@ def _together(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield few
 
 
+def laid_out(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """positions() of texts whose ids are known."""
+    n, pads = np.array([len(x) for x in lists], np.int64), np.full(EDGE, PAD, np.uint16)
+    stream = np.concatenate([pads, *(p for x in lists for p in (x, pads))])
+    return stream, np.arange(n.sum()) + np.repeat(EDGE * (1 + np.arange(len(n))), n), n
+
+
+def _streams(column, ids: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """positions() of an Arrow column of texts, or of encoded() ones, some at a time."""
+    import pyarrow as pa
+
+    known = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    for few in _together(column.to_pylist()):
+        yield laid_out([np.frombuffer(x or b"", np.uint16) for x in few]) if known else positions(few, ids)
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("doc_id",), text: str = "text", name: str = "ids") -> DataFrame:
+    """The columns of `keep` and the texts' ids, of 16 bits, as binary column `name`, which train() and score() take in place of texts."""
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # fixed size
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.encoder().__getitem__
+        for b in slices(batches):
+            out = [np.fromiter(map(get, words := tokens_of(t)), np.uint16, len(words)).tobytes() for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], names=[f.name for f in schema])
+
+    return map_arrow(docs.select(*keep, docs[text].alias(free_name(keep, "text"))), run, schema)
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, text: str) -> np.ndarray:
     import pyarrow as pa
 
@@ -230,8 +305,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str) -> np.ndarray:
         net, ids = Network(v), v.encoder()
         held, targets, waiting = [], [], 0
         for b in slices(batches):
-            for few in _together(b.column(0).to_pylist()):
-                stream, at, _ = positions(few, ids)
+            for stream, at, _ in _streams(b.column(0), ids):
                 held.append(contexts(stream, at))
                 targets.append(stream[at])
                 waiting += len(at)
@@ -271,7 +345,10 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str) -> np.ndarray:
 
 def scores(net: Network, vocabulary: Vocabulary, ids: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of tokens and summed conditional log-probabilities of the texts."""
-    stream, at, n = positions(texts, ids)
+    return _sums(net, vocabulary, *positions(texts, ids))
+
+
+def _sums(net: Network, vocabulary: Vocabulary, stream: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     logs = np.empty(len(at), np.float64)
     for a in range(0, len(at), BATCH):
         some = at[a : a + BATCH]
@@ -293,7 +370,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, keep: tu
         v, net = shared.value[0], Network(*shared.value)
         ids = v.encoder()
         for b in slices(batches):
-            found = [scores(net, v, ids, few) for few in _together(b.column(b.num_columns - 1).to_pylist())]
+            found = [_sums(net, v, *some) for some in _streams(b.column(b.num_columns - 1), ids)]
             n, sums = (np.concatenate(x) for x in zip(*found, strict=True))
             mean = pa.array(sums / np.maximum(n, 1), pa.float64(), mask=n == 0)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(sums, pa.float64()), mean], names=[f.name for f in schema])
@@ -301,18 +378,24 @@ def score(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, keep: tu
     return map_arrow(docs.select(*keep, docs[text].alias(free_name(keep, "text"))), run, schema)
 
 
-def fit(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndarray]:
+def vocabulary_of(docs: DataFrame, text: str = "text") -> Vocabulary:
     counts = materialize(word_counts(docs, text), "word-counts")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     top = [(r.w, r.n) for r in counts.orderBy(F.desc("n"), "w").limit(WORDS).collect()]
     free(counts)
-    v = Vocabulary(top, total or 0, distinct)
+    return Vocabulary(top, total or 0, distinct)
+
+
+def fit(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndarray]:
+    v = vocabulary_of(docs, text)
     return v, train(docs, v, text)
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, *fit(docs))
+    v = vocabulary_of(docs)
+    ids = materialize(encoded(docs, v), "ids")  # texts are cut into tokens once for training and scores
+    return score(ids, v, train(ids, v, "ids"), text="ids")
 
 
 QUERIES = {"op7_lm_score": op7_lm_score}

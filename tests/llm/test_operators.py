@@ -526,6 +526,51 @@ def test_pseudo_likelihood_equals_a_direct_sum(small_model):
     assert every == pytest.approx(1, rel=1e-4)
 
 
+@pytest.mark.parametrize("size", [0.1, 40])
+def test_a_step_equals_plain_gradients(size):
+    """Of moderate weights, and of ones whose exponentials have no finite sum as they are; the classes' steps are taken together."""
+    M = pseudo_likelihood
+    v = M.Vocabulary([(f"w{i}", 1000 - i) for i in range(500)], 800_000, 5_500)
+    net = M.Network(v)
+    net.weights[:] = np.random.default_rng(3).standard_normal(len(net.weights)) * size
+    plain, each = net._plain()
+    assert plain == each.all() == (size < 1)
+    rng = np.random.default_rng(1)
+    ids, context = rng.integers(0, M.PAD, 300).astype(np.uint16), rng.integers(0, M.IDS, (len(M.PLACES), 300)).astype(np.uint16)
+    e, b, w, c, t, d = (x.astype(np.float64) for x in (net.e, net.b, net.w, net.c, net.v, net.d))
+    h = np.tanh(sum(e[k][context[k]] for k in range(len(M.PLACES))) + b)
+    kind, place = ids % M.CLASSES, ids // M.CLASSES
+
+    def logs(z):
+        z = z - z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+    p, q, rows = logs(h @ w + c), logs(np.stack([h[i] @ t[k] + d[k] for i, k in enumerate(kind)])), np.arange(300)
+    want = p[rows, kind] + q[rows, place]
+    assert np.allclose(net.log_probabilities(context, ids), want, rtol=1e-3, atol=1e-3 * max(1, size))
+    p, q = np.exp(p), np.exp(q)
+    p[rows, kind] -= 1
+    q[rows, place] -= 1
+    back = (p @ w.T + np.stack([t[k] @ q[i] for i, k in enumerate(kind)])) * (1 - h * h) / 300
+    net.learn(context, ids)
+    gv = np.zeros_like(t)
+    np.add.at(gv, kind, h[:, :, None] * q[:, None, :] / 300)
+    big = lambda g: np.abs(g) > 1e-3 * np.abs(g).max()  # noqa: E731  where rounding doesn't count
+    for now, was, g in ((net.w, w, h.T @ p / 300), (net.c, c, p.sum(axis=0) / 300), (net.v, t, gv), (net.b, b, back.sum(axis=0))):
+        moved = -M.RATE * g / np.sqrt(M.START + g * g)
+        assert np.allclose((now - was)[big(g)], moved[big(g)], rtol=1e-2, atol=1e-3)
+
+
+def test_ids_in_place_of_texts(spark):
+    M = pseudo_likelihood
+    rows = [(i, t) for i, t in enumerate(["a b c d e" * 3, None, "", "x y, never seen!", " \n", "b " * 200])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    v, w = M.fit(df)
+    ids = M.encoded(df, M.vocabulary_of(df))
+    assert np.array_equal(M.train(ids, v, "ids"), w)
+    assert sorted(M.score(ids, v, w, text="ids").collect()) == sorted(M.score(df, v, w).collect())
+
+
 def test_unlisted_words_share_the_chance_of_their_id(small_model):
     v, net = small_model
     assert math.exp(v.log_words[-1]) == pytest.approx(5000 / pseudo_likelihood.HASHED) and v.log_words[0] == 0
