@@ -97,6 +97,16 @@ class Frame:
     def document(self, k: int) -> np.ndarray:
         return self.read(int(self.starts[k]), int(self.index["n"][k]))
 
+    def documents(self) -> Iterator[np.ndarray]:
+        """document() of each, one after the other: every block is unpacked once, and some are held at a time."""
+        at, held, first = 0, np.empty(0, "<u4"), 0
+        for start, n in zip(self.starts[:-1].tolist(), self.index["n"].tolist(), strict=True):
+            if start + n > first + len(held):
+                more = min(self.n, max(start + n, at + 64 * self.block))
+                held, first = np.concatenate((held[start - first :], self.read(at, more - at))), start
+                at = more
+            yield held[start - first : start - first + n]
+
 
 def frames(content: bytes) -> Iterator[Frame]:
     at, view = 0, memoryview(content)
@@ -247,7 +257,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 at, seq = 0, count()
                 for f in frames(content.as_buffer()):
                     n = f.index["n"].astype(np.int64)
-                    crc = [zlib.crc32(f.document(k).tobytes()) for k in range(len(n))]
+                    crc = [zlib.crc32(x) for x in f.documents()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name] * len(n), pa.string()), pa.array([next(seq) for _ in n], pa.int64()), pa.array(f.index["d"]), pa.array(at + f.starts[:-1]), pa.array(n), pa.array(crc, pa.int64())],
                         names=["file", "k", "doc_id", "at", "n_tokens", "ids_crc32"],

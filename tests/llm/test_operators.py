@@ -71,6 +71,17 @@ def test_packing_round_trip(bits):
     assert (f.document(1) == ids[77:]).all() and (f.read(100, 300) == ids[100:400]).all()
 
 
+@pytest.mark.parametrize("block", [5, 64, 4096])
+def test_blocks_are_unpacked_once_for_all_documents(monkeypatch, block):
+    rng = np.random.default_rng(block)
+    texts = [rng.integers(0, 1 << 13, n) for n in (0, 1, 700, 0, 5, 20_000, 3, *rng.integers(0, 40, 300), 0)]
+    f = packed_ids.Frame(memoryview(packed_ids.frame(list(enumerate(texts)), 13, block) + b"\n"), 0)
+    seen, unpack = [], packed_ids.unpack
+    monkeypatch.setattr(packed_ids, "unpack", lambda data, bits, n: seen.append(n) or unpack(data, bits, n))
+    assert [x.tolist() for x in f.documents()] == [x.tolist() for x in texts]
+    assert sum(seen) <= 1.1 * sum(map(len, texts)) + block
+
+
 def test_word_encoder_equals_the_library():
     e = packed_ids.WordEncoder(P.path("word_bpe_49k.json"), cache=40)
     e.GROUP = 60
