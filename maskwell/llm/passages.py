@@ -25,16 +25,16 @@ document; where their texts differ, each is cut by its own passages. Ties go to
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.llm.common import binary_texts, free, free_name, map_arrow, materialize, mix, shingle_lists, slices, table, word_hashes
-from maskwell.llm.jaccard import COLUMNS
-from maskwell.llm.pairs import bitmap, may_hold, runs, star_batches, with_texts
+from maskwell.llm.jaccard import token_bitmap
+from maskwell.llm.pairs import runs, star_batches, with_texts
 
 WORD_SHINGLE = 5
 LEAST_WORDS = 50
@@ -346,7 +346,7 @@ def open_values(windows: DataFrame) -> np.ndarray:
 
 
 def run_pairs(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
-    """doc, c_doc (the lesser), runs: the first and last + 1 positions of shingles in doc that runs of open values have in both. A table."""
+    """doc, c_doc (the lesser) that have a run of an open value in common. A table."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(open_values(windows))  # of fixed size
@@ -355,26 +355,21 @@ def run_pairs(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
         bits, held, n = shared.value, [], 0
 
         def out():
-            sig, doc, l = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((l, doc, sig))
-            sig, doc, l = sig[order], doc[order], l[order]
+            sig, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((doc, sig))
+            sig, doc = sig[order], doc[order]
             first = runs(sig)
             own = first == np.arange(len(sig))
             k = int(own.sum())
             for at in range(0, k, 100_000):
                 s = slice(at, at + 100_000)
                 m = len(sig[own][s])
-                yield pa.RecordBatch.from_arrays([pa.array(sig[own][s].view(np.int64)), pa.array(doc[own][s]), pa.array(l[own][s]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[own][s].view(np.int64)), pa.array(doc[own][s]), pa.nulls(m, pa.int64())], names=names)
             rest = ~own & (doc != doc[first])
-            doc, l, center = doc[rest], l[rest], doc[first][rest]
-            if len(doc):
-                order = np.lexsort((l, center, doc))
-                doc, l, center = doc[order], l[order], center[order]
-                new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (center[1:] != center[:-1]) | (l[1:] > l[:-1] + 1)))
-                at = np.flatnonzero(new)
-                last = np.append(at[1:], len(doc)) - 1
-                cols = [pa.nulls(len(at), pa.int64()), pa.array(doc[at]), pa.array(l[at]), pa.array((l[last] + LEAST).astype(np.int32)), pa.array(center[at])]
-                yield from pa.Table.from_arrays(cols, names=names).to_batches(max_chunksize=100_000)
+            if rest.any():
+                both = np.unique(np.stack([doc[rest], doc[first][rest]]), axis=1)
+                m = both.shape[1]
+                yield from pa.Table.from_arrays([pa.nulls(m, pa.int64()), pa.array(both[0]), pa.array(both[1])], names=names).to_batches(max_chunksize=100_000)
 
         for b in slices(batches):
             for doc, x, ends in together(b.column(0).to_pylist(), tokens(binary_texts(b.column(1)))):
@@ -388,7 +383,7 @@ def run_pairs(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
                     np.add.at(depth, end[some], -1)
                     at = np.flatnonzero(np.cumsum(depth) > 0)
                     of = np.searchsorted(ends, at, "right") - 1
-                    held.append((run_hashes(x)[at], doc[of], (at - ends[of]).astype(np.int32)))
+                    held.append((run_hashes(x)[at], doc[of]))
                     n += len(at)
             if n >= FLUSH:
                 yield from out()
@@ -396,22 +391,20 @@ def run_pairs(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
         if n:
             yield from out()
 
-    names = ["sig", "doc", "l", "r", "c_doc"]
-    rows = map_arrow(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text), run, "sig long, doc long, l int, r int, c_doc long")
+    names = ["sig", "doc", "c_doc"]
+    rows = map_arrow(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text), run, "sig long, doc long, c_doc long")
     rows = materialize(rows, "runs")
-    firsts = rows.where("c_doc IS NULL").select("sig", "doc", "l").repartition("sig").sortWithinPartitions("sig", "doc", "l")
-    over = map_arrow(firsts, lambda it: star_batches(it, ["sig", "doc", "l", "c_doc", "c_l"], 3), "sig long, doc long, l int, c_doc long, c_l int")
-    own = rows.where("c_doc IS NOT NULL").select("doc", "c_doc", "l", "r")
-    both = own.unionByName(over.where("doc <> c_doc").select("doc", "c_doc", "l", (F.col("l") + LEAST).alias("r")))
-    out = materialize(both.groupBy("doc", "c_doc").agg(F.collect_set(F.struct("l", "r")).alias("runs")), "run-pairs")
+    firsts = rows.where("c_doc IS NULL").select("sig", "doc").repartition("sig").sortWithinPartitions("sig", "doc")
+    over = map_arrow(firsts, lambda it: star_batches(it, ["sig", "doc", "c_doc"], 2), "sig long, doc long, c_doc long")
+    own = rows.where("c_doc IS NOT NULL").select("doc", "c_doc")
+    out = materialize(own.unionByName(over.where("doc <> c_doc").select("doc", "c_doc")).distinct(), "run-pairs")
     free(rows)
     return out
 
 
-def window_pairs(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables. doc, c_doc (the lesser) and their common runs, for pairs that meet in ENOUGH orders or have a run in common. And g, doc: the
-    documents of each value of more than SMALL documents whose surroundings differ, which a star doesn't tell all about. And doc, met: of these
-    documents the values, of all orders, that other documents have too."""
+def window_pairs(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Tables. doc, c_doc (the lesser), for pairs that meet in ENOUGH orders or have a run in common. And g, doc: the documents of each value of
+    more than SMALL documents whose surroundings differ, which a star doesn't tell all about."""
     rows = materialize(window_rows(docs, text), "windows")
     names = ["sig", "doc", "h", "a", "b", "big"]
     dealt = rows.where("c_doc IS NULL").select(*names).repartition("sig").sortWithinPartitions("sig", "doc")
@@ -423,101 +416,50 @@ def window_pairs(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, Data
     star = links.where(F.col("large") & (F.col("h") <= HASHES - ENOUGH))
     apart = star.groupBy("sig").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("sig")
     members = materialize(star.join(apart, "sig").select(F.col("sig").alias("g"), F.explode(F.array("doc", "c_doc")).alias("doc")).distinct(), "window-groups")
-    ends = links.select("sig", F.explode(F.array("doc", "c_doc")).alias("doc")).join(members.select("doc").distinct(), "doc", "left_semi")
-    met = materialize(ends.groupBy("doc").agg(F.collect_set("sig").alias("met")), "window-values")
     exact = run_pairs(docs, text, rows)
     free(rows)
-    both = grouped.unionByName(exact, allowMissingColumns=True).groupBy("doc", "c_doc")
-    out = materialize(both.agg(F.first("runs", ignorenulls=True).alias("runs")), "passage-pairs")
+    out = materialize(grouped.unionByName(exact).distinct(), "passage-pairs")
     free(links, exact)
-    return out, members, met
-
-
-def covered(h: np.ndarray, l: np.ndarray, end: np.ndarray, n: int, enough: int) -> np.ndarray:
-    """Positions that windows l to end (exclusive) of at least `enough` orders h hold. Windows of another text with the same id may lie beyond."""
-    if not len(h):
-        return np.zeros(n, bool)
-    steps = np.zeros((HASHES, n + 1), np.int32)
-    np.add.at(steps, (h, np.minimum(l, n)), 1)
-    np.add.at(steps, (h, np.minimum(end, n)), -1)
-    return (np.cumsum(steps, axis=1)[:, :-1] > 0).sum(axis=0) >= enough
-
-
-def _lists(column, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ends of an Arrow column of lists of structs (null: empty), and its fields."""
-    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    flat = column.flatten()
-    return np.concatenate(([0], np.cumsum(sizes))), [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
-
-
-def all_windows(lists: list[np.ndarray]) -> list[tuple[np.ndarray, ...]]:
-    """Values, orders, first and last + 1 positions of each text's windows in all orders."""
-    out, at = [], 0
-    while at < len(lists):
-        to, n = at, 0
-        while to < len(lists) and n < TOGETHER:
-            n += len(lists[to])
-            to += 1
-        x, ends = joined(lists[at:to])
-        found = [windows_of(x, ends, SALTS[h], LEAST) for h in range(HASHES)]
-        h = np.repeat(np.arange(HASHES), [len(f[0]) for f in found])
-        of, v, l, _, r = (np.concatenate(p) for p in zip(*found, strict=True))
-        order = np.argsort(of, kind="stable")
-        cut_at = np.searchsorted(of[order], np.arange(1, to - at))
-        begin = ends[of[order]]
-        parts = [np.split(p, cut_at) for p in (v[order], h[order], l[order] - begin, r[order] + 1 - begin)]
-        out += zip(*parts, strict=True)
-        at = to
-    return out
+    return out, members
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The passages of pairs (doc, c_doc, runs), a table, from all windows of both texts."""
+    """The passages of pairs (doc, c_doc), a table: where the other text has enough of the shingles."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 100):
             out = []
-            texts, others = binary_texts(b.column(3)), binary_texts(b.column(4))
-            every = dict.fromkeys([*texts, *others])  # rows come by the earlier document, whose text repeats
-            lists = list(tokens(list(every)))
-            every.update(zip(list(every), zip(lists, all_windows(lists), strict=True), strict=True))
-            s_ends, (first, end) = _lists(b.column(2), ["l", "r"])
-            for i, (d, c, p, q, key) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, others, b.column(5).to_pylist(), strict=True)):
-                (x, (v, h, l, r)), (y, (c_v, c_h, c_l, c_r)) = every[p], every[q]
-                s = slice(s_ends[i], s_ends[i + 1])
-                meet = np.isin(v, c_v)
-                hit = covered(h[meet], l[meet], r[meet], len(x), ENOUGH)
-                if hit.any():
-                    meet = np.isin(c_v, v)
-                    hit &= np.isin(x, y[covered(c_h[meet], c_l[meet], c_r[meet], len(y), ENOUGH)])
-                if s.stop > s.start:
-                    hit |= covered(np.zeros(s.stop - s.start, np.int64), first[s], end[s], len(x), 1) & np.isin(x, y)
-                for at, to, share in matched_segments(hit, LEAST, SIMILARITY):
+            texts, others = binary_texts(b.column(2)), binary_texts(b.column(3))
+            every = list(dict.fromkeys([*texts, *others]))  # rows come by the earlier document, whose text repeats
+            lists = dict(zip(every, tokens(every), strict=True))
+            sets = {q: np.unique(lists[q]) for q in dict.fromkeys(others)}
+            for d, c, p, q, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, others, b.column(4).to_pylist(), strict=True):
+                for at, to, share in matched_segments(held_by(lists[p], sets[q]), LEAST, SIMILARITY):
                     out.append((d, c, at, to + WORD_SHINGLE - 1, to + WORD_SHINGLE - 1 - at, share, key))
             cols = list(zip(*out, strict=True)) or [[]] * 7
             kinds = [pa.int64()] * 5 + [pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], names=["doc_id", "first_doc_id", "start_word", "end_word", "n_words", "similarity", "text_hash"])
 
-    full = with_texts(pairs, docs, "doc", "c_doc").select("doc", "c_doc", "runs", "a_text", "b_text", F.xxhash64("a_text"))
+    full = with_texts(pairs, docs, "doc", "c_doc").select("doc", "c_doc", "a_text", "b_text", F.xxhash64("a_text"))
     return map_arrow(full, run, "doc_id long, first_doc_id long, start_word long, end_word long, n_words long, similarity double, text_hash long")
 
 
+def held_by(x: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Which of x are among the sorted members."""
+    if not len(members):
+        return np.zeros(len(x), bool)
+    return members[np.minimum(np.searchsorted(members, x), len(members) - 1)] == x
+
+
 #: Of the first LEAST positions of a passage so many are in common at least.
 SHARED = -int(-SIMILARITY * LEAST // 1)
 #: What is left of a text, which is looked for in others, and a text as a whole, which is looked through.
 REST, WHOLE = 0, 1
 #: Shingles of a cell, about.
 CELL = 200_000
-#: Values are compared in so many parts, one after the other.
-PARTS = 8
-
-
-def may_hit(x: np.ndarray, windows: tuple[np.ndarray, ...], met: np.ndarray) -> np.ndarray:
-    """Positions that verification may find in common with any other text: windows of ENOUGH orders hold them whose values others have."""
-    v, h, l, end = windows
-    some = np.isin(v.view(np.int64), met)
-    return covered(h[some], l[some], end[some], len(x), ENOUGH)
+#: Shingles that a task holds before it passes them on by value, in parts of about PART characters of text in all.
+HELD, PART = 1 << 20, 12 << 20
 
 
 def dense_runs(may: np.ndarray) -> np.ndarray:
@@ -531,97 +473,263 @@ def dense_runs(may: np.ndarray) -> np.ndarray:
     return np.cumsum(out)[:-1] > 0
 
 
-def rests(docs: DataFrame, members: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame:
-    """node, doc, kind, n, t, gs: texts of the members as 32 bits of their shingles, what is left of them and as a whole, and the values that they
-    still have windows of.
+def rests(docs: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
+    """doc, text, gs, spans: the members' texts, their values, and where passages are known, as first and last + 1 positions of shingles."""
+    groups = members.groupBy("doc").agg(F.collect_set("g").alias("gs"))
+    span = F.struct(F.col("start_word").alias("l"), (F.col("end_word") - WORD_SHINGLE + 1).alias("r"))
+    known = found.groupBy(F.col("doc_id").alias("doc"), F.col("text_hash").alias("key")).agg(F.collect_set(span).alias("spans"))
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").where("text IS NOT NULL").join(groups, "doc").withColumn("key", F.xxhash64("text"))
+    return texts.join(known, ["doc", "key"], "left").select("doc", "text", "gs", "spans")
+
+
+def members_of(batch) -> Iterator[tuple[int, np.ndarray, list[int], np.ndarray]]:
+    """Of a batch of rests() the documents, shingles, values, and the positions that lie in known passages."""
+    docs, gs, spans = (batch.column(i).to_pylist() for i in (0, 2, 3))
+    for d, x, g, p in zip(docs, tokens(binary_texts(batch.column(1))), gs, spans, strict=True):
+        known = np.zeros(len(x), bool)
+        for q in p or ():
+            known[q["l"] : q["r"]] = True
+        yield d, x, g, known
+
+
+def part_of(x: np.ndarray, parts: int) -> np.ndarray:
+    """The part that each shingle is in, and 32 of its bits. Parts follow each other in the shingles' order."""
+    return ((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)) << np.uint64(32) | x & np.uint64(0xFFFFFFFF)
+
 
-    Verification takes a position as common only if windows of ENOUGH orders hold it whose values both texts have. So a text without passages
-    is looked for only where LEAST positions in a row have SHARED ones with such windows of values that any other document has.
+def of_owner(x: np.ndarray, owner: int | np.ndarray) -> np.ndarray:
+    """Ids of shingles that an owner has, a document or a value."""
+    return mix(x ^ mix(np.asarray(owner, np.int64).view(np.uint64)))
+
+
+def has(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether a bitmap of token_bitmap() may hold the ids."""
+    h = mix(ids) & np.uint64(len(bits) * 64 - 1)
+    return (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)) > 0
+
+
+def met_before(members: DataFrame, parts: int) -> DataFrame:
+    """id: of_owner() of each shingle that a text of rests() has outside its known passages and an earlier one has anywhere. A table.
+
+    Shingles go to parts by their values, as arrays: each part has all documents of its shingles.
     """
     import pyarrow as pa
 
-    groups = members.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("g").alias("gs")).join(met.withColumnRenamed("doc", "doc_id"), "doc_id")
-    marked = without_passages(docs.withColumn("whole", F.col("text")).join(groups, "doc_id"), found, mark="spans")
-    marked = marked.select("doc_id", F.xxhash64("whole").alias("key"), "whole", "text", F.col("spans").isNotNull().alias("less"), "gs", "met")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out():
+            docs = np.array([d for d, _, _ in held], np.int64)
+            v = part_of(np.concatenate([x for _, x, _ in held]), parts)
+            at = np.repeat(np.arange(len(held), dtype=np.uint16), [len(x) for _, x, _ in held])
+            known = np.concatenate([k for _, _, k in held])
+            order = np.lexsort((known, at, v))
+            v, at, known = v[order], at[order], known[order]
+            new = np.concatenate(([True], (v[1:] != v[:-1]) | (at[1:] != at[:-1])))
+            v, at = v[new], at[new] << np.uint16(1) | known[new]
+            ends = np.searchsorted(v, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
+            for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                if b > a:
+                    cols = [pa.array([k], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (docs, at[a:b], v[a:b].astype(np.uint32)))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["k", "docs", "at", "v"])
+
+        for b in slices(batches, 100):
+            for d, x, _, known in members_of(b):
+                if len(x):
+                    held.append((d, x, known))
+                    n += len(x)
+                if n >= HELD or len(held) >= 1 << 15:
+                    yield from out()
+                    held, n = [], 0
+        if held:
+            yield from out()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = [], None
+
+        def out():
+            v, doc, known = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((doc, v))
+            v, doc, known = v[order], doc[order], known[order]
+            later = (doc != doc[runs(v)]) & ~known
+            ids = of_owner(np.uint64(part) << np.uint64(32) | v[later].astype(np.uint64), doc[later]).view(np.int64)
+            for a in range(0, len(ids), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 100_000])], names=["id"])
+
+        for b in batches:
+            for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != part and held:
+                    yield from out()
+                    held = []
+                part = k
+                docs, at, v = (np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.uint16, np.uint32), strict=True))
+                held.append((v, docs[at >> np.uint16(1)], (at & np.uint16(1)) > 0))
+        if held:
+            yield from out()
+
+    dealt = map_arrow(members, deal, "k long, docs binary, at binary, v binary")
+    return materialize(map_arrow(dealt.repartition("k").sortWithinPartitions("k"), meet, "id long"), "met-before")
+
+
+NODES = "node long, doc long, kind int, n long, t binary, g long"
+
+
+def _nodes(rows: list[tuple]):
+    import pyarrow as pa
+
+    cols = list(zip(*rows, strict=True)) or [[]] * 6
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["node", "doc", "kind", "n", "t", "g"])
+
+
+def _node(*of) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(of).encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def looked_for(members: DataFrame, parts: int, before: np.ndarray) -> DataFrame:
+    """What is looked for: of a text and each of its values the positions that the value's windows reach, a passage's first LEAST counted in, if they lie
+    outside known passages and in LEAST in a row of which SHARED are in earlier texts; with known positions near by."""
+    import pyarrow as pa
+
+    shared = members.sparkSession.sparkContext.broadcast(before)  # bounded: see token_bitmap()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in slices(batches, 100):
+            out = []
+            for d, x, gs, known in members_of(b):
+                rest = np.flatnonzero(~known)
+                rest = rest[dense_runs(has(bits, of_owner(part_of(x[rest], parts), d)))]
+                if not len(rest):
+                    continue
+                left = np.zeros(len(x) + 1, np.int64)
+                left[rest + 1] = 1
+                total = np.cumsum(left)
+                at = np.arange(len(x))
+                near = total[np.minimum(at + LEAST, len(x))] > total[np.maximum(at - LEAST, 0)]
+                keep = near & known | (left[1:] > 0)
+                asked, places = np.array(gs, np.int64), {}
+                for h in range(HASHES - ENOUGH + 1):
+                    _, v, l, _, r = windows_of(x, np.array([0, len(x)]), SALTS[h], LEAST)
+                    end = np.minimum(r + LEAST, len(x))
+                    reach = (total[end] > total[l]) & np.isin(v.view(np.int64), asked)
+                    for g, i, j in zip(v[reach].view(np.int64).tolist(), l[reach].tolist(), end[reach].tolist(), strict=True):
+                        places.setdefault(g, []).append((i, j))
+                for g, some in places.items():
+                    own = np.zeros(len(x), bool)
+                    for i, j in some:
+                        own[i:j] = keep[i:j]
+                    if own.sum() >= LEAST:
+                        t = x[own].astype(np.uint32).tobytes()
+                        out.append((_node(REST, d, t, g), d, REST, len(t) // 4, t, g))
+            yield _nodes(out)
+
+    return map_arrow(members, run, NODES)
+
+
+def looked_for_ids(texts: DataFrame) -> DataFrame:
+    """id: the shingles of looked_for(), alone and of_owner() of their values."""
+    import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 100):
+            held = []
+            for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                v = np.unique(np.frombuffer(t, np.uint32)).astype(np.uint64)
+                held += [v, of_owner(v, g)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*held, np.empty(0, np.uint64)])).view(np.int64))], names=["id"])
+
+    return materialize(map_arrow(texts.select("t", "g"), run, "id long"), "looked-for")
+
+
+def looked_through(members: DataFrame, ids: np.ndarray) -> DataFrame:
+    """Of the texts, for each of their values, the shingles that texts of this value look for."""
+    import pyarrow as pa
+
+    shared = members.sparkSession.sparkContext.broadcast(ids)  # bounded: see token_bitmap()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for b in slices(batches, 100):
             out = []
-            ids, keys, less, gs, met = (b.column(i).to_pylist() for i in (0, 1, 4, 5, 6))
-            whole, left = (list(tokens(binary_texts(b.column(i)))) for i in (2, 3))
-            for d, key, cut_, g, x, y, w, values in zip(ids, keys, less, gs, left, whole, all_windows(left), met, strict=True):
-                g_left = g
-                if cut_:
-                    g_left = np.intersect1d(np.array(g, np.int64), w[0].view(np.int64)).tolist()
-                else:
-                    x = x[dense_runs(may_hit(x, w, np.array(values, np.int64)))]
-                if g_left and len(x) >= LEAST:
-                    out.append((d, key, REST, len(x), x.astype(np.uint32).tobytes(), g_left))
-                out.append((d, key, WHOLE, len(y), y.astype(np.uint32).tobytes(), g))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "key", "kind", "n", "t", "gs"])
-
-    rows = map_arrow(marked, run, "doc long, key long, kind int, n long, t binary, gs array<long>")
-    return rows.withColumn("node", F.xxhash64("doc", "key", "kind"))
-
-
-def likely(x_doc, x, x_ends, y_doc, y, y_ends):
-    """Pairs (doc, c_doc) of a text x and an earlier one y, where LEAST positions of x have SHARED of them in common with y."""
+            for d, x, gs, _ in members_of(b):
+                v = np.unique(x.astype(np.uint32)).astype(np.uint64)
+                v = v[has(bits, v)]
+                for g in gs if len(v) else ():
+                    t = v[has(bits, of_owner(v, g))].astype(np.uint32).tobytes()
+                    if t:
+                        out.append((_node(WHOLE, d, t, g), d, WHOLE, len(t) // 4, t, g))
+            yield _nodes(out)
+
+    return map_arrow(members, run, NODES)
+
+
+def likely(x_doc, x, x_ends, y_doc, y, y_ends, fewest: bool = False):
+    """Pairs (doc, c_doc) of a text x and an earlier one y, where LEAST positions of x have SHARED of them in common with y. With `fewest` only
+    those y of which no earlier one here has all the positions in common."""
     known = np.unique(x)
     if not len(known) or not len(y):
         return None
-
-    def distinct(values, ends):
-        """Owners and places in `known` of each text's shingles, once."""
-        owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-        some = known[at] == values
-        each = np.unique(at[some] * np.int64(len(ends) - 1) + owner[some])
-        return each % (len(ends) - 1), each // (len(ends) - 1)  # by places
-
-    y_of, y_at = distinct(y, y_ends)
-    both_have = np.unique(y_at)
-    x_of, x_at = distinct(x, x_ends)
-    n, once = np.diff(x_ends), np.bincount(x_of, minlength=len(x_ends) - 1)
-    some = np.isin(x_at, both_have)
-    x_of, x_at, y_at = x_of[some], np.searchsorted(both_have, x_at[some]), np.searchsorted(both_have, y_at)
-    both = np.zeros((len(x_doc), len(y_doc)), np.float32)
-    step = max(64, min(COLUMNS, (1 << 22) // (len(x_doc) + len(y_doc))))
-    for k in range(0, len(both_have), step):
-        sides = []
-        for of, at, rows in ((x_of, x_at, len(x_doc)), (y_of, y_at, len(y_doc))):
-            s = slice(*np.searchsorted(at, (k, k + step)))
-            dense = np.zeros((rows, step), np.float32)
-            dense[of[s], at[s] - k] = 1
-            sides.append(dense)
-        both += sides[0] @ sides[1].T
-    need = np.maximum(1, SHARED - (n - once))  # a shingle's repeats count once
-    may = (both >= need[:, None]) & (n >= LEAST)[:, None] & (y_doc[None, :] < x_doc[:, None])
+    y_of = np.repeat(np.arange(len(y_doc)), np.diff(y_ends))
+    some = held_by(y, known)
+    each = np.unique(np.searchsorted(known, y[some]) * np.int64(len(y_doc)) + y_of[some])
+    y_at, y_of = each // len(y_doc), each % len(y_doc)  # by places in known
+    first = np.searchsorted(y_at, np.arange(len(known) + 1))
     found = []
-    for j in np.flatnonzero(may.any(axis=0)).tolist():
-        own = np.unique(y[y_ends[j] : y_ends[j + 1]])
-        for i in np.flatnonzero(may[:, j]).tolist():
-            part = x[x_ends[i] : x_ends[i + 1]]
-            at = np.minimum(np.searchsorted(own, part), len(own) - 1)
-            hits = np.concatenate(([0], np.cumsum(own[at] == part)))
-            if (hits[LEAST:] - hits[:-LEAST] >= SHARED).any():
-                found.append((x_doc[i], y_doc[j]))
+    for i in range(len(x_doc)):
+        own, place = np.unique(x[x_ends[i] : x_ends[i + 1]], return_inverse=True)
+        n = len(place)
+        if n < LEAST:
+            continue
+        own = np.searchsorted(known, own)
+        count = first[own + 1] - first[own]
+        at = np.repeat(first[own], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        of, column = y_of[at], np.repeat(np.arange(len(own)), count)
+        need = max(1, SHARED - (n - len(own)))  # a shingle's repeats count once
+        may = np.flatnonzero((np.bincount(of, minlength=len(y_doc)) >= need) & (y_doc < x_doc[i]))
+        may = may[np.argsort(y_doc[may], kind="stable")]
+        row = np.full(len(y_doc), -1)
+        row[may] = np.arange(len(may))
+        kept = row[of] >= 0
+        of, column = row[of[kept]], column[kept]
+        order = np.argsort(of, kind="stable")
+        of, column = of[order], column[order]
+        step = max(1, (1 << 21) // n)
+        best = np.empty((0, (len(own) + 7) // 8), np.uint8)
+        for a in range(0, len(may), step):
+            s = slice(*np.searchsorted(of, (a, a + step)))
+            hit = np.zeros((min(step, len(may) - a), len(own)), bool)
+            hit[of[s] - a, column[s]] = True
+            sums = np.zeros((len(hit), n + 1), np.int32)
+            np.cumsum(hit[:, place], axis=1, out=sums[:, 1:])
+            near = np.flatnonzero((sums[:, LEAST:] - sums[:, :-LEAST] >= SHARED).any(axis=1))
+            if fewest:
+                packed, rest, near = np.packbits(hit[near], axis=1), near, []
+                for k in best:
+                    more = (packed & ~k).any(axis=1)
+                    packed, rest = packed[more], rest[more]
+                while len(rest):
+                    near.append(rest[0])
+                    k = packed[0]
+                    best = np.concatenate((best, k[None]))
+                    more = (packed & ~k).any(axis=1)
+                    packed, rest = packed[more], rest[more]
+            found += [(x_doc[i], y_doc[may[a + j]]) for j in near]
     if not found:
         return None
     return tuple(np.array(c, np.int64) for c in zip(*found, strict=True))
 
 
-def compared(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc, c_doc: likely() of rows g, node, n, doc, kind: every cell of a value's REST texts with every cell of its WHOLE ones, which come once
-    for each cell of the other kind."""
+def compared(rows: DataFrame, texts: DataFrame | None = None, fewest: bool = False) -> DataFrame:
+    """doc, c_doc: likely() of rows g, node, n, doc, kind, t: every cell of a value's REST texts with every cell of its WHOLE ones, which come once
+    for each cell of the other kind. t may be in `texts` (node, t) in place of rows."""
     import pyarrow as pa
 
     rest = F.col("kind") == REST
     sizes = rows.groupBy("g").agg(*(F.ceil(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)) / CELL).cast("int").alias(c) for k, c in ((REST, "kx"), (WHOLE, "ky"))))
-    ids = rows.select("node").distinct()
-    held = texts.select("node", "t").where(may_hold(bitmap(ids, "node"), "node"))
-    dealt = rows.join(sizes, "g").where("kx > 0 AND ky > 0").join(held.hint("merge"), "node")
+    dealt = rows.join(sizes, "g").where("kx > 0 AND ky > 0")
+    if texts is not None:
+        dealt = dealt.join(texts.select("node", "t").hint("merge"), "node")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.when(rest, F.col("kx")).otherwise(F.col("ky"))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(rest, F.col("ky")).otherwise(F.col("kx")) - 1)))
     dealt = dealt.withColumns({"i": F.when(rest, F.col("own")).otherwise(F.col("other")), "j": F.when(rest, F.col("other")).otherwise(F.col("own"))})
@@ -638,7 +746,7 @@ def compared(rows: DataFrame, texts: DataFrame) -> DataFrame:
                 one = np.unique(node, return_index=True)[1]  # repeated ids may have brought a text twice
                 a, b = one[kind[one] == REST], one[kind[one] == WHOLE]
                 if len(a) and len(b):
-                    got = likely(doc[a], *in_order([held[at + k] for k in a]), doc[b], *in_order([held[at + k] for k in b]))
+                    got = likely(doc[a], *in_order([held[at + k] for k in a]), doc[b], *in_order([held[at + k] for k in b]), fewest)
                     if got is not None:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["doc", "c_doc"])
 
@@ -677,19 +785,20 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, first_doc_id, start_word, end_word (exclusive), n_words, similarity: passages that an earlier document has; and text_hash, which
     tells apart the texts of rows that repeat a doc_id."""
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pairs, members, met = window_pairs(one, "text")
+    pairs, members = window_pairs(one, "text")
     found = materialize(verified(pairs, one), "found")
-    texts = materialize(rests(one, members, met, found), "rests")
-    sides = texts.select(F.explode("gs").alias("g"), "node", "n", "doc", "kind")
-    ends = sides.groupBy("g").agg(F.max(F.when(F.col("kind") == REST, F.col("doc"))).alias("last"), F.min(F.when(F.col("kind") == WHOLE, F.col("doc"))).alias("first"))
-    rows = materialize(sides.join(ends, "g").where(F.when(F.col("kind") == REST, F.col("doc") > F.col("first")).otherwise(F.col("doc") < F.col("last"))).drop("first", "last"), "sides")
-    near = []
-    for k in range(PARTS):  # so that their shuffles are not on disk together
-        near.append(materialize(compared(rows.where(F.pmod(F.xxhash64("g"), F.lit(PARTS)) == k), texts).distinct(), "likely"))
-    parts, near = near, reduce(DataFrame.unionByName, near).distinct()
-    more = near.join(pairs.select("doc", "c_doc"), ["doc", "c_doc"], "left_anti").withColumn("runs", F.lit(None).cast("array<struct<l:int,r:int>>"))
-    more = materialize(more, "more-pairs")
-    free(members, met, texts, rows, *parts)
+    whole = materialize(rests(one, members, found), "rests")
+    free(members)
+    parts = 1 + (whole.agg(F.sum(F.length("text"))).first()[0] or 0) // PART
+    before = met_before(whole, parts)
+    rest = materialize(looked_for(whole, parts, token_bitmap(before)), "rest-texts")
+    free(before)
+    ids = looked_for_ids(rest)
+    texts = materialize(rest.unionByName(looked_through(whole, token_bitmap(ids))), "texts")
+    free(whole, rest, ids)
+    near = materialize(compared(texts, fewest=True).distinct(), "likely")
+    more = materialize(near.join(pairs, ["doc", "c_doc"], "left_anti"), "more-pairs")
+    free(texts, near, pairs)
     return earliest(found.unionByName(verified(more, one)))
 
 
