@@ -11,13 +11,16 @@ around its least document, within each task before the shuffle and then over tas
 the passage, so that two things follow for values whose windows don't all have the same surroundings. Those of order 0 are open: each run of
 as many shingles as LEAST_WORDS words have, of which the value is the least, is a value of its own there, and links its documents to the
 least one. All that share a run have all of it, so that every word-by-word repeat of LEAST_WORDS words is found. And the documents of each
-large one are dealt to cells, when the passages of the stars and small values are known: what is left of each text without them, if it still has a
-window of the value, is compared with the earlier whole texts by whole arrays, and pairs of which LEAST shingles in a row have enough in common come
-out and are verified. That work grows with the texts of a value times those that still are looked for, without rows for its pairs.
+large one are compared, when the passages of the stars and small values are known. Of a text only positions outside these are looked for, in runs of which
+earlier documents of large values have enough shingles: shingles meet by value, as arrays, to tell which those are. The other texts are looked through
+for the shingles that are looked for in the value. What is left is dealt to cells, and every two cells are compared by whole arrays. Of the texts that
+have enough in common with one that is looked for, those of which an earlier one in the cell has all positions in common are left out: what they
+would give lies within what that one gives. So a group of near copies gives few pairs. Bitmaps of bounded size tell what to look for; where they fill
+up at size, more is compared than need be.
 
-Pairs are verified by all windows of both texts. A passage is reported for the later document, with the earlier one that has it, unless it lies
-within one that a still earlier document has: taking out all reported passages leaves the first occurrence of each. A passage has at least
-LEAST_WORDS words and at least SIMILARITY of its shingles in the other text's windows; it starts and ends with shared shingles.
+Pairs are verified word by word on their texts: a shingle counts if the other text has it. A passage is reported for the later document, with the
+earlier one that has it, unless it lies within one that a still earlier document has: taking out all reported passages leaves the first occurrence of
+each. A passage has at least LEAST_WORDS words and at least SIMILARITY of its shingles in the other text; it starts and ends with shared shingles.
 
 Null, empty and short texts have no windows, and rows with a null doc_id take no part. Rows that repeat a doc_id count as one
 document; where their texts differ, each is cut by its own passages. Ties go to the first position. Texts of any length are taken whole. An empty table gives no rows.
@@ -460,6 +463,8 @@ REST, WHOLE = 0, 1
 CELL = 200_000
 #: Shingles that a task holds before it passes them on by value, in parts of about PART characters of text in all.
 HELD, PART = 1 << 20, 12 << 20
+#: Bytes of rows that a task gives at once.
+BYTES = 4 << 20
 
 
 def dense_runs(may: np.ndarray) -> np.ndarray:
@@ -499,7 +504,7 @@ def part_of(x: np.ndarray, parts: int) -> np.ndarray:
 
 def of_owner(x: np.ndarray, owner: int | np.ndarray) -> np.ndarray:
     """Ids of shingles that an owner has, a document or a value."""
-    return mix(x ^ mix(np.asarray(owner, np.int64).view(np.uint64)))
+    return x ^ mix(np.asarray(owner, np.int64).view(np.uint64))
 
 
 def has(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -582,8 +587,12 @@ def _nodes(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["node", "doc", "kind", "n", "t", "g"])
 
 
-def _node(*of) -> int:
-    return int.from_bytes(hashlib.blake2b(repr(of).encode(), digest_size=8).digest(), "little", signed=True)
+def _node(kind: int, doc: int, g: int, t: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(t, digest_size=8, key=b"%d,%d,%d" % (kind, doc, g)).digest(), "little", signed=True)
+
+
+#: The shingle that stands for a value whose texts may have passages of fewer than SHARED distinct shingles.
+FEW = np.uint64(1 << 40)
 
 
 def looked_for(members: DataFrame, parts: int, before: np.ndarray) -> DataFrame:
@@ -621,14 +630,14 @@ def looked_for(members: DataFrame, parts: int, before: np.ndarray) -> DataFrame:
                         own[i:j] = keep[i:j]
                     if own.sum() >= LEAST:
                         t = x[own].astype(np.uint32).tobytes()
-                        out.append((_node(REST, d, t, g), d, REST, len(t) // 4, t, g))
+                        out.append((_node(REST, d, g, t), d, REST, len(t) // 4, t, g))
             yield _nodes(out)
 
     return map_arrow(members, run, NODES)
 
 
 def looked_for_ids(texts: DataFrame) -> DataFrame:
-    """id: the shingles of looked_for(), alone and of_owner() of their values."""
+    """id: the shingles of looked_for(), alone and of_owner() of their values, and FEW."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -637,6 +646,8 @@ def looked_for_ids(texts: DataFrame) -> DataFrame:
             for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 v = np.unique(np.frombuffer(t, np.uint32)).astype(np.uint64)
                 held += [v, of_owner(v, g)]
+                if 4 * len(v) < len(t):
+                    held.append(of_owner(np.array([FEW]), g))
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*held, np.empty(0, np.uint64)])).view(np.int64))], names=["id"])
 
     return materialize(map_arrow(texts.select("t", "g"), run, "id long"), "looked-for")
@@ -651,14 +662,25 @@ def looked_through(members: DataFrame, ids: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for b in slices(batches, 100):
-            out = []
+            out, size = [], 0
             for d, x, gs, _ in members_of(b):
                 v = np.unique(x.astype(np.uint32)).astype(np.uint64)
                 v = v[has(bits, v)]
-                for g in gs if len(v) else ():
-                    t = v[has(bits, of_owner(v, g))].astype(np.uint32).tobytes()
-                    if t:
-                        out.append((_node(WHOLE, d, t, g), d, WHOLE, len(t) // 4, t, g))
+                gs = np.array(gs, np.int64)
+                few = has(bits, of_owner(FEW, gs))
+                if len(v) < SHARED:
+                    gs, few = gs[few], few[few]
+                step = max(1, (1 << 18) // max(1, len(v)))
+                for a in range(0, len(gs) if len(v) else 0, step):
+                    held = has(bits, of_owner(v[None, :], gs[a : a + step, None]))
+                    n = held.sum(axis=1)
+                    for i in np.flatnonzero((n >= SHARED) | few[a : a + step] & (n > 0)).tolist():
+                        t, g = v[held[i]].astype(np.uint32).tobytes(), int(gs[a + i])
+                        out.append((_node(WHOLE, d, g, t), d, WHOLE, len(t) // 4, t, g))
+                        size += len(t)
+                        if size >= BYTES:  # long texts have many values
+                            yield _nodes(out)
+                            out, size = [], 0
             yield _nodes(out)
 
     return map_arrow(members, run, NODES)

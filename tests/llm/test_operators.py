@@ -330,6 +330,70 @@ def test_rests_are_compared_with_all_earlier_texts_of_a_value(spark, monkeypatch
     assert want and {(r.doc, r.c_doc) for r in got} == want
 
 
+def test_a_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
+    """Of texts that all repeat one another in part, with a word changed every 45: the first has what all others have in common with each other."""
+    monkeypatch.setattr(passages, "SMALL", 1)
+    seen = []
+    keep = passages.materialize
+
+    def counted(df, what="stage"):
+        out = keep(df, what)
+        if what == "likely":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "materialize", counted)
+    rng = np.random.default_rng(6)
+    fresh = lambda n: [f"v{i}" for i in rng.integers(0, 1 << 40, n)]
+    body, n = fresh(225), 40
+    rows = [(i, " ".join([*fresh(40), *body[i * 25 : i * 25 + 25], *fresh(40)])) for i in range(9)] + [(9, " ".join(body))]
+    for d in range(10, 10 + n):
+        own = body.copy()
+        for i in range(20 + int(rng.integers(0, 20)), 225, 45):
+            own[i] = f"changed{d}"
+        rows.append((d, " ".join([*fresh(20), *own, *fresh(20)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = passages.repeated_passages(df).collect()
+    assert {r.doc_id for r in got} == set(range(10, 10 + n))
+    assert sum(seen) <= 4 * n  # n * (n - 1) / 2 pairs before
+
+
+@pytest.mark.parametrize("cell", [1, 3, 50])
+def test_nested_candidates_are_left_out(cell):
+    """likely() with fewest: each pair that goes has all its positions in common with an earlier text that stays."""
+    rng = np.random.default_rng(cell)
+    base = rng.integers(0, 1 << 32, 80)
+    lists = lambda n, p: [np.where(rng.random(80) < rng.choice(p), rng.integers(0, 1 << 32, 80), base).astype(np.uint32) for _ in range(n)]
+    x, y = lists(cell, [0.0, 0.1]), lists(60, [0.0, 0.1, 0.2, 0.6])
+    x_doc, y_doc = np.arange(100, 100 + cell), rng.permutation(120)[:60] + 0
+    sides = (x_doc, *passages.joined(x), y_doc, *passages.joined(y))
+    every = set(zip(*(c.tolist() for c in passages.likely(*sides)), strict=True))
+    few = set(zip(*(c.tolist() for c in passages.likely(*sides, fewest=True)), strict=True))
+    own = dict(zip(y_doc.tolist(), y, strict=True))
+    assert few <= every and len(few) < len(every)
+    for d, c in every - few:
+        hit = np.isin(x[d - 100], own[c])
+        assert any(e == d and b < c and not (hit & ~np.isin(x[d - 100], own[b])).any() for e, b in few)
+
+
+def test_shingles_of_earlier_texts_are_told(spark):
+    rng = np.random.default_rng(9)
+    words_ = lambda n: [f"u{i}" for i in rng.integers(0, 60, n)]
+    rows = [(int(d), " ".join(words_(int(n))), [1], [{"l": 3, "r": 9}] if d % 3 == 0 else None) for d, n in enumerate(rng.integers(0, 80, 40))]
+    df = spark.createDataFrame(rows, "doc long, text string, gs array<long>, spans array<struct<l:int,r:int>>").repartition(3)
+    lists = dict(zip([r[0] for r in rows], passages.tokens([r[1].encode() for r in rows]), strict=True))
+    for parts in (1, 5):
+        want = set()
+        for d, _, _, spans in rows:
+            x = lists[d]
+            inside = np.zeros(len(x), bool)
+            for p in spans or ():
+                inside[p["l"] : p["r"]] = True
+            earlier = np.concatenate([np.empty(0, np.uint64), *(lists[c] for c in lists if c < d)])
+            want |= set(passages.of_owner(passages.part_of(x[np.isin(x, earlier) & ~inside], parts), d).view(np.int64).tolist())
+        assert {r.id for r in passages.met_before(df, parts).collect()} == want
+
+
 def test_links_of_values_over_batches(monkeypatch):
     import pyarrow as pa
 
