@@ -355,7 +355,7 @@ def test_a_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = passages.repeated_passages(df).collect()
     assert {r.doc_id for r in got} == set(range(10, 10 + n))
-    assert sum(seen) <= 4 * n  # n * (n - 1) / 2 pairs before
+    assert sum(seen) <= 4 * n
 
 
 @pytest.mark.parametrize("cell", [1, 3, 50])
