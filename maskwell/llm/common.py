@@ -140,6 +140,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWERED = _BYTE[_LOWER]
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -167,23 +168,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the finaliser of MurmurHash3)."""
     with np.errstate(over="ignore"):
-        x = x ^ (x >> np.uint64(33))
-        x = x * np.uint64(0xFF51AFD7ED558CCD)
-        x = x ^ (x >> np.uint64(33))
-        x = x * np.uint64(0xC4CEB9FE1A85EC53)
-        return x ^ (x >> np.uint64(33))
+        y = x >> np.uint64(33)
+        y ^= x
+        y *= np.uint64(0xFF51AFD7ED558CCD)
+        y ^= y >> np.uint64(33)
+        y *= np.uint64(0xC4CEB9FE1A85EC53)
+        y ^= y >> np.uint64(33)
+        return y
 
 
 def _segment_words(buf: np.ndarray, spans: bool):
-    gap = _SPACE[buf]
-    edge = np.diff(np.concatenate(([True], gap, [True])).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    gap = np.ones(len(buf) + 2, bool)
+    _SPACE.take(buf, out=gap[1:-1], mode="clip")
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, np.uint64), start, end
     up, down = _powers(len(buf) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[buf]] * up[: len(buf)], out=total[1:])
+        values = _LOWERED.take(buf)
+        values *= up[: len(buf)]
+        np.cumsum(values, out=total[1:])
         h = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
     return mix(h), start, end
 
@@ -221,7 +227,8 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     out = np.zeros(len(words) - k + 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
-            out = out * np.uint64(0xD6E8FEB86659FD93) + words[i : len(words) - k + 1 + i]
+            out *= np.uint64(0xD6E8FEB86659FD93)
+            out += words[i : len(words) - k + 1 + i]
     return mix(out + np.uint64(k))
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from maskwell.llm.common import binary_texts, free, free_name, map_arrow, materialize, mix, shingle_lists, slices, table, word_hashes
 from maskwell.llm.jaccard import token_bitmap
-from maskwell.llm.pairs import runs, star_batches, with_texts
+from maskwell.llm.pairs import runs, with_texts
 
 WORD_SHINGLE = 5
 LEAST_WORDS = 50
@@ -138,6 +138,56 @@ def windows_of(x: np.ndarray, ends: np.ndarray, salt: np.uint64, least: int) ->
     return of[wide], values[at], l[wide], at, r[wide]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers. np.unique() without places hashes them first, which takes several times as long."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns one after the other."""
+    return b"".join(c.tobytes() for c in columns)
+
+
+def unpacked(rows: list[bytes], kinds: tuple) -> list[np.ndarray]:
+    """The columns of all packed() rows."""
+    size, out = sum(np.dtype(k).itemsize for k in kinds), []
+    for t in rows:
+        n, at, cols = len(t) // size, 0, []
+        for k in kinds:
+            cols.append(np.frombuffer(t, k, n, at))
+            at += cols[-1].nbytes
+        out.append(cols)
+    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, k) for k in kinds]
+
+
+def dealt(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each 64-bit hash. Parts follow each other in the hashes' order."""
+    return (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
+def by_part(batches: Iterator) -> Iterator[tuple]:
+    """Of rows in order of their first column, a part, the lists of what each part has in the other columns."""
+    part, held = None, []
+    for b in batches:
+        for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if k != part and held:
+                yield part, *(list(x) for x in zip(*held, strict=True))
+                held = []
+            part = k
+            held.append(row)
+    if held:
+        yield part, *(list(x) for x in zip(*held, strict=True))
+
+
 def joined(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Arrays one after the other, and their len(lists) + 1 ends."""
     return np.concatenate([*lists, np.empty(0, np.uint64)]), np.cumsum([0, *map(len, lists)])
@@ -192,33 +242,42 @@ def together(ids: list[int], lists: Iterator[np.ndarray]) -> Iterator[tuple[np.n
         yield np.array(doc), *joined(few)
 
 
-def window_rows(docs: DataFrame, text: str) -> DataFrame:
-    """sig, doc, h, a, b, big, c_doc: a value of order h that doc has windows of, with the least and greatest hash of their surroundings.
+#: Columns of windows, sig, doc, a, b, h and big, and of stars, sig, doc, c_doc, a, b and h, in packed().
+WINDOW, STAR = ("<i8", "<i8", "<i8", "<i8", "i1", "?"), ("<i8", "<i8", "<i8", "<i8", "<i8", "i1")
+PAIR = ("<i8", "<i8")
+
+
+def window_rows(docs: DataFrame, text: str, parts: int) -> DataFrame:
+    """k, windows, stars: by parts of the values, as arrays, the WINDOW columns: a value of order h that doc has windows of, with the least and greatest
+    hash of their surroundings.
 
     Of a value that a task meets in more than SMALL documents the row of the least is marked big and has the surroundings of all, and the
-    others come with that document as c_doc: they need no shuffle.
+    others are among the stars, with that document as c_doc.
     """
     import pyarrow as pa
 
-    names = ["sig", "doc", "h", "a", "b", "big", "c_doc"]
-
     def out(held):
         sig, doc, h, around = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((doc, sig))
-        sig, doc, h, around = (x[order] for x in (sig, doc, h, around))
+        key = mix(sig.view(np.uint64))
+        order = np.lexsort((doc, key))
+        sig, doc, h, around, key = (x[order] for x in (sig, doc, h, around, key))
         at = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]))))
         low, high = np.minimum.reduceat(around, at), np.maximum.reduceat(around, at)
-        sig, doc, h = sig[at], doc[at], h[at]
+        sig, doc, h, key = sig[at], doc[at], h[at], key[at]
         first = runs(sig)
         own = first == np.arange(len(sig))
         big = np.bincount(first, minlength=len(first))[first] > SMALL
         starts = np.flatnonzero(own)
         some = big[starts]
         low[starts[some]], high[starts[some]] = np.minimum.reduceat(low, starts)[some], np.maximum.reduceat(high, starts)[some]
-        center = pa.array(doc[first], pa.int64(), mask=~big | own)
-        for k in range(0, len(sig), 100_000):
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[k : k + 100_000]) for x in (sig, doc, h, low, high, big)), center.slice(k, 100_000)], names=names)
+        star, center = big & ~own, doc[first]
+        ends = np.searchsorted(dealt(key, parts), np.arange(parts + 1, dtype=np.uint64))
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            s = slice(ends[k], ends[k + 1])
+            m = star[s]
+            windows, stars = (packed(*(x[s][of] for x in cols)) for of, cols in ((~m, (sig, doc, low, high, h, big)), (m, (sig, doc, center, low, high, h))))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([windows], pa.binary()), pa.array([stars], pa.binary())], names=["k", "windows", "stars"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -228,7 +287,7 @@ def window_rows(docs: DataFrame, text: str) -> DataFrame:
                 sums = run_sums(x)
                 for h in range(HASHES):
                     of, v, l, c, r = windows_of(x, ends, SALTS[h], LEAST)
-                    few.append((v.view(np.int64), doc[of], np.full(len(c), h, np.int32), surroundings(sums, l, c, r)))
+                    few.append((v.view(np.int64), doc[of], np.full(len(c), h, np.int8), surroundings(sums, l, c, r)))
             if few:
                 held.append(tuple(np.concatenate(x) for x in zip(*few, strict=True)))  # small arrays have much overhead
                 n += len(held[-1][0])
@@ -238,7 +297,31 @@ def window_rows(docs: DataFrame, text: str) -> DataFrame:
         if n:
             yield from out(held)
 
-    return map_arrow(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text), run, "sig long, doc long, h int, a long, b long, big boolean, c_doc long")
+    return map_arrow(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text), run, "k long, windows binary, stars binary")
+
+
+LINKS = ["sig", "doc", "c_doc", "h", "a", "b", "large"]
+
+
+def met_windows(batches: Iterator) -> Iterator:
+    """LINKS of all windows of a part, whose rows come one after the other; and, with no documents, the open values: those of order 0 that stand for
+    different runs in different places."""
+    import pyarrow as pa
+
+    for _, windows, stars in by_part(batches):
+        sig, doc, a, b, h, big = unpacked(windows, WINDOW)
+        order = np.lexsort((doc, sig))
+        sig, doc, a, b, h, big = (x[order] for x in (sig, doc, a, b, h.astype(np.int32), big))
+        if len(sig):
+            yield from bucket_links(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, doc, h, a, b, big)], names=["sig", "doc", "h", "a", "b", "big"])]))
+            starts = np.flatnonzero(runs(sig) == np.arange(len(sig)))
+            found = sig[starts][(h[starts] == 0) & (np.minimum.reduceat(a, starts) != np.maximum.reduceat(b, starts))]
+            none = [pa.nulls(len(found), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())]
+            yield from pa.Table.from_arrays([pa.array(found), *none], names=LINKS).to_batches(max_chunksize=100_000)
+        sig, doc, c_doc, a, b, h = unpacked(stars, STAR)
+        if len(sig):
+            cols = (sig, doc, c_doc, h.astype(np.int32), a, b, np.ones(len(sig), bool))
+            yield from pa.Table.from_arrays([pa.array(x) for x in cols], names=LINKS).to_batches(max_chunksize=100_000)
 
 
 def bucket_links(batches: Iterator) -> Iterator:
@@ -249,8 +332,6 @@ def bucket_links(batches: Iterator) -> Iterator:
     """
     import pyarrow as pa
 
-    names = ["sig", "doc", "c_doc", "h", "a", "b", "large"]
-
     def arrays(cols, last: bool):
         """The rows to hold, and a batch."""
         sig, doc, h, a, b, big = cols
@@ -278,7 +359,7 @@ def bucket_links(batches: Iterator) -> Iterator:
         if len(held[0]) and large[-1]:
             held = [c[:1].copy() for c in held]
             held[5][:] = True
-        return held, pa.Table.from_arrays([pa.array(c) for c in found], names=names).to_batches(max_chunksize=100_000)
+        return held, pa.Table.from_arrays([pa.array(c) for c in found], names=LINKS).to_batches(max_chunksize=100_000)
 
     held: list[np.ndarray] = []
     for batch in batches:
@@ -325,8 +406,8 @@ def surroundings(sums: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray)
         return mix(sums[end] - sums[first]).view(np.int64)
 
 
-def open_values(windows: DataFrame) -> np.ndarray:
-    """A bitmap of the values of order 0 that stand for different runs in different places."""
+def open_values(sigs: DataFrame) -> np.ndarray:
+    """A bitmap of values."""
     import pyarrow as pa
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +420,6 @@ def open_values(windows: DataFrame) -> np.ndarray:
                 at = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
                 yield pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array(np.bitwise_or.reduceat(bit, at).view(np.int64))], names=["w", "bits"])
 
-    sigs = windows.where("h = 0").groupBy("sig").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("sig")
     out = np.zeros(OPEN_BITS // 64, np.int64)
     found = materialize(map_arrow(sigs, words, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")), "open")
     for r in found.toLocalIterator():  # at most OPEN_BITS / 64 small rows
@@ -348,31 +428,42 @@ def open_values(windows: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def run_pairs(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
-    """doc, c_doc (the lesser) that have a run of an open value in common. A table."""
+def run_pairs(docs: DataFrame, text: str, opened: DataFrame, parts: int) -> DataFrame:
+    """doc, c_doc (the lesser) that have a run of an open value in common. A table.
+
+    Runs go to parts by their hashes, as arrays, and then the pairs, which have runs in many parts, to an eighth as many parts.
+    """
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(open_values(windows))  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(open_values(opened))  # of fixed size
+
+    def stars(sig, doc):
+        """Runs in order with their least documents, and the others with these."""
+        order = np.lexsort((doc, sig))
+        sig, doc = sig[order], doc[order]
+        first = runs(sig)
+        own = first == np.arange(len(sig))
+        rest = ~own & (doc != doc[first])
+        return sig[own], doc[own], distinct_pairs(doc[rest], doc[first][rest])
+
+    def by_pair(both, parts):
+        """Of each part that has pairs, these."""
+        to = dealt(mix(both[0].view(np.uint64) ^ mix(both[1].view(np.uint64))), parts)
+        order = np.argsort(to, kind="stable")
+        a, b = (x[order] for x in both)
+        ends = np.searchsorted(to[order], np.arange(parts + 1, dtype=np.uint64)).tolist()
+        return {k: packed(a[x:y], b[x:y]) for k, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if y > x}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held, n = shared.value, [], 0
 
         def out():
-            sig, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((doc, sig))
-            sig, doc = sig[order], doc[order]
-            first = runs(sig)
-            own = first == np.arange(len(sig))
-            k = int(own.sum())
-            for at in range(0, k, 100_000):
-                s = slice(at, at + 100_000)
-                m = len(sig[own][s])
-                yield pa.RecordBatch.from_arrays([pa.array(sig[own][s].view(np.int64)), pa.array(doc[own][s]), pa.nulls(m, pa.int64())], names=names)
-            rest = ~own & (doc != doc[first])
-            if rest.any():
-                both = np.unique(np.stack([doc[rest], doc[first][rest]]), axis=1)
-                m = both.shape[1]
-                yield from pa.Table.from_arrays([pa.nulls(m, pa.int64()), pa.array(both[0]), pa.array(both[1])], names=names).to_batches(max_chunksize=100_000)
+            sig, doc, both = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            pairs = by_pair(both, parts)
+            ends = np.searchsorted(dealt(sig, parts), np.arange(parts + 1, dtype=np.uint64)).tolist()
+            for k, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                if y > x or k in pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([packed(sig[x:y], doc[x:y])], pa.binary()), pa.array([pairs.get(k, b"")], pa.binary())], names=["k", "runs", "pairs"])
 
         for b in slices(batches):
             for doc, x, ends in together(b.column(0).to_pylist(), tokens(binary_texts(b.column(1)))):
@@ -394,35 +485,38 @@ def run_pairs(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
         if n:
             yield from out()
 
-    names = ["sig", "doc", "c_doc"]
-    rows = map_arrow(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text), run, "sig long, doc long, c_doc long")
-    rows = materialize(rows, "runs")
-    firsts = rows.where("c_doc IS NULL").select("sig", "doc").repartition("sig").sortWithinPartitions("sig", "doc")
-    over = map_arrow(firsts, lambda it: star_batches(it, ["sig", "doc", "c_doc"], 2), "sig long, doc long, c_doc long")
-    own = rows.where("c_doc IS NOT NULL").select("doc", "c_doc")
-    out = materialize(own.unionByName(over.where("doc <> c_doc").select("doc", "c_doc")).distinct(), "run-pairs")
-    free(rows)
-    return out
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, some, pairs in by_part(batches):
+            found = zip(stars(*unpacked(some, ("<u8", "<i8")))[2], unpacked(pairs, PAIR), strict=True)
+            both = by_pair(distinct_pairs(*(np.concatenate(x) for x in found)), fewer)
+            yield pa.RecordBatch.from_arrays([pa.array(list(both), pa.int64()), pa.array(list(both.values()), pa.binary())], names=["k", "pairs"])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pairs in by_part(batches):
+            both = distinct_pairs(*unpacked(pairs, PAIR))
+            yield from pa.Table.from_arrays([pa.array(x) for x in both], names=["doc", "c_doc"]).to_batches(max_chunksize=100_000)
+
+    fewer = 1 + parts // 8
+    rows = map_arrow(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text), run, "k long, runs binary, pairs binary")
+    rows = map_arrow(rows.repartition("k").sortWithinPartitions("k"), meet, "k long, pairs binary")
+    return materialize(map_arrow(rows.repartition("k").sortWithinPartitions("k"), once, "doc long, c_doc long"), "run-pairs")
 
 
 def window_pairs(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """Tables. doc, c_doc (the lesser), for pairs that meet in ENOUGH orders or have a run in common. And g, doc: the documents of each value of
     more than SMALL documents whose surroundings differ, which a star doesn't tell all about."""
-    rows = materialize(window_rows(docs, text), "windows")
-    names = ["sig", "doc", "h", "a", "b", "big"]
-    dealt = rows.where("c_doc IS NULL").select(*names).repartition("sig").sortWithinPartitions("sig", "doc")
-    over = map_arrow(dealt, bucket_links, "sig long, doc long, c_doc long, h int, a long, b long, large boolean")
-    own = rows.where("c_doc IS NOT NULL").select("sig", "doc", "c_doc", "h", "a", "b", F.lit(True).alias("large"))
-    links = materialize(own.unionByName(over), "window-links")
+    parts = 1 + (docs.agg(F.sum(F.length(text))).first()[0] or 0) // PART
+    rows = window_rows(docs, text, parts).repartition("k").sortWithinPartitions("k")
+    met = materialize(map_arrow(rows, met_windows, "sig long, doc long, c_doc long, h int, a long, b long, large boolean"), "window-links")
+    links = met.where("doc IS NOT NULL")
     grouped = links.groupBy("doc", "c_doc").agg(F.bit_or(F.expr("shiftleft(1, h)")).alias("orders")).where(F.bit_count("orders") >= ENOUGH).select("doc", "c_doc")
     # who meets in ENOUGH orders does in one of the first
     star = links.where(F.col("large") & (F.col("h") <= HASHES - ENOUGH))
     apart = star.groupBy("sig").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("sig")
     members = materialize(star.join(apart, "sig").select(F.col("sig").alias("g"), F.explode(F.array("doc", "c_doc")).alias("doc")).distinct(), "window-groups")
-    exact = run_pairs(docs, text, rows)
-    free(rows)
+    exact = run_pairs(docs, text, met.where("doc IS NULL").select("sig"), parts)
     out = materialize(grouped.unionByName(exact).distinct(), "passage-pairs")
-    free(links, exact)
+    free(met, exact)
     return out, members
 
 
@@ -436,7 +530,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             texts, others = binary_texts(b.column(2)), binary_texts(b.column(3))
             every = list(dict.fromkeys([*texts, *others]))  # rows come by the earlier document, whose text repeats
             lists = dict(zip(every, tokens(every), strict=True))
-            sets = {q: np.unique(lists[q]) for q in dict.fromkeys(others)}
+            sets = {q: distinct(lists[q]) for q in dict.fromkeys(others)}
             for d, c, p, q, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, others, b.column(4).to_pylist(), strict=True):
                 for at, to, share in matched_segments(held_by(lists[p], sets[q]), LEAST, SIMILARITY):
                     out.append((d, c, at, to + WORD_SHINGLE - 1, to + WORD_SHINGLE - 1 - at, share, key))
@@ -499,7 +593,7 @@ def members_of(batch) -> Iterator[tuple[int, np.ndarray, list[int], np.ndarray]]
 
 def part_of(x: np.ndarray, parts: int) -> np.ndarray:
     """The part that each shingle is in, and 32 of its bits. Parts follow each other in the shingles' order."""
-    return ((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)) << np.uint64(32) | x & np.uint64(0xFFFFFFFF)
+    return dealt(x, parts) << np.uint64(32) | x & np.uint64(0xFFFFFFFF)
 
 
 def of_owner(x: np.ndarray, owner: int | np.ndarray) -> np.ndarray:
@@ -510,7 +604,7 @@ def of_owner(x: np.ndarray, owner: int | np.ndarray) -> np.ndarray:
 def has(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Whether a bitmap of token_bitmap() may hold the ids."""
     h = mix(ids) & np.uint64(len(bits) * 64 - 1)
-    return (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)) > 0
+    return (bits.view(np.uint8).take((h >> np.uint64(3)).view(np.int64)) >> (h & np.uint64(7)).astype(np.uint8) & np.uint8(1)) > 0
 
 
 def met_before(members: DataFrame, parts: int) -> DataFrame:
@@ -526,12 +620,16 @@ def met_before(members: DataFrame, parts: int) -> DataFrame:
         def out():
             docs = np.array([d for d, _, _ in held], np.int64)
             v = part_of(np.concatenate([x for _, x, _ in held]), parts)
-            at = np.repeat(np.arange(len(held), dtype=np.uint16), [len(x) for _, x, _ in held])
-            known = np.concatenate([k for _, _, k in held])
-            order = np.lexsort((known, at, v))
-            v, at, known = v[order], at[order], known[order]
-            new = np.concatenate(([True], (v[1:] != v[:-1]) | (at[1:] != at[:-1])))
-            v, at = v[new], at[new] << np.uint16(1) | known[new]
+            at = np.repeat(np.arange(len(held), dtype=np.uint16), [len(x) for _, x, _ in held]) << np.uint16(1) | np.concatenate([k for _, _, k in held])
+            if parts <= 1 << 16:  # part, 32 bits, text and known in one number
+                key = np.sort(v << np.uint64(16) | at)
+                v, at = key >> np.uint64(16), key.astype(np.uint16)
+            else:
+                order = np.lexsort((at, v))
+                v, at = v[order], at[order]
+            of = at >> np.uint16(1)
+            new = np.concatenate(([True], (v[1:] != v[:-1]) | (of[1:] != of[:-1])))
+            v, at = v[new], at[new]
             ends = np.searchsorted(v, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
             for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
                 if b > a:
@@ -550,30 +648,20 @@ def met_before(members: DataFrame, parts: int) -> DataFrame:
             yield from out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, part = [], None
-
-        def out():
-            v, doc, known = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((doc, v))
-            v, doc, known = v[order], doc[order], known[order]
-            later = (doc != doc[runs(v)]) & ~known
-            ids = of_owner(np.uint64(part) << np.uint64(32) | v[later].astype(np.uint64), doc[later]).view(np.int64)
+        for part, docs, at, v in by_part(batches):
+            docs, at, v = ([np.frombuffer(t, kind) for t in x] for x, kind in ((docs, np.int64), (at, np.uint16), (v, np.uint32)))
+            every = distinct(np.concatenate(docs))
+            # shingle, document's rank and known in one number
+            rank = [np.searchsorted(every, d).astype(np.uint64) << np.uint64(1) for d in docs]
+            key = np.sort(np.concatenate([w.astype(np.uint64) << np.uint64(32) | r[i >> np.uint16(1)] | (i & np.uint16(1)) for w, r, i in zip(v, rank, at, strict=True)]))
+            value, doc = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)) >> np.uint64(1)
+            later = (doc != doc[runs(value)]) & (key & np.uint64(1) == 0)
+            ids = of_owner(np.uint64(part) << np.uint64(32) | value[later], every[doc[later].astype(np.int64)]).view(np.int64)
             for a in range(0, len(ids), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 100_000])], names=["id"])
 
-        for b in batches:
-            for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != part and held:
-                    yield from out()
-                    held = []
-                part = k
-                docs, at, v = (np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.uint16, np.uint32), strict=True))
-                held.append((v, docs[at >> np.uint16(1)], (at & np.uint16(1)) > 0))
-        if held:
-            yield from out()
-
-    dealt = map_arrow(members, deal, "k long, docs binary, at binary, v binary")
-    return materialize(map_arrow(dealt.repartition("k").sortWithinPartitions("k"), meet, "id long"), "met-before")
+    rows = map_arrow(members, deal, "k long, docs binary, at binary, v binary")
+    return materialize(map_arrow(rows.repartition("k").sortWithinPartitions("k"), meet, "id long"), "met-before")
 
 
 NODES = "node long, doc long, kind int, n long, t binary, g long"
@@ -644,11 +732,11 @@ def looked_for_ids(texts: DataFrame) -> DataFrame:
         for b in slices(batches, 100):
             held = []
             for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v = np.unique(np.frombuffer(t, np.uint32)).astype(np.uint64)
+                v = distinct(np.frombuffer(t, np.uint32)).astype(np.uint64)
                 held += [v, of_owner(v, g)]
                 if 4 * len(v) < len(t):
                     held.append(of_owner(np.array([FEW]), g))
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*held, np.empty(0, np.uint64)])).view(np.int64))], names=["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(distinct(np.concatenate([*held, np.empty(0, np.uint64)])).view(np.int64))], names=["id"])
 
     return materialize(map_arrow(texts.select("t", "g"), run, "id long"), "looked-for")
 
@@ -664,7 +752,7 @@ def looked_through(members: DataFrame, ids: np.ndarray) -> DataFrame:
         for b in slices(batches, 100):
             out, size = [], 0
             for d, x, gs, _ in members_of(b):
-                v = np.unique(x.astype(np.uint32)).astype(np.uint64)
+                v = distinct(x.astype(np.uint32)).astype(np.uint64)
                 v = v[has(bits, v)]
                 gs = np.array(gs, np.int64)
                 few = has(bits, of_owner(FEW, gs))
@@ -689,13 +777,14 @@ def looked_through(members: DataFrame, ids: np.ndarray) -> DataFrame:
 def likely(x_doc, x, x_ends, y_doc, y, y_ends, fewest: bool = False):
     """Pairs (doc, c_doc) of a text x and an earlier one y, where LEAST positions of x have SHARED of them in common with y. With `fewest` only
     those y of which no earlier one here has all the positions in common."""
-    known = np.unique(x)
+    known = distinct(x)
     if not len(known) or not len(y):
         return None
     y_of = np.repeat(np.arange(len(y_doc)), np.diff(y_ends))
-    some = held_by(y, known)
-    each = np.unique(np.searchsorted(known, y[some]) * np.int64(len(y_doc)) + y_of[some])
-    y_at, y_of = each // len(y_doc), each % len(y_doc)  # by places in known
+    y_at = np.minimum(np.searchsorted(known, y), len(known) - 1)
+    some = known[y_at] == y
+    each = distinct(y_at[some] << 32 | y_of[some])
+    y_at, y_of = each >> 32, each & 0xFFFFFFFF  # by places in known
     first = np.searchsorted(y_at, np.arange(len(known) + 1))
     found = []
     for i in range(len(x_doc)):
@@ -714,7 +803,7 @@ def likely(x_doc, x, x_ends, y_doc, y, y_ends, fewest: bool = False):
         row[may] = np.arange(len(may))
         kept = row[of] >= 0
         of, column = row[of[kept]], column[kept]
-        order = np.argsort(of, kind="stable")
+        order = np.argsort(of.astype(np.uint16) if len(may) < 1 << 16 else of, kind="stable")  # of 16-bit integers: a radix sort
         of, column = of[order], column[order]
         step = max(1, (1 << 21) // n)
         best = np.empty((0, (len(own) + 7) // 8), np.uint8)

@@ -394,6 +394,35 @@ def test_shingles_of_earlier_texts_are_told(spark):
         assert {r.id for r in passages.met_before(df, parts).collect()} == want
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_windows_go_to_parts_as_arrays(spark, monkeypatch, parts):
+    """A task gives one row for each part, not one for each window; each value has its links and is open as over all windows."""
+    monkeypatch.setattr(passages, "SMALL", 3)
+    rng = np.random.default_rng(parts)
+    body = words(rng, 70, 1 << 30)
+    rows_ = [(d, f"{words(rng, 60)} {body if d % 3 else body[:400]} {words(rng, 60)}") for d in range(24)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(2)
+    dealt = passages.window_rows(df, "text", parts)
+    assert dealt.count() <= 2 * parts
+    met = passages.map_arrow(dealt.repartition("k").sortWithinPartitions("k"), passages.met_windows, "sig long, doc long, c_doc long, h int, a long, b long, large boolean").collect()
+    of, around = defaultdict(set), defaultdict(set)
+    for d, t in rows_:
+        x = next(passages.tokens([t.encode()]))
+        for h in range(passages.HASHES):
+            _, v, l, c, r = passages.windows_of(x, np.array([0, len(x)]), passages.SALTS[h], passages.LEAST)
+            for g, s in zip(v.view(np.int64).tolist(), passages.surroundings(passages.run_sums(x), l, c, r).tolist(), strict=True):
+                of[g].add(d)
+                around[h, g].add(s)
+    want = {(g, d, min(ds)) for g, ds in of.items() if len(ds) > 3 for d in ds if d != min(ds)}
+    links = {(r.sig, r.doc, r.c_doc) for r in met if r.doc is not None}
+    near = defaultdict(set)
+    for g, d, c in links:
+        near[g] |= {d, c}
+    assert want and {g for g, _, _ in want} <= set(near) and all(near[g] == of[g] for g in near) and all(c < d for _, d, c in links)
+    opened = [r.sig for r in met if r.doc is None]
+    assert opened and len(opened) == len(set(opened)) and set(opened) == {g for (h, g), s in around.items() if h == 0 and len(s) > 1}
+
+
 def test_links_of_values_over_batches(monkeypatch):
     import pyarrow as pa
 
