@@ -105,6 +105,18 @@ def give_back() -> None:
         pass
 
 
+def keep_freed(most: int = 1 << 26) -> None:
+    """From now on a worker's freed arrays of up to so many bytes stay for its next ones, until give_back(): else each comes in fresh pages."""
+    import ctypes
+
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):  # another C library
+        return
+    mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD, its greatest
+    mallopt(-1, most)  # M_TRIM_THRESHOLD
+
+
 def map_arrow(df: DataFrame, run, schema, owner: str | None = None) -> DataFrame:
     """df.mapInArrow(run, schema) whose workers drop what other owners keep, and give memory back at a task's end."""
 

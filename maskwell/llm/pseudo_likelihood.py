@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwell.llm.common import free, free_name, map_arrow, materialize, slices, table
+from maskwell.llm.common import free, free_name, keep_freed, map_arrow, materialize, slices, table
 
 #: Ids: WORDS of their own, HASHED shared ones, and a pad. Id i is the (i // CLASSES)-th of class i % CLASSES.
 CLASSES, EACH, HASHED, HIDDEN = 64, 128, 1024, 16
@@ -38,6 +38,8 @@ BATCH, RATE, START = 8192, 0.1, 1e-9
 #: Logits between this and its negative have exponentials that sum to finite numbers of 32 bits above 0.
 LIMIT = 60
 FLUSH = 400_000
+#: Tokens that a row of cuts() has, about.
+HELD = 1 << 22
 CHUNKS = 64
 #: Words that an encoder remembers beside the listed ones, and their length at most.
 MEMORY, LONGEST = 200_000, 40
@@ -70,6 +72,80 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return map_arrow(docs.select(text), run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
+def cuts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """Texts cut into tokens, many in a row: kept, their columns of `keep` as an Arrow stream; words, the distinct tokens, a line each; counts of these;
+    lengths, the texts' numbers of tokens; and places, the tokens' places among the words. The last three are 64, 64 and 32-bit integers."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, lengths, places, known, n = [], [], [], defaultdict(), 0
+        known.default_factory = known.__len__
+
+        def out():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, kept[0].schema) as stream:
+                for k in kept:
+                    stream.write_batch(k)
+            at = np.concatenate([*places, np.empty(0, np.uint32)])
+            cols = ("\n".join(known).encode(), np.bincount(at, minlength=len(known)).astype(np.int64).tobytes(), np.array(lengths, np.int64).tobytes(), at.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (sink.getvalue().to_pybytes(), *cols)], names=["kept", "words", "counts", "lengths", "places"])
+
+        for b in slices(batches):
+            kept.append(b.select(range(b.num_columns - 1)))
+            for t in b.column(b.num_columns - 1).to_pylist():
+                words = tokens_of(t)
+                places.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
+                lengths.append(len(words))
+                n += len(words)
+            if n >= HELD or len(known) > FLUSH:
+                yield out()
+                kept, lengths, places, n = [], [], [], 0
+                known.clear()
+        if kept:
+            yield out()
+
+    return map_arrow(docs.select(*keep, docs[text].alias(free_name(keep, "text"))), run, "kept binary, words binary, counts binary, lengths binary, places binary")
+
+
+def _lines(words: bytes) -> list[str]:
+    return words.decode().split("\n") if words else []
+
+
+def counts_of_cuts(rows: DataFrame) -> DataFrame:
+    """word_counts() of the texts of cuts()."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(_lines(words), pa.string()), pa.array(np.frombuffer(counts, np.int64))], names=["w", "n"])
+
+    return map_arrow(rows.select("words", "counts"), run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def encoded_cuts(rows: DataFrame, vocabulary: Vocabulary, kept: T.StructType, name: str = "ids") -> DataFrame:
+    """encoded() of the texts of cuts(), whose columns had the schema `kept`: a word is looked up once for all its places."""
+    import pyarrow as pa
+
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)  # fixed size
+    schema = T.StructType([*kept, T.StructField(name, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.encoder().__getitem__
+        for b in batches:
+            for columns, words, lengths, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = _lines(words)
+                ids = np.fromiter(map(get, words), np.uint16, len(words))[np.frombuffer(places, np.uint32)]
+                ends, at = [0, *np.cumsum(np.frombuffer(lengths, np.int64)).tolist()], 0
+                for k in pa.ipc.open_stream(columns):
+                    own = ends[at : at + k.num_rows + 1]
+                    out = [ids[x:y].tobytes() for x, y in zip(own[:-1], own[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([*k.columns, pa.array(out, pa.binary())], names=[f.name for f in schema])
+                    at += k.num_rows
+
+    return map_arrow(rows.select("kept", "words", "lengths", "places"), run, schema)
+
+
 class Vocabulary:
     """Ids of tokens, their counts, and how many words an id stands for."""
 
@@ -113,6 +189,7 @@ class Network:
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         """context: ids by place, one column for each position."""
+        context = context.astype(np.intp)  # take() converts other integers slowly
         h = self.e[0].take(context[0], axis=0)
         for k in range(1, len(PLACES)):
             h += self.e[k].take(context[k], axis=0)
@@ -195,25 +272,27 @@ class Network:
         step(self.w, self.grad[2], h.T @ p)
         step(self.c, self.grad[3], one[: len(p)] @ p)
         order, ends = _by_class(kind)
-        x, place = h.take(order, axis=0), place[order]
-        inside, gv, gd = np.empty_like(x), np.zeros_like(self.v), np.zeros_like(self.d)
+        x, place = np.ones((len(h), HIDDEN + 1), np.float32), place[order]  # the last column is for the biases
+        x[:, :-1] = h.take(order, axis=0)
+        both = np.concatenate((self.v, self.d[:, None]), axis=1)
+        inside, g = np.empty_like(h), np.zeros_like(both)
         for k, a, b in ends:
-            z = x[a:b] @ self.v[k]
-            z += self.d[k]
-            q = off(z, place[a:b], each[k])
-            inside[a:b] = q @ self.v[k].T
-            gv[k] = x[a:b].T @ q
-            gd[k] = one[: b - a] @ q
-        step(self.v, self.grad[4], gv)
-        step(self.d, self.grad[5], gd)
-        back[order] += inside
+            q = off(x[a:b] @ both[k], place[a:b], each[k])
+            np.matmul(q, self.v[k].T, out=inside[a:b])
+            np.matmul(x[a:b].T, q, out=g[k])
+        step(self.v, self.grad[4], g[:, :-1])
+        step(self.d, self.grad[5], g[:, -1])
+        x = np.empty_like(back)
+        x[order] = inside
+        back += x
         back *= 1 - h * h
         step(self.b, self.grad[1], back.sum(axis=0))
         for k in range(len(PLACES)):
             order = np.argsort(context[k], kind="stable")  # of 16-bit integers: a radix sort
             rows = context[k][order]
             first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-            g, at = np.add.reduceat(back.take(order, axis=0), first, axis=0), rows[first]
+            # two numbers at a time, as a complex one: reduceat takes each column by itself
+            g, at = np.add.reduceat(back.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32), rows[first].astype(np.intp)
             s = self.grad[0][k].take(at, axis=0)
             s += g * g
             self.grad[0][k][at] = s
@@ -301,6 +380,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         v, n = shared.value, 0
         net, ids = Network(v), v.encoder()
         held, targets, waiting = [], [], 0
@@ -367,6 +447,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, keep: tu
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("pseudo_log_likelihood", T.DoubleType()), T.StructField("mean_log_probability", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         v, net = shared.value[0], Network(*shared.value)
         ids = v.encoder()
         for b in slices(batches):
@@ -379,7 +460,11 @@ def score(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, keep: tu
 
 
 def vocabulary_of(docs: DataFrame, text: str = "text") -> Vocabulary:
-    counts = materialize(word_counts(docs, text), "word-counts")
+    return _vocabulary(word_counts(docs, text))
+
+
+def _vocabulary(counts: DataFrame) -> Vocabulary:
+    counts = materialize(counts, "word-counts")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     top = [(r.w, r.n) for r in counts.orderBy(F.desc("n"), "w").limit(WORDS).collect()]
     free(counts)
@@ -393,8 +478,10 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndarray]:
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    v = vocabulary_of(docs)
-    ids = materialize(encoded(docs, v), "ids")  # texts are cut into tokens once for training and scores
+    cut = materialize(cuts(docs), "cuts")  # texts are cut into tokens once for counts, training and scores
+    v = _vocabulary(counts_of_cuts(cut))
+    ids = materialize(encoded_cuts(cut, v, docs.select("doc_id").schema), "ids")
+    free(cut)
     return score(ids, v, train(ids, v, "ids"), text="ids")
 
 

@@ -675,6 +675,22 @@ def test_ids_in_place_of_texts(spark):
     assert sorted(M.score(ids, v, w, text="ids").collect()) == sorted(M.score(df, v, w).collect())
 
 
+@pytest.mark.parametrize("held", [1, 1 << 22])
+def test_tokens_cut_once_give_the_same_counts_and_ids(spark, monkeypatch, held):
+    M = pseudo_likelihood
+    monkeypatch.setattr(M, "HELD", held)
+    rows = [(i, t, None if i % 3 else "k") for i, t in enumerate(["a b c d e" * 3, None, "", "x y, never seen! ΑΣ.", " \n", "b " * 700, None, "\x1c \u2028 É\u0301"] * 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k string").repartition(2)
+    cut = M.cuts(df, ("doc_id", "k"))
+    assert sorted(M.counts_of_cuts(cut).collect()) == sorted(M.word_counts(df, "text").collect())
+    v = M.vocabulary_of(df)
+    got = M.encoded_cuts(cut, v, df.select("doc_id", "k").schema)
+    want = M.encoded(df, v, ("doc_id", "k"))
+    assert got.schema == want.schema and sorted(got.collect(), key=lambda r: r.doc_id) == sorted(want.collect(), key=lambda r: r.doc_id)
+    none = M.cuts(df.limit(0))
+    assert none.count() == 0 and M.counts_of_cuts(none).count() == 0
+
+
 def test_unlisted_words_share_the_chance_of_their_id(small_model):
     v, net = small_model
     assert math.exp(v.log_words[-1]) == pytest.approx(5000 / pseudo_likelihood.HASHED) and v.log_words[0] == 0
