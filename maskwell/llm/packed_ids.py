@@ -16,6 +16,7 @@ longest document at least.
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -173,7 +174,13 @@ class WordEncoder:
                 to += 1
             split = [None if t and any(c in t for c in self.ODD) else (t or "").split() for t in texts[at:to]]
             if new := set().union(*(w for w in split if w)).difference(self.known):
-                self._learn(new, any(a in t for t in texts[at:to] if t for a in self.added))
+                collects = gc.isenabled()
+                gc.disable()  # hundreds of thousands of tuples and strings without a cycle are made, which it would look through again and again
+                try:
+                    self._learn(new, any(a in t for t in texts[at:to] if t for a in self.added))
+                finally:
+                    if collects:
+                        gc.enable()
             of = self.known.__getitem__
             for t, words in zip(texts[at:to], split, strict=True):
                 yield self._ask([t])[0] if words is None else b"".join(map(of, words))
@@ -188,6 +195,12 @@ class WordEncoder:
         """Letters and the marks that follow them are separate pre-tokens, so they are asked for once each. added: some may hold an added token."""
         known, cut, letters, rest = self.known, [], set(), set()
         for w in words:
+            if not added and w.isascii() and w.isalpha():  # most words, and most of these in lower case
+                core = w.lower()
+                letters.add(core)
+                if core != w:
+                    cut.append((w, core, ""))
+                continue
             core = w.rstrip(self.MARKS)
             if added and any(a in w for a in self.added) or not core.isalpha() or not (core.isascii() or normalize("NFC", core).lower().isalpha()):  # a combining mark would join the marks
                 rest.add(w)

@@ -100,6 +100,26 @@ def test_word_encoder_takes_added_tokens_as_the_library_does():
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_are_learnt_without_garbage_collection(monkeypatch):
+    import gc
+
+    encoder, during, keep, marks = packed_ids.WordEncoder(P.path("word_bpe_49k.json")), [], packed_ids.WordEncoder._learn, ["", ".", "$$$"]
+
+    def learn(self, words, added):
+        seen = lambda phase, info: during.append(phase)
+        gc.callbacks.append(seen)
+        try:
+            keep(self, words, added)
+        finally:
+            gc.callbacks.remove(seen)
+
+    monkeypatch.setattr(packed_ids.WordEncoder, "_learn", learn)
+    letters = np.array(list("abcdeXYZ"))[np.random.default_rng(4).integers(0, 8, (20_000, 7))]
+    text = " ".join("".join(w) + marks[i % 3] for i, w in enumerate(letters))
+    got = np.frombuffer(encoder.encode(text), "<u4").tolist()
+    assert got == encoder.tok.encode(text, add_special_tokens=False).ids and not during and gc.isenabled()
+
+
 def test_packed_files(spark, docs, rows, tmp_path):
     from tokenizers import Tokenizer
 
